@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, language, quality, url_filter
+from . import bpe, chat, html, language, quality, substring, url_filter
 from .common import table
 
 
@@ -33,6 +33,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -45,5 +50,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.default_rules(spark)).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_bpe, op3_language_id, op6_chat_formatting, op9_quality_rules, op10_url_filter)}
-SQL = {"op6_chat_formatting": chat.ROTATE_SQL, "op10_url_filter": url_filter.FILTER_SQL}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_bpe, op3_language_id, op4_substring_dedup, op6_chat_formatting, op9_quality_rules, op10_url_filter)}
+SQL = {"op4_substring_dedup": substring.REMOVE_SQL, "op6_chat_formatting": chat.ROTATE_SQL, "op10_url_filter": url_filter.FILTER_SQL}
