@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, language, near_dup, quality, substring, url_filter
+from . import bpe, chat, decontaminate, html, language, near_dup, quality, substring, url_filter
 from .common import table
 
 
@@ -38,6 +38,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.encode(F.array_join("item_ids", ","), "UTF-8"), 256).alias("items_sha256"), "contaminated")
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -54,5 +59,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.default_rules(spark)).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_bpe, op3_language_id, op4_substring_dedup, op6_chat_formatting, op7_minhash_near_dedup, op9_quality_rules, op10_url_filter)}
-SQL = {"op4_substring_dedup": substring.REMOVE_SQL, "op6_chat_formatting": chat.ROTATE_SQL, "op10_url_filter": url_filter.FILTER_SQL}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_bpe, op3_language_id, op4_substring_dedup, op5_decontamination, op6_chat_formatting, op7_minhash_near_dedup, op9_quality_rules, op10_url_filter)}
+SQL = {"op4_substring_dedup": substring.REMOVE_SQL, "op5_decontamination": decontaminate.DECONTAMINATE_SQL, "op6_chat_formatting": chat.ROTATE_SQL, "op10_url_filter": url_filter.FILTER_SQL}

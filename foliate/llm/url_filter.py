@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small
@@ -76,14 +76,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     )
 
 
-def default_rules(spark) -> DataFrame:
-    rows = [(h, p, v, h + p) for h, p, v in RULES] + [(*u.split("/", 1), "block", None) for u in LISTED]
-    rows = [(h, p if p.startswith("/") else "/" + p, v, r) for h, p, v, r in rows]
-    return spark.createDataFrame(rows, "host string, path string, verdict string, rule string")
+def default_rules(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {RULE_ROWS} AS r(host, path, verdict, rule)")
 
 
+RULE_ROWS = ", ".join([f"('{h}', '{p}', '{v}', '{h}{p}')" for h, p, v in RULES] + [f"('{u.split('/', 1)[0]}', '/{u.split('/', 1)[1]}', 'block', NULL)" for u in LISTED])
 FILTER_SQL = f"""
-WITH r(host, path, verdict, rule) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}', '{h}{p}')" for h, p, v in RULES)}, {", ".join(f"('{u.split('/', 1)[0]}', '/{u.split('/', 1)[1]}', 'block', NULL)" for u in LISTED)}),
+WITH r(host, path, verdict, rule) AS (VALUES {RULE_ROWS}),
 u AS (SELECT row_number() OVER () AS id, page_id, CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
 s AS (SELECT id, page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 j AS (SELECT s.*, r.verdict, r.rule, row_number() OVER (PARTITION BY id ORDER BY (r.rule IS NOT NULL) DESC, length(r.host) + length(r.path) DESC NULLS LAST, length(r.host) DESC NULLS LAST) AS k
