@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, language, near_dup, quality, substring, url_filter
+from . import bpe, chat, decontaminate, html, language, line_dedup, near_dup, quality, substring, url_filter
 from .common import table
 
 
@@ -51,6 +51,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -59,5 +64,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.default_rules(spark)).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_bpe, op3_language_id, op4_substring_dedup, op5_decontamination, op6_chat_formatting, op7_minhash_near_dedup, op9_quality_rules, op10_url_filter)}
-SQL = {"op4_substring_dedup": substring.REMOVE_SQL, "op5_decontamination": decontaminate.DECONTAMINATE_SQL, "op6_chat_formatting": chat.ROTATE_SQL, "op10_url_filter": url_filter.FILTER_SQL}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_bpe, op3_language_id, op4_substring_dedup, op5_decontamination, op6_chat_formatting, op7_minhash_near_dedup, op8_line_dedup, op9_quality_rules, op10_url_filter)}
+SQL = {"op4_substring_dedup": substring.REMOVE_SQL, "op5_decontamination": decontaminate.DECONTAMINATE_SQL, "op6_chat_formatting": chat.ROTATE_SQL, "op8_line_dedup": line_dedup.REMOVE_LINES_SQL, "op10_url_filter": url_filter.FILTER_SQL}
