@@ -30,9 +30,10 @@ def _fingerprints(ws: Column, short: list[int]) -> Column:
         first = F.transform(upto(n - GUARANTEE + 1), lambda i: let(F.slice(h, i, span), lambda s: i + F.array_position(s, F.array_min(s)).cast("int") - 1))
         return F.transform(F.array_distinct(first), lambda p: F.struct(p.alias("p"), F.get(h, p - 1).alias("h")))
 
-    parts = [let(F.transform(upto(n - K + 1), lambda i: F.xxhash64(F.slice(ws, i, K))), winnow)]
-    for m in short:
-        parts.append(F.transform(upto(n - m + 1), lambda i, m=m: F.struct(i.alias("p"), F.xxhash64(F.lit(m), F.slice(ws, i, m)).alias("h"))))
+    def grams(m: int) -> Column:
+        return F.transform(upto(n - m + 1), lambda i: F.struct(i.alias("p"), F.xxhash64(F.lit(m), F.slice(ws, i, m)).alias("h")))
+
+    parts = [let(F.transform(upto(n - K + 1), lambda i: F.xxhash64(F.slice(ws, i, K))), winnow), *map(grams, short)]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 

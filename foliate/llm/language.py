@@ -52,7 +52,7 @@ def train(labelled: DataFrame, vocabulary: str, sample: int = SAMPLE_A_LANGUAGE,
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     langs = sorted(counts)
     if not langs:
-        return Model([], np.zeros((0, 0)), vocabulary)
+        return Model([], np.zeros((0, len(pieces(vocabulary)))), vocabulary)
     bar = F.lit(0.0)
     for lang in langs:
         bar = F.when(F.col("l") == lang, F.lit(min(1.0, sample / counts[lang]))).otherwise(bar)
