@@ -5,10 +5,10 @@ CHUNKS * (ERRORS + 1) - 1 symbols have, by the pigeonhole principle, a chunk wit
 choice of ERRORS symbols to leave out of a chunk is therefore enumerated as an index key, and all pairs under that
 distance share a key. Candidates are confirmed on full shingle sets.
 
-Texts of one shingle set are one class. In a key's group every member is compared with a pivot, components are joined,
-and only members that are still apart are compared further: pairwise in small groups, by blocks in large ones. So a group
-of n near copies costs about n comparisons, no group is gathered in one task, and no link between different texts that
-would join components is left out.
+Texts of one shingle set are one class. In a key's group every member is compared with a pivot, the member that shares most
+keys with others and so is nearest to being their source; components are joined, and only members that are still apart are
+compared further: pairwise in small groups, by blocks in large ones. So a group of n near copies costs about n comparisons,
+no group is gathered in one task, and no link between different texts that would join components is left out.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ SYMBOLS = CHUNKS * WIDTH
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Members of a large group that differ in more symbols are not compared; at a Jaccard index of 0.8 that is one pair in 10^8.
 FAR = 24
-#: Pivot rounds, members of a group whose remaining pairs are listed, members of a block of larger groups, and bytes of
-#: text in one comparison task's group.
-PIVOTS, SMALL, BLOCK, GROUP_BYTES = 2, 24, 200, 4_000_000
+#: Members of a group whose remaining pairs are listed, members of a block of larger groups, and bytes of text in one
+#: comparison task's group.
+SMALL, BLOCK, GROUP_BYTES = 24, 200, 4_000_000
 _U = np.uint64
 _RNG = np.random.default_rng(715517)
 _A, _B = _RNG.integers(0, 2**64, SYMBOLS, dtype=_U) | _U(1), _RNG.integers(0, 2**64, SYMBOLS, dtype=_U)
@@ -126,13 +126,13 @@ def _verify(k: int, percent: int):
 
 
 def _compare(k: int, percent: int):
-    """Links that join what is still apart in two blocks of a large group; a pair in one component isn't compared."""
+    """Links that join what is still apart: the outsiders of a large group against a block of its members."""
 
     def rows(t: pa.Table) -> pa.Table:
         sets, _ = shingle_sets(t.column("text").combine_chunks(), k)
         sig = signatures(sets)
-        ids, comp, block = t.column("x").to_pylist(), t.column("comp").to_numpy(), t.column("block").to_numpy()
-        root = {c: c for c in comp.tolist()}
+        ids, comp, outside = t.column("x").to_pylist(), t.column("comp").to_pylist(), t.column("outside").to_numpy(zero_copy_only=False)
+        root = {c: c for c in comp}
 
         def find(c):
             while root[c] != c:
@@ -140,9 +140,9 @@ def _compare(k: int, percent: int):
             return c
 
         a, b = [], []
-        for i in range(len(ids)):
-            far = (sig[i + 1 :] != sig[i]).sum(axis=1) <= FAR
-            for j in (np.flatnonzero(far & ((block[i + 1 :] != block[i]) | (len(set(block.tolist())) == 1))) + i + 1).tolist():
+        inside = np.flatnonzero(~outside)
+        for i in np.flatnonzero(outside).tolist():
+            for j in inside[(sig[inside] != sig[i]).sum(axis=1) <= FAR].tolist():
                 if (p := find(comp[i])) != (q := find(comp[j])) and near(sets[i], sets[j], percent):
                     root[max(p, q)] = min(p, q)
                     a.append(ids[i])
@@ -191,41 +191,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = scratch.cut(index.join(many, "key"), "members")
     live = members.select("x").distinct()
     texts = scratch.cut(source.join(live, F.col("id") == F.col("x"), "left_semi").distinct().select(F.col("id").alias("x"), "text"), "texts")
-    comps = members.select("x").distinct().select("x", F.col("x").alias("comp"))
-    links, tested = [], []
-    for r in range(PIVOTS + 2):
-        apart = members.join(comps, "x")
-        if r:
-            open_ = apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            apart = apart.join(open_, "key")
-        if r < PIVOTS:
-            order = F.col("x") if not r else F.xxhash64("x", F.lit(r))
-            pivots = apart.groupBy("key").agg(F.min_by("x", order).alias("pivot"), F.min_by("comp", order).alias("pivot_comp"))
-            pairs = apart.join(pivots, "key").where("x <> pivot AND comp <> pivot_comp").select("pivot", "x").distinct()
-        elif r == PIVOTS:
-            small = apart.where(F.col("size") <= SMALL)
-            other = small.select("key", F.col("x").alias("pivot"), F.col("comp").alias("pivot_comp"))
-            pairs = small.join(other, "key").where("pivot < x AND comp <> pivot_comp").select("pivot", "x").distinct()
-        else:
-            found = _large(apart.where(F.col("size") > SMALL), texts, k, percent)
-            pairs = None
-        if pairs is not None:
-            for old in tested:
-                for way in (["p", "q"], ["q", "p"]):
-                    pairs = pairs.join(old.select(F.col(way[0]).alias("pivot"), F.col(way[1]).alias("x")), ["pivot", "x"], "left_anti")
-            pairs = scratch.cut(pairs, f"pairs-{r}")
-            if not pairs.limit(1).count():
-                continue
-            tested.append(pairs.select(F.col("pivot").alias("p"), F.col("x").alias("q")))
-            found = _star(pairs, texts, k, percent)
-        found = scratch.cut(found, f"links-{r}")
-        if not found.limit(1).count():
-            continue
-        links.append(found)
-        every = links[0]
-        for more in links[1:]:
-            every = every.union(more)
-        labels = components(every, scratch, f"comp-{r}")
+    known = members.groupBy("x").agg(F.sum("size").alias("known"))
+    pivots = members.join(known, "x").groupBy("key").agg(F.max_by("x", F.struct(F.col("known"), -F.col("x"))).alias("pivot"))
+    tried = scratch.cut(members.join(pivots, "key").where("x <> pivot").select("pivot", "x").distinct(), "tried")
+    links = scratch.cut(_star(tried, texts, k, percent), "links")
+    labels = components(links, scratch, "first")
+    comps = live.join(labels, "x", "left").select("x", F.coalesce("comp", "x").alias("comp"))
+    apart = members.join(comps, "x")
+    open_ = apart.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    apart = scratch.cut(apart.join(open_, "key"), "apart")
+    small = apart.where(F.col("size") <= SMALL)
+    other = small.select("key", F.col("x").alias("pivot"), F.col("comp").alias("pivot_comp"))
+    pairs = small.where("size > 2").join(other, "key").where("pivot < x AND comp <> pivot_comp").select("pivot", "x").distinct()
+    for way in (["pivot", "x"], ["x", "pivot"]):
+        pairs = pairs.join(tried.select(F.col(way[0]).alias("pivot"), F.col(way[1]).alias("x")), ["pivot", "x"], "left_anti")
+    more = _star(scratch.cut(pairs, "pairs"), texts, k, percent).union(_large(apart.where(F.col("size") > SMALL), texts, k, percent))
+    more = scratch.cut(more, "more")
+    if more.limit(1).count():
+        labels = components(links.union(more), scratch, "second")
         comps = live.join(labels, "x", "left").select("x", F.coalesce("comp", "x").alias("comp"))
     result = marked.where("n > 0").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select("id", "n", "rep")
     result = result.join(comps.select(F.col("x").alias("rep"), "comp"), "rep", "left").select("id", "n", F.coalesce("comp", "rep").alias("comp"))
@@ -244,9 +227,16 @@ def _star(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame
 
 
 def _large(apart: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Groups with more than SMALL members, block against block."""
-    apart = apart.withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")))
-    each = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("lo"), F.greatest("block", o).alias("hi")))
-    dealt = apart.select("key", "x", "comp", "block", F.explode(each).alias("with")).select("key", "x", "comp", "block", "with.lo", "with.hi")
-    both = dealt.groupBy("key", "lo", "hi").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("key", "lo", "hi")
-    return dealt.join(both, ["key", "lo", "hi"]).join(texts, "x").groupBy("key", "lo", "hi").applyInArrow(_compare(k, percent), "a long, b long")
+    """Groups with more than SMALL members: those outside the group's largest component against all, block by block.
+
+    A member is dealt once for each block of outsiders and an outsider once for each block of members, so a group of which
+    all but a few are joined costs about what its size is.
+    """
+    parts = apart.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("n"))
+    main = main.where("all > n").select("key", "main", F.ceil(F.col("all") / BLOCK).alias("blocks"), F.ceil((F.col("all") - F.col("n")) / BLOCK).alias("out_blocks"))
+    rows = apart.select("key", "x", "comp").join(main, "key").withColumn("own", F.xxhash64("x"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    members = rows.select("key", "x", "comp", F.lit(False).alias("outside"), F.pmod("own", F.col("blocks")).alias("block"), every("out_blocks").alias("out_block"))
+    outsiders = rows.where("comp <> main").select("key", "x", "comp", F.lit(True).alias("outside"), every("blocks").alias("block"), F.pmod("own", F.col("out_blocks")).alias("out_block"))
+    return members.union(outsiders).join(texts, "x").groupBy("key", "block", "out_block").applyInArrow(_compare(k, percent), "a long, b long")
