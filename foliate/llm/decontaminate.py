@@ -1,8 +1,9 @@
 """Benchmark decontamination by winnowing, native throughout.
 
-Of every GUARANTEE - K + 1 consecutive K-grams the one of least hash (the first among equals) is kept as a fingerprint, so
-a document and an item that share GUARANTEE words share a fingerprint at the same place of both. Fingerprints are joined;
-each hit names an offset between item and document, along which it is extended word by word to full windows.
+Of every GUARANTEE - K + 1 consecutive K-grams one of least hash is kept as a fingerprint of a document, and all of least
+hash as fingerprints of an item, so a document and an item that share GUARANTEE words share a fingerprint at the same place
+of both. Fingerprints are joined; each hit names an offset between item and document, along which it is extended word by
+word to full windows.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from .common import broadcast_if_small
 from .native import let, upto, words
 from .url_filter import LOWER, UPPER
 
-GUARANTEE, K = 10, 5
+GUARANTEE, K = 10, 7
+SPAN = GUARANTEE - K + 1
+#: Low bits of a hash that hold its place, so that a window's least value also tells where it is.
+PLACE = 16
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -22,21 +26,48 @@ def _words(text: Column) -> Column:
     return words(F.translate(text, UPPER, LOWER), SEPARATORS)
 
 
+def _grams(ws: Column) -> Column:
+    """K-gram hashes, each with its place modulo PLACE in the low bits."""
+    return F.transform(upto(F.size(ws) - K + 1), lambda i: F.xxhash64(F.slice(ws, i, K)).bitwiseAND(F.lit(-PLACE)).bitwiseOR(i.cast("long").bitwiseAND(F.lit(PLACE - 1))))
+
+
+def _least(grams: Column, n: Column) -> Column:
+    """The least value of each window of SPAN grams."""
+    return F.transform(upto(n - GUARANTEE + 1), lambda i: F.least(*[F.get(grams, i + (j - 1)) for j in range(SPAN)]))
+
+
 def _fingerprints(ws: Column, short: list[int]) -> Column:
     """Array of (p, h): places from 1 and hashes. Lengths in short get all their grams, as short items are whole windows."""
-    n, span = F.size(ws), GUARANTEE - K + 1
+    n = F.size(ws)
+
+    def place(x: Column, start: Column) -> Column:
+        return start + F.pmod(x.bitwiseAND(F.lit(PLACE - 1)).cast("int") - start, F.lit(PLACE))
 
-    def winnow(h: Column) -> Column:
-        first = F.transform(upto(n - GUARANTEE + 1), lambda i: let(F.slice(h, i, span), lambda s: i + F.array_position(s, F.array_min(s)).cast("int") - 1))
-        return F.transform(F.array_distinct(first), lambda p: F.struct(p.alias("p"), F.get(h, p - 1).alias("h")))
+    def changes(m: Column) -> Column:
+        return F.array_compact(F.transform(m, lambda x, i: F.when((i == 0) | (F.get(m, i - 1) != x), F.struct(place(x, i + 1).alias("p"), x.bitwiseAND(F.lit(-PLACE)).alias("h")))))
 
     def grams(m: int) -> Column:
         return F.transform(upto(n - m + 1), lambda i: F.struct(i.alias("p"), F.xxhash64(F.lit(m), F.slice(ws, i, m)).alias("h")))
 
-    parts = [let(F.transform(upto(n - K + 1), lambda i: F.xxhash64(F.slice(ws, i, K))), winnow), *map(grams, short)]
+    parts = [let(_grams(ws), lambda g: let(_least(g, n), changes)), *map(grams, short)]
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
+def _item_fingerprints(ws: Column) -> Column:
+    """Array of (q, h) of an item: all places of least hash in each window."""
+    n = F.size(ws)
+    bare = lambda x: x.bitwiseAND(F.lit(-PLACE))
+
+    def ties(g: Column) -> Column:
+        def window(i: Column) -> Column:
+            own = F.sequence(i, i + (SPAN - 1))
+            return let(F.array_min(F.transform(own, lambda q: bare(F.get(g, q - 1)))), lambda least: F.filter(own, lambda q: bare(F.get(g, q - 1)) == least))
+
+        return F.transform(F.array_distinct(F.flatten(F.transform(upto(n - GUARANTEE + 1), window))), lambda q: F.struct(q.alias("q"), bare(F.get(g, q - 1)).alias("h")))
+
+    return let(_grams(ws), ties)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Per document: n_words, n_hit words inside windows of any item, n_items with such windows, their ids, contaminated.
 
@@ -47,7 +78,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), _words(F.col(item_text_col)).alias("iw")).where("size(iw) > 0")
     short = sorted(r[0] for r in items.where(F.size("iw") < GUARANTEE).select(F.size("iw")).distinct().collect())  # nine at most
     texts = items.groupBy("iw").agg(F.collect_set("item").alias("ids")).withColumn("ikey", F.xxhash64("iw"))
-    long_ = texts.select("ikey", F.inline(_fingerprints(F.col("iw"), [])).alias("q", "h"))
+    long_ = texts.select("ikey", F.inline(_item_fingerprints(F.col("iw"))).alias("q", "h"))
     whole = texts.where(F.size("iw") < GUARANTEE).select("ikey", F.lit(1).alias("q"), F.xxhash64(F.size("iw"), "iw").alias("h"))
     index = broadcast_if_small(long_.union(whole))
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
