@@ -25,6 +25,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 DROP = frozenset("head nav header footer aside form script style textarea title noscript iframe xmp noembed noframes template svg math canvas object audio video button select option menu dialog label fieldset figure".split()) - {"figure"}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rb rt rp s samp small span strike strong sub sup time tt u var wbr img nobr picture".split())
+IMPLIED = frozenset("p li dt dd tr td th option".split())
 HOLDERS = frozenset("html body main article div section td th center".split())
 MAIN = frozenset("article main".split())
 NOISE = frozenset(
@@ -113,6 +114,8 @@ def strip(source: str) -> list[Line]:
             tail = source.find(">", at)
             at = n if tail < 0 else tail + 1
             continue
+        if skip in IMPLIED and not closing and (name == skip or skip == "p" and name not in INLINE and name not in VOID):
+            skip, skip_depth = "", 0  # its end tag was left out
         if skip:
             if name == skip:
                 skip_depth += -1 if closing else 0 if name in VOID else 1

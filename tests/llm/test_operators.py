@@ -113,20 +113,37 @@ def test_index_keys_hold_every_pair_in_reach():
 
 
 def test_large_groups_are_compared_by_blocks(spark):
-    """No document of the group is near to all others, and some are near to one of another block only."""
+    """Texts that share some keys and not others are linked as brute force links them, whatever the block."""
     from foliate.llm.common import Scratch
 
-    base = prose(50)
-    texts = [(i, base.rsplit(" ", 1)[0] + f" t{i}") for i in range(30)] + [(30 + i, prose(50)) for i in range(10)]
-    apart = spark.createDataFrame([(1, i, i, 40) for i, _ in texts], "key long, x long, comp long, size long")
+    base = prose(50, [f"v{i}" for i in range(400)]).split()
+    texts = []
+    for i in range(60):
+        own = list(base)
+        for _ in range(R.randint(0, 3)):
+            own[R.randrange(50)] = f"u{R.randrange(400)}"
+        texts.append((i, " ".join(own)))
     store = spark.createDataFrame(texts, "x long, text string")
-    old, near_dup.BLOCK = near_dup.BLOCK, 7
-    try:
-        links = near_dup._large(apart, store, 3, 85)
-        comps = near_dup.components(links, Scratch(spark), "t")
-        assert {r.x: r.comp for r in comps.collect()} == {i: 0 for i in range(30)}
-    finally:
-        near_dup.BLOCK = old
+    sets, _ = near_dup.shingle_sets(__import__("pyarrow").array([t for _, t in texts]), 3)
+    keys = near_dup.index_keys(near_dup.signatures(sets))
+    rows = [(int(keys[i, c]), i, i, 60) for i in range(60) for c in range(keys.shape[1])]
+    members = spark.createDataFrame(rows, "key long, x long, comp long, size long")
+    want = {i: c for i, (_, c) in brute.near(texts, 3, 85).items()}
+    for size in (7, 600):
+        old, near_dup.BLOCK = near_dup.BLOCK, size
+        try:
+            links = near_dup._large(members, store, 3, 85)
+            comps = {r.x: r.comp for r in near_dup.components(links, Scratch(spark), "t").collect()}
+        finally:
+            near_dup.BLOCK = old
+        assert {i: comps.get(i, i) for i in want} == want
+
+
+def test_overlaps():
+    rng = np.random.default_rng(2)
+    a, b = ([np.unique(rng.integers(0, 60, rng.integers(0, 30)).astype(np.uint64)) for _ in range(n)] for n in (5, 9))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert near_dup.overlaps(a, b, width=7).tolist() == want and near_dup.overlaps(a, b).tolist() == want
 
 
 def test_lines(spark):
@@ -144,6 +161,22 @@ def test_lines(spark):
     assert line_dedup.remove_lines(frame(spark, rows).select("doc_id", "text").where("false")).count() == 0
 
 
+def test_lines_in_large_groups(spark):
+    """Many variants of two lines, some similar to the first of their group and some only to others."""
+    base = [[f"{c}{i}" for i in range(20)] for c in "pq"]
+    rows = []
+    for i in range(90):
+        own = list(base[i % 2])
+        for _ in range(R.randint(0, 3)):
+            own[R.randrange(20)] = f"z{R.randrange(400)}"
+        rows.append((i, " ".join(own) + "\n" + " ".join(R.sample(base[0], 4))))
+    long_ = [f"l{i}" for i in range(140)]
+    for i in range(90, 110):  # the longer signatures, and pairs of both kinds
+        rows.append((i, " ".join(long_[: R.randint(85, 120)] + [f"y{R.randrange(99)}" for _ in range(R.randint(0, 20))])))
+    out = line_dedup.remove_lines(frame(spark, rows).select("doc_id", "text"))
+    same(out, brute.lines(rows), ["doc_id", "n_lines", "n_removed", "kept"])
+
+
 def test_quality(spark):
     rows = [*DOCS, (60, "a b c a b c\na b c a b c\n\n\n#*|<>"), (None, "x\nx\n y\n y"), (61, "word " * 300), (62, prose(300, [f"{a}{b}{c}" for a in "abcdefgh" for b in "stuvwxyz" for c in "klmnop"]))]
     rows = [*rows, rows[0]]
@@ -273,6 +306,7 @@ def test_html_without_article():
 
 @pytest.mark.parametrize(("source", "text"), [
     (None, ""), ("", ""), ("   ", ""), ("plain words", "plain words"), ("<p>a</p", "a"), ("<p>a<!-- cut", "a"), ("<article><p>a &am", "a &am"), ("<article><p>a</p><script>x", "a"),
+    ("<article><p class=ad>Buy<p>a<ul><li class='share'>s<li>b</ul><p>c</article>", "a\nb\nc"), ("<article><div class='ad'><div>x</div>y</div>a</article>", "a"), ("<article><div class='research-text'>a</div></article>", "a"),
     ("<nav>x</nav>", ""), ("<article>a < b and 1<2</article>", "a < b and 1<2"), ("<ARTICLE><P>A</P></ARTICLE>", "A"), ("<article><p title='a>b'>x</p></article>", "x"),
 ])
 def test_html_odd(source, text):
@@ -286,3 +320,20 @@ def test_html_rows(spark):
     n = len(html.main_text(PAGE))
     assert got == sorted([(1, "u", n), (1, "u", n), (2, None, 0), (None, "v", 0), (3, "w", 999999)], key=repr)
     assert html.extract_pages(pages.where("false")).count() == 0
+
+
+def test_large_groups_of_entries_are_compared_by_blocks(spark):
+    """What a bucket would find in one group, blocks of it find too."""
+    rng = np.random.default_rng(9)
+    rows = [(5, i, 0, 10, int(p), int(rng.integers(0, 2**8)), bytes(24), bool(rng.random() < 0.5)) for i, p in enumerate(rng.integers(0, 3, 200))]
+    large = spark.createDataFrame(rows, line_dedup.MEMBER)
+    cols = [np.array([r[k] for r in rows]) for k in (0, 1, 2, 3, 4, 5, 7)]
+    m = line_dedup.Members(cols[0].astype(np.uint64), *cols[1:6], np.zeros((200, 3), np.uint64), cols[6])
+    left, right = m.pairs(80, 0)
+    want = {(int(m.ids[a]), int(m.ids[b])) for a, b in zip(left, right, strict=True)}
+    old, line_dedup.BLOCK = line_dedup.BLOCK, 30
+    try:
+        got = {(r.a_id, r.id) for r in line_dedup._large_pairs(large, 80, 0).collect()}
+    finally:
+        line_dedup.BLOCK = old
+    assert want and got == want
