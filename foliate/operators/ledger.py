@@ -7,36 +7,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, show_probability, token_count
-from .scoring import mock_distribution, noul_value, score_value, winner
+from .scoring import mock_distribution, noul_value, winner
 
 NO_NOTES = "(no earlier passages)"
 
 
+def _apart(df: DataFrame, *cols: str | Column) -> DataFrame:
+    """A select whose results are made once a row: a generator keeps later expressions from taking them in and making them again."""
+    return df.select(F.inline(F.array(F.struct(*cols))))
+
+
 def entries(chunked: DataFrame, roster: list[dict]) -> DataFrame:
     """An entry a chunk, from that chunk alone: event, evidence, suspicion of each entity, key sentence. Rows are independent,
     so building a ledger is a parallel map; an anti-join with existing entries makes it resumable. chunked has sentences."""
-    from ..plans.questions import COMPRESSION
     from .entities import names_pattern
 
-    by = {q["id"]: q for q in COMPRESSION}
-    names = [c["canonical"] for c in roster]
-    ask = lambda qid, options: mock_distribution(F.col("text"), qid, options)
-    best = lambda d: let(d, lambda x: F.struct(winner(x).alias("value"), F.array_max(F.transform(x, lambda y: y["p4"])).alias("p4")))
-    out = chunked.select(
-        "doc_id", "t", "chapter", "sentences",
-        best(ask("concerns", [*names, *by["concerns"]["extra_options"]])).alias("concerns"),
-        best(ask("secondary", [*names, *by["secondary"]["extra_options"]])).alias("secondary"),
-        best(ask("event_type", by["event_type"]["options"])).alias("event_type"),
-        *[F.get(ask(q, ["yes", "no"]), 0)["p4"].alias(q) for q in ("new_evidence", "time_reference", "location_stated")],
-        F.array(*[F.struct(F.lit(n).alias("name"), F.lit(i).alias("ord"), score_value(ask(f"suspicion__{i}", by["suspicion"]["levels"]))[0].alias("value"), F.rlike("text", F.lit(names_pattern(c))).alias("mentioned")) for i, (n, c) in enumerate(zip(names, roster, strict=True))]).alias("suspicion"),
-        F.when(F.size("sentences") > 0, winner(mock_distribution(F.col("text"), "key_sentence", F.transform(F.sequence(F.lit(1), F.greatest(F.size("sentences"), F.lit(1))), lambda i: F.concat(F.lit("s"), i))))).alias("key_label"),
-    )
-    place = F.expr("CAST(substring(key_label, 2) AS INT)") - 1
-    return out.withColumn("key_sentence_idx", place).withColumn("key_quote", F.get("sentences", F.col("key_sentence_idx"))).drop("sentences", "key_label")
+    cast = [F.struct(F.lit(i).alias("ord"), F.lit(c["canonical"]).alias("canonical"), F.lit(names_pattern(c)).alias("pattern")) for i, c in enumerate(roster)]
+    return entries_by_cast(chunked.withColumn("cast", F.array(*cast)))
 
 
 def entries_by_cast(chunked: DataFrame) -> DataFrame:
-    """As entries, with the entities of each book in column cast (ord, canonical, pattern ...) instead of a list for all."""
+    """Entries with the entities of each book in column cast (ord, canonical, pattern ...) instead of one list for all."""
     from ..plans.questions import COMPRESSION
 
     by = {q["id"]: q for q in COMPRESSION}
@@ -45,7 +36,7 @@ def entries_by_cast(chunked: DataFrame) -> DataFrame:
     ask = lambda qid, options: mock_distribution(F.col("text"), qid, options)
     best = lambda d: let(d, lambda x: F.struct(winner(x).alias("value"), F.array_max(F.transform(x, lambda y: y["p4"])).alias("p4")))
     level = lambda c: F.array_max(F.transform(mock_distribution(F.concat_ws("|", F.col("text"), c["canonical"]), "suspicion", by["suspicion"]["levels"]), lambda y, i: F.struct(y["p4"].alias("p4"), (-i).alias("i"))))
-    out = chunked.select(
+    out = _apart(chunked,
         "doc_id", "t", "chapter", "sentences",
         best(ask("concerns", F.concat(names, more("concerns")))).alias("concerns"), best(ask("secondary", F.concat(names, more("secondary")))).alias("secondary"), best(ask("event_type", by["event_type"]["options"])).alias("event_type"),
         *[F.get(ask(q, ["yes", "no"]), 0)["p4"].alias(q) for q in ("new_evidence", "time_reference", "location_stated")],
