@@ -6,40 +6,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliate.llm import bpe, decontaminate, language, line_dedup, near_dup
-from foliate.llm.common import Scratch, table
+from foliate.llm.common import Scratch, columns, table
 from foliate.llm.queries import HELD_OUT, tokenizer
 
 #: Least share of the probability that the predicted language must have.
 LEAST_SCORE = 0.5
 
 
+def _row(docs: DataFrame) -> DataFrame:
+    """Id, text and the whole row, so that no column of the documents can clash with an operator's."""
+    return docs.select("doc_id", "text", F.struct(*columns(docs)).alias("row"))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told. Null text, or text without a letter, goes."""
     model = language.train(docs.where(f"NOT ({HELD_OUT})"), tokenizer("piece_bpe_32k.model"))
-    judged = language.identify(docs, model, keep=docs.columns)
-    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    judged = language.identify(_row(docs), model, keep=["row"])
+    return judged.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("row.*")
 
 
 def line_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that have an earlier partner. A document of which nothing is left goes."""
-    out = line_dedup.remove_lines(docs)
+    """Removes lines that have an earlier partner, and recounts n_chars where it is a column. A document of which nothing is left goes."""
+    out = line_dedup.remove_lines(_row(docs))
     left = out.where((F.col("n_removed") == 0) | F.rlike("kept", F.lit(r"[^\x20\x09-\x0D]")))
-    new = {"text": F.when(F.col("text").isNotNull(), F.col("kept"))}
+    row = F.col("row").withField("text", F.when(F.col("text").isNotNull(), F.col("kept")))
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        row = row.withField("n_chars", F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")))
+    return left.select(row.alias("row")).select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group; rows that repeat its id stay with it."""
-    found = near_dup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_of")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["_of"]), "left_semi").select(*docs.columns)
+    found = near_dup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("of")).distinct()
+    rows = _row(docs)
+    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a passage of the benchmark."""
-    bad = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_of"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_of"]), "left_anti").select(*docs.columns)
+    bad = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("of"))
+    return _row(docs).join(bad, F.col("doc_id").eqNullSafe(F.col("of")), "left_anti").select("row.*")
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
