@@ -15,11 +15,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import trim
+
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 #: White_Space is named, as \s of the regex module also holds some control characters.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Distinct words whose encodings a task keeps; the table starts anew beyond.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -140,7 +142,7 @@ class TrieEncoder:
 _ENCODERS: dict[str, TrieEncoder] = {}
 
 
-def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 512) -> DataFrame:
+def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = 256) -> DataFrame:
     """Token ids of every whole text and the text decoded from them.
 
     Null text counts as empty: no tokens, empty ids, empty decoded text. Repeated rows stay; other columns are
@@ -152,6 +154,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         if encoder is None:
             encoder = _ENCODERS[vocabulary] = TrieEncoder(Vocabulary(vocabulary))
         for whole in batches:
+            trim()
             for at in range(0, whole.num_rows, chunk):
                 batch = whole.slice(at, chunk)
                 ids = encoder.encode([t or "" for t in batch.column(1).to_pylist()])

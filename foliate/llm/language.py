@@ -17,16 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
+from .common import trim
+
 #: Bound of the sample a model is fitted on: about so many labelled texts a language, picked by a hash of the id.
 SAMPLE_A_LANGUAGE = 4000
 SMOOTHING = 0.5
 #: Probability of a character that no piece covers; longer words are scored in parts of so many characters.
 UNKNOWN, PART = 1e-4, 48
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 MAX_LANGUAGES = 200
 SPACE_MARK = "▁"
 LETTER = regex.compile(r"\p{L}")
-SCHEMA = "doc_id long, lang_pred string, score double"
 
 
 @dataclass
@@ -117,9 +118,9 @@ class Scorer:
             for at in range(0, len(w), PART):
                 parts.append(w[at : at + PART])
                 owner.append(i)
-        for at in range(0, len(parts), 50_000):
-            some = parts[at : at + 50_000]
-            np.add.at(out, np.array(owner[at : at + 50_000]), self._forward(some))
+        for at in range(0, len(parts), 8_000):
+            some = parts[at : at + 8_000]
+            np.add.at(out, np.array(owner[at : at + 8_000]), self._forward(some))
         return out
 
     def _forward(self, parts: list[str]) -> np.ndarray:
@@ -171,7 +172,7 @@ class Scorer:
             yield best, float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", chunk: int = 1000, keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", chunk: int = 500, keep: list[str] | None = None) -> DataFrame:
     """Adds lang_pred and score to keep (else the id alone, as doc_id). Every whole text is scored.
 
     Null text, text without a letter, or a model that learned nothing: und with score 0. Ties go to the first language
@@ -183,6 +184,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         scorer = Scorer(shared.value)
         langs = shared.value.langs
         for whole in batches:
+            trim()
             for at in range(0, whole.num_rows, chunk):
                 batch = whole.slice(at, chunk)
                 found = list(scorer.texts(batch.column(batch.num_columns - 1).to_pylist()))
