@@ -139,13 +139,6 @@ def test_large_groups_are_compared_by_blocks(spark):
         assert {i: comps.get(i, i) for i in want} == want
 
 
-def test_overlaps():
-    rng = np.random.default_rng(2)
-    a, b = ([np.unique(rng.integers(0, 60, rng.integers(0, 30)).astype(np.uint64)) for _ in range(n)] for n in (5, 9))
-    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
-    assert near_dup.overlaps(a, b, width=7).tolist() == want and near_dup.overlaps(a, b).tolist() == want
-
-
 def test_lines(spark):
     w = [f"w{i}" for i in range(30)]
     texts = []
