@@ -1,8 +1,8 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines (one a block). Text lengths are summed over a sliding window of lines; windows over a share
-of the greatest sum form the body, from a surge to a dive. The body is widened to the element that holds its ends, so
-that a heading before the surge or short closing lines after the dive stay.
+of the greatest sum form the body, from a surge to a dive. The body is widened to the element that holds its ends, and to
+the <article> or <main> around a dense line, so that a heading before the surge or short closing lines after the dive stay.
 """
 
 from __future__ import annotations
@@ -156,26 +156,36 @@ def strip(source: str) -> list[Line]:
 
 
 def body(lines: list[Line], window: int = WINDOW, surge: float = SURGE) -> list[Line]:
-    """The lines from each surge to its dive, widened to what holds them."""
+    """The lines from each surge to its dive, widened to what holds them.
+
+    Dense lines are sought over the whole page. An <article> or <main> only adds: all its lines stay if one is dense. It
+    then lends no weight to lines outside it, which have to be dense by themselves. Between dense lines outside such
+    elements all lines stay.
+    """
     if not lines:
         return []
-    weights = [max(0, len(x.text) - x.linked) for x in lines]
-    sums, half = [], window // 2
-    for i in range(len(lines)):
-        sums.append(sum(weights[max(0, i - half) : i + half + 1]))
+    weights, half = [max(0, len(x.text) - x.linked) for x in lines], window // 2
+
+    def density(w: list[int]) -> list[int]:
+        return [sum(w[max(0, i - half) : i + half + 1]) for i in range(len(w))]
+
+    sums = density(weights)
     least = max(1, surge * max(sums))
-    dense = [i for i, s in enumerate(sums) if s >= least and weights[i]]
-    if not dense:
-        return []
-    if any(lines[i].main for i in dense):
-        found = {lines[i].main for i in dense if lines[i].main}
-        return [x for x in lines if x.main in found]
-    first, last = dense[0], dense[-1]
-    while first and lines[first - 1].holder == lines[first].holder:
-        first -= 1
-    while last + 1 < len(lines) and lines[last + 1].holder == lines[last].holder:
-        last += 1
-    return lines[first : last + 1]
+    found = {x.main for x, s, w in zip(lines, sums, weights) if x.main and s >= least and w}
+    rest = density([0 if x.main in found else w for x, w in zip(lines, weights)])
+    dense = [i for i, x in enumerate(lines) if weights[i] and (sums if x.main in found else rest)[i] >= least]
+    kept = [x.main in found for x in lines]
+    for a, b in zip(dense, dense[1:]):
+        if lines[a].main not in found and lines[b].main not in found:
+            kept[a : b + 1] = [True] * (b + 1 - a)
+    for i in dense:
+        kept[i] = True
+        for step in (-1, 1) if lines[i].main not in found else ():
+            j = i + step
+            while 0 <= j < len(lines) and lines[j].holder == lines[i].holder and not kept[j]:
+                kept[j] = True
+                j += step
+    return [x for x, k in zip(lines, kept) if k]
 
 
 def main_text(source: str | None) -> str:

@@ -297,6 +297,18 @@ def test_html_without_article():
     assert out[0] == "Head" and out[-1] == "End." and len(out) == 7
 
 
+def test_html_body_outside_articles():
+    """Articles add lines to what is dense; they take none away, and lend no weight to their neighbours."""
+    long = [prose(40) for _ in range(6)]
+    paragraphs = "".join(f"<p>{x}</p>" for x in long)
+    card = f"<article><h3>Card</h3><p>{prose(30)}</p></article>"
+    for page in (f"<div><h2>Head</h2>{paragraphs}</div><div>{card}</div>", f"<div>{card}</div><div><h2>Head</h2>{paragraphs}</div>"):
+        out = html.main_text(f"<html><body>{page}</body></html>").split("\n")
+        assert [x for x in out if x in long] == long and {"Head", "Card"} <= set(out)
+    out = html.main_text(f"<html><body><div>Tiny</div><article><h1>T</h1>{paragraphs}</article><div>Tags</div><article>{paragraphs}</article><div>End</div></body></html>").split("\n")
+    assert out == ["T", *long, *long]
+
+
 @pytest.mark.parametrize(("source", "text"), [
     (None, ""), ("", ""), ("   ", ""), ("plain words", "plain words"), ("<p>a</p", "a"), ("<p>a<!-- cut", "a"), ("<article><p>a &am", "a &am"), ("<article><p>a</p><script>x", "a"),
     ("<article><p class=ad>Buy<p>a<ul><li class='share'>s<li>b</ul><p>c</article>", "a\nb\nc"), ("<article><div class='ad'><div>x</div>y</div>a</article>", "a"), ("<article><div class='research-text'>a</div></article>", "a"),
