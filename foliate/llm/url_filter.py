@@ -10,7 +10,8 @@ from .common import broadcast_if_small
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules of the query: host, path, verdict.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-#: Listed canonical URLs (host and path, no scheme): they and all below them are blocked where no rule fits.
+#: Listed canonical URLs (host and path, no scheme): they and all below them are blocked where no rule fits. One host of the
+#: sample tables, to show the list at work; real lists come as tables (block_list).
 LISTED = ("spam-farm.example.org/",)
 #: 64-bit blocks of the filter: at least this many bits an entry, and at most so many blocks (8 MB). A list beyond that
 #: only lets more candidates through to the exact join.
@@ -80,6 +81,19 @@ def default_rules(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {RULE_ROWS} AS r(host, path, verdict, rule)")
 
 
+def block_list(urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """Rule rows of a table of listed URLs, with or without scheme, to be united with other rules.
+
+    A URL lists itself and all below it, on its host and all subdomains. Query and fragment are left out. A host without
+    a path, or with / alone, has an empty path, which also fits URLs that end with the host. Nulls and rows without a
+    host are left out; repeated rows count once.
+    """
+    url = F.col(url_col)
+    host, path = parts(F.when(F.locate("://", url) > 0, url).otherwise(F.concat(F.lit("://"), url)))
+    listed = urls.select(host.alias("host"), F.when(path == "/", "").otherwise(path).alias("path")).where("host <> ''").distinct()
+    return listed.select("host", "path", F.lit("block").alias("verdict"), F.lit(None).cast("string").alias("rule"))
+
+
 RULE_ROWS = ", ".join([f"('{h}', '{p}', '{v}', '{h}{p}')" for h, p, v in RULES] + [f"('{u.split('/', 1)[0]}', '/{u.split('/', 1)[1]}', 'block', NULL)" for u in LISTED])
 FILTER_SQL = f"""
 WITH r(host, path, verdict, rule) AS (VALUES {RULE_ROWS}),

@@ -202,6 +202,17 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages, url_filter.default_rules(spark).where("false")).where("verdict = 'block'").count() == 0
 
 
+def test_block_list_of_a_table(spark):
+    listed = [("http://Casino.test",), ("ads.test/",), ("ads.test",), ("https://mixed.test/bad?x#y",), ("example.com/en/9",), (None,), ("",), ("http://",)] + [(f"h{i}.test",) for i in range(300)]
+    rules = url_filter.block_list(spark.createDataFrame(listed, "url string"))
+    assert rules.count() == 304
+    want = {"http://casino.test": "block", "http://www.casino.test?q": "block", "http://casino.test/a": "block", "http://xcasino.test/": "allow", "http://m.ads.test/": "block", "http://mixed.test/bad/1": "block", "http://mixed.test/": "allow",
+            "http://h299.test": "block", "http://h300.test/": "allow", "http://www.example.com/en/9": "allow", "": "allow"}
+    pages = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    got = {r.url: r.verdict for r in url_filter.filter_urls(pages, url_filter.default_rules(spark).unionByName(rules)).collect()}
+    assert got == want
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
     bloom = url_filter.blocked_bloom(keys, 2048)
