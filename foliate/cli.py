@@ -31,6 +31,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "run":
         tables = book.run_all(spark, a.path, a.out, book.Settings(target=a.target, window=a.window), limit=a.limit)
         tables["results"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("steps"), F.sum("input_tokens").alias("tokens")).show(truncate=False)
+        tables["refused"].groupBy("doc_id", "verdict").agg(F.count(F.lit(1)).alias("steps_refused"), F.min("t").alias("from_t")).show(truncate=False)
     elif a.command == "list":
         book.listing(read("books")).show(1000, truncate=False)
     elif a.command == "inspect":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -161,6 +163,83 @@ def plan_rollups(sizes: DataFrame, budget: int, window: int, header_tokens: int
     return sizes.groupBy("doc_id").applyInPandas(plan, ROLLUPS)
 
 
+def step_rollups(steps: DataFrame, budget: int, window: int) -> DataFrame:
+    """The rollups of each document by the rule of plan_rollups, over the true length of every state, with their summaries.
+
+    steps: doc_id, t, chapter, note, text, event, evidence, quote. A rollup lies within one chapter. Rollups depend on
+    budget and window alone, not on where a run starts or ends. A step that stays over budget with all rolled up ends its
+    document's plan with a row of id -1 and no summary.
+    """
+
+    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t")
+        doc = pdf["doc_id"].iloc[0]
+        plain = lambda c: [x if isinstance(x, str) else None for x in pdf[c]]
+        t, note, text = ([int(x) for x in pdf[c]] for c in ("t", "note_length", "text_length"))
+        chapter, event, quote = plain("chapter"), plain("event"), plain("quote")
+        head = lambda i: len(f"== {chapter[i] or 'untitled'} ==") + 1
+        begins = lambda i: i == rolled or chapter[i] != chapter[i - 1]
+        out: list[tuple] = []
+        rolled = seen = 0  # entries are rolled oldest first, so a count tells which
+        live = summed = 0  # length of visible un-rolled notes and headers, and of summaries, each with a line end
+        for s in range(1, len(t) + 1):
+            visible, step = max(0, s - window), t[s - 1]
+            while seen < visible:
+                live += note[seen] + 1 + (head(seen) if begins(seen) else 0)
+                seen += 1
+            upto = max(0, step - window)
+            fixed = len("CASE NOTES (none yet):\n" if upto < 1 else f"CASE NOTES (compressed record of passages 1-{upto}):\n")
+            recent = [len(f"[#{t[i]}]\n") + text[i] for i in range(visible, s - 1)]
+            fixed += len("\n\nRECENT PASSAGES (full text):\n") + sum(recent) + 2 * (len(recent) - 1) if recent else 0
+            fixed += len(f"\n\nCURRENT PASSAGE (#{step}):\n") + text[s - 1]
+            while -(-(fixed + (live + summed - 1 if visible else len(NO_NOTES))) // 4) > budget:
+                if rolled >= visible:
+                    out.append((doc, -1, step, step, step, None))
+                    return pd.DataFrame(out, columns=columns)
+                end = rolled + 1
+                while end < visible and chapter[end] == chapter[rolled]:
+                    end += 1
+                if end == visible:
+                    end = rolled + max(1, (visible - rolled) // 2)
+                counts = Counter(x for x in event[rolled:end] if x is not None)
+                lines = [f"== SUMMARY of passages #{t[rolled]}-#{t[end - 1]} ==", f"[{chapter[rolled] or 'untitled'}] #{t[rolled]}-#{t[end - 1]}: " + ", ".join(f"{k} x{n}" for k, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])))]
+                lines += [f'  #{t[i]} "{quote[i]}"' for i in range(rolled, end) if quote[i]]
+                summary = "\n".join(lines)
+                out.append((doc, len(out) + 1, t[rolled], t[end - 1], step, summary))
+                rolled, summed = end, summed + len(summary) + 1
+                live = sum(note[i] + 1 + (head(i) if begins(i) else 0) for i in range(rolled, visible))
+        return pd.DataFrame(out, columns=columns)
+
+    columns = ["doc_id", "id", "from_t", "to_t", "triggered_at_t", "summary"]
+    length = lambda c: F.coalesce(F.length(c), F.lit(0))
+    sizes = steps.select("doc_id", "t", "chapter", length("note").alias("note_length"), length("text").alias("text_length"), "event", F.when(F.col("evidence"), F.col("quote")).alias("quote"))
+    kind = steps.schema["doc_id"].dataType.simpleString()
+    return sizes.groupBy("doc_id").applyInPandas(plan, f"doc_id {kind}, id int, from_t int, to_t int, triggered_at_t int, summary string")
+
+
+def rolled_states(steps: DataFrame, budget: int = 26_000, window: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, t, keep, state, over_budget. Rollups made up to a step stand for the notes they cover, other notes follow under
+    a header where the chapter changes. over_budget: with all rolled up this step or an earlier one is still over budget,
+    so it can't be asked. steps as for step_rollups."""
+    row = F.array_sort(F.collect_list(F.struct("from_t", "to_t", "triggered_at_t", "id", "summary"))).alias("rollups")
+    plans = step_rollups(steps, budget, window).groupBy("doc_id").agg(row)
+    title = F.concat(F.lit("== "), F.coalesce(F.when(F.col("chapter") != "", F.col("chapter")), F.lit("untitled")), F.lit(" =="))
+    notes = chapter_headers(steps).select("doc_id", "t", *keep, "text", F.struct("t", title.alias("title"), F.col("header").isNotNull().alias("begins"), "note").alias("note"))
+    framed = frames(notes, window).join(plans, "doc_id", "left").withColumn("rollups", F.coalesce("rollups", F.array().cast(plans.schema["rollups"].dataType)))
+    active = F.filter("rollups", lambda r: (r["id"] > 0) & (r["triggered_at_t"] <= F.col("t")))
+    framed = _apart(framed, "doc_id", "t", *keep, "text", "recent", "notes", active.alias("active"), F.exists("rollups", lambda r: (r["id"] < 0) & (r["triggered_at_t"] <= F.col("t"))).alias("over_budget"))
+    covered = F.coalesce(F.array_max(F.transform("active", lambda r: r["to_t"])), F.lit(0))
+    live = let(covered, lambda c: F.filter("notes", lambda n: n["t"] > c))
+    lines = F.transform(live, lambda n, i: F.concat_ws("\n", F.when((i == 0) | n["begins"], n["title"]), n["note"]))
+    shown = _apart(framed, "doc_id", "t", *keep, "text", "recent", "over_budget", F.concat(F.transform("active", lambda r: r["summary"]), lines).alias("notes"))
+    return shown.select("doc_id", "t", *keep, compose_state(window).alias("state"), "over_budget")
+
+
+def noted(entries: DataFrame) -> DataFrame:
+    """What rolled_states needs of entries, besides texts."""
+    return entries.select("doc_id", "t", "chapter", render_entry().alias("note"), F.col("event_type.value").alias("event"), noul_value(F.col("new_evidence")).alias("evidence"), F.col("key_quote").alias("quote"))
+
+
 def run_estimate(chunked: DataFrame, window: int = 3, characters: int = 25, budget: int = 26_000, price_per_m: float = 0.042) -> DataFrame:
     """Per document: calls, tokens for building the ledger and for inference, cost and minutes. chunked: doc_id, t, text.
 

@@ -71,9 +71,10 @@ def question_tokens(specs: list[Spec]) -> tuple[int, int]:
     return sum(each), max(each, default=0)
 
 
-def budget_guard(states: DataFrame, specs: list[Spec], state_limit: int = STATE_TOKENS, request_limit: int = REQUEST_TOKENS, state_col: str = "state") -> DataFrame:
-    """Adds state_tokens and verdict: ok, state (with the longest question it is too long) or request (with all). Nothing is cut."""
-    every, longest = question_tokens(specs)
+def budget_guard(states: DataFrame, specs: list[Spec], state_limit: int = STATE_TOKENS, request_limit: int = REQUEST_TOKENS, state_col: str = "state", asked: tuple[Column, Column] | None = None) -> DataFrame:
+    """Adds state_tokens and verdict: ok, state (with the longest question it is too long) or request (with all). Nothing is cut.
+    asked: tokens of all questions and of the longest where they differ by row."""
+    every, longest = asked or question_tokens(specs)
     n = token_count(F.col(state_col))
     return states.withColumn("state_tokens", n).withColumn("verdict", F.when(F.col("state_tokens") + longest > state_limit, "state").when(F.col("state_tokens") + every > request_limit, "request").otherwise("ok"))
 

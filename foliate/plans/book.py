@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import alias_pattern, sentences, token_count, word_count
 from ..operators import chunking, curves, entities, ledger, results
-from ..operators.scoring import mock_distribution
+from ..operators.scoring import budget_guard, mock_distribution, question_tokens
 from ..sources import readers, sinks
-from .questions import INFERENCE, questions_hash
+from .questions import INFERENCE, Context, questions_hash, resolve
 
 VERSION = "1"
 BOOK = "book_id string, source string, kind string, title string, author string, n_words bigint, n_paragraphs int, text_sha256 string, paragraphs array<string>, chapters array<struct<title:string,paragraph_offset:int>>"
@@ -85,11 +85,12 @@ def build_ledger(chunked: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def infer(states: DataFrame, done: DataFrame, settings: Settings, limit: int | None = None) -> DataFrame:
-    """Result rows of steps that have none yet; limit counts steps on the ordered axis. states: doc_id, t, state, cast."""
-    todo = results.pending(states, done, ["doc_id", "t"])
+    """Result rows of steps that have none yet; limit counts steps on the ordered axis. states: doc_id, t, state, cast, verdict;
+    only steps of verdict ok can be asked."""
+    todo = results.pending(states.where("verdict = 'ok'"), done, ["doc_id", "t"])
     if limit is not None:
         todo = todo.where(F.col("t") <= limit)
-    names = F.transform(F.filter("cast", lambda c: c["is_suspect"]) if settings.candidate_set == "suspects_only" else F.col("cast"), lambda c: c["canonical"])
+    names = F.transform(_candidates(settings), lambda c: c["canonical"])
     options = F.concat(names, F.array(F.lit("none_of_these")))
     out = todo.withColumn("distribution", mock_distribution(F.col("state"), "culprit", options))
     yes = lambda q: F.get(mock_distribution(F.col("state"), q, ["yes", "no"]), 0)["p4"].alias(q)
@@ -99,15 +100,35 @@ def infer(states: DataFrame, done: DataFrame, settings: Settings, limit: int | N
     )
 
 
+def _candidates(settings: Settings) -> Column:
+    return F.filter("cast", lambda c: c["is_suspect"]) if settings.candidate_set == "suspects_only" else F.col("cast")
+
+
 def states_of(chunked: DataFrame, entries: DataFrame, settings: Settings) -> DataFrame:
-    """The state of every step. Plans of rollups (ledger.plan_rollups) say which notes a summary replaces where a book is over budget."""
-    notes = entries.select("doc_id", "t", ledger.render_entry().alias("note"))
-    joined = chunked.select("doc_id", "t", "text", "cast").join(notes, ["doc_id", "t"])
-    return ledger.frames(joined, settings.window).select("doc_id", "t", "cast", ledger.compose_state(settings.window).alias("state"))
+    """The state of every step, notes rolled up where a book is over budget (ledger.rolled_states), and verdict: ok, budget (over it
+    with all rolled up, here or at an earlier step), state or request (too long with the questions)."""
+    joined = ledger.noted(entries).join(chunked.select("doc_id", "t", "text", "cast"), ["doc_id", "t"])
+    states = ledger.rolled_states(joined, settings.budget, settings.window, ("cast",))
+    others = lambda c: F.array_remove(F.array_distinct(c["names"]), c["canonical"])
+    shown = lambda c: F.length(c["canonical"]) + F.when(F.size(others(c)) > 0, F.lit(len("also called: ")) + F.length(F.array_join(others(c), ", "))).otherwise(0)
+    length = F.aggregate(F.transform(_candidates(settings), shown), F.lit(0), lambda a, n: a + n)
+    culprit, *rest = resolve(INFERENCE, Context([], []))
+    every, longest = question_tokens(rest)
+    own = F.ceil((length + len(culprit.instructions + culprit.options[0][0])) / 4.0)
+    judged = budget_guard(states, [], asked=(own + every, F.greatest(own, F.lit(longest))))
+    return judged.withColumn("verdict", F.when(F.col("over_budget"), "budget").otherwise(F.col("verdict"))).drop("over_budget")
+
+
+def refused(states: DataFrame) -> DataFrame:
+    """Steps that can't be asked, and why."""
+    return states.where("verdict <> 'ok'").select("doc_id", "t", "state_tokens", "verdict")
 
 
 def run_all(spark: SparkSession, path: str, out: str, settings: Settings = Settings(), given: dict[str, list[dict]] | None = None, limit: int | None = None) -> dict[str, DataFrame]:
-    """Ingests the files under path and brings the tables under out up to date: books, chunks, roster, ledger, results."""
+    """Ingests the files under path and brings the tables under out up to date: books, chunks, roster, ledger, results. Also gives
+    refused: steps that can't be asked (not stored; they are judged anew each time)."""
+    if settings.posthoc:
+        raise NotImplementedError("post-hoc notes are not built")
 
     def stored(name: str, like: DataFrame) -> DataFrame:
         return sinks.read_or_empty(spark, f"{out}/{name}", like.schema)
@@ -128,7 +149,7 @@ def run_all(spark: SparkSession, path: str, out: str, settings: Settings = Setti
     steps = states_of(full, entries, settings)
     first = infer(steps, entries.select("doc_id", "t").where("false"), settings)
     run = append("results", infer(steps, stored("results", first), settings, limit))
-    return {"books": books, "chunks": chunks, "roster": roster, "ledger": entries, "results": run}
+    return {"books": books, "chunks": chunks, "roster": roster, "ledger": entries, "results": run, "refused": refused(steps)}
 
 
 def listing(books: DataFrame) -> DataFrame:

@@ -483,9 +483,8 @@ def rollup_plan(read, spark):
 
 @query()
 def state_at_step(read, spark):
-    """The state of every step: notes before a window of three, then full texts."""
-    e = _entries(read).select("doc_id", "t", ledger.render_entry().alias("note")).join(chunked(read).select("doc_id", "t", "text"), ["doc_id", "t"])
-    return ledger.frames(e).select("doc_id", "t", ledger.compose_state().alias("state"))
+    """The state of every step: notes before a window of three, rolled up where over budget, then full texts."""
+    return ledger.rolled_states(ledger.noted(_entries(read)).join(chunked(read).select("doc_id", "t", "text"), ["doc_id", "t"]))
 
 
 # ---- usage and prices ----

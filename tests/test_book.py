@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliate import cli
+from foliate.operators import ledger
 from foliate.plans import book
 from foliate.sources import tables
 
@@ -42,6 +43,21 @@ def test_run_and_rerun(spark, shelf, tmp_path):
         assert cli.main(command, spark) == 0
 
 
+def test_budget_of_a_run(spark, shelf, tmp_path):
+    """Over budget, notes are rolled up; steps that stay over it are refused and get no result."""
+    full = book.with_roster(c := book.chunk_books(book.ingest(spark, str(shelf)), 40), book.rosters(c))
+    entries = ledger.entries_by_cast(full)
+    plain, tight = (book.states_of(full, entries, book.Settings(target=40, window=1, budget=b)) for b in (26_000, 250))
+    assert not any("SUMMARY" in r.state for r in plain.collect()) and {r.verdict for r in plain.collect()} == {"ok"}
+    rows = tight.collect()
+    assert any("== SUMMARY of passages #1-" in r.state for r in rows) and all(r.state_tokens <= 250 for r in rows if r.verdict == "ok")
+    out = book.run_all(spark, str(shelf), str(tmp_path / "out"), book.Settings(target=40, window=1, budget=60))
+    no = out["refused"].collect()
+    assert no and {r.verdict for r in no} == {"budget"} and out["results"].count() == full.count() - len(no)
+    with pytest.raises(NotImplementedError):
+        book.run_all(spark, str(shelf), str(tmp_path / "out"), book.Settings(posthoc=True))
+
+
 def test_given_rosters_rule(spark, shelf, tmp_path):
     books = book.ingest(spark, str(shelf))
     one = books.where("title = 'The Gate'").first().book_id

@@ -1,7 +1,10 @@
 """Invariants of the operators on small inputs of our own."""
 
 import io
+import itertools
+import random
 import zipfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,6 +214,63 @@ def test_rollup_rows(spark):
     assert [(r.chapter, r.from_t, r.to_t, [tuple(e) for e in r.event_counts or []], [tuple(q) for q in r.quotes]) for r in rows] == [("a", 1, 3, [("y", 2), ("x", 1)], [(1, "q1")]), (None, 4, 4, [("x", 1)], [(4, "q4")]), ("a", 5, 5, [], [])]
 
 
+def states_by_hand(steps, budget, window):
+    """The rule of rollups over whole rendered states: {t: state}, and the first step that stays over budget."""
+    rolled, out = [], {}
+
+    def render(visible):
+        lines, chapter = [], object()
+        for a, b, text in rolled:
+            lines.append(text)
+        for e in visible[rolled[-1][1] if rolled else 0 :]:
+            if e["chapter"] != chapter:
+                chapter = e["chapter"]
+                lines.append(f"== {chapter or 'untitled'} ==")
+            lines.append(e["note"])
+        return "\n".join(lines) if visible else "(no earlier passages)"
+
+    for s in range(1, len(steps) + 1):
+        upto = max(0, s - window)
+        visible = steps[:upto]
+        while True:
+            head = "CASE NOTES (none yet)" if upto < 1 else f"CASE NOTES (compressed record of passages 1-{upto})"
+            parts = [f"{head}:\n{render(visible)}"]
+            if recent := steps[upto : s - 1]:
+                parts.append("RECENT PASSAGES (full text):\n" + "\n\n".join(f"[#{e['t']}]\n{e['text']}" for e in recent))
+            state = "\n\n".join([*parts, f"CURRENT PASSAGE (#{s}):\n{steps[s - 1]['text']}"])
+            rest = visible[rolled[-1][1] if rolled else 0 :]
+            if -(-len(state) // 4) <= budget or not rest:
+                break
+            group = list(itertools.takewhile(lambda e: e["chapter"] == rest[0]["chapter"], rest))
+            if len(group) == len(rest):
+                group = group[: max(1, len(group) // 2)]
+            a, b = group[0]["t"], group[-1]["t"]
+            counts = Counter(e["event"] for e in group if e["event"] is not None)
+            text = [f"== SUMMARY of passages #{a}-#{b} ==", f"[{group[0]['chapter'] or 'untitled'}] #{a}-#{b}: " + ", ".join(f"{k} x{n}" for k, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])))]
+            rolled.append((a, b, "\n".join(text + [f"  #{e['t']} \"{e['quote']}\"" for e in group if e["evidence"] and e["quote"]])))
+        if -(-len(state) // 4) > budget:
+            return out, s
+        out[s] = state
+    return out, None
+
+
+@pytest.mark.parametrize(("budget", "window"), [(10**6, 3), (300, 3), (230, 1), (180, 3), (60, 3)])
+def test_states_are_rolled_up(spark, budget, window):
+    rng = random.Random(budget)
+    docs = {d: [{"t": t, "chapter": [None, "", "A", "B", "C"][t // 6 % 5] if d else "one", "note": f"#{t} " + "né" * rng.randrange(5, 40), "text": "x" * rng.randrange(90), "event": rng.choice([None, "move", "act", "act"]),
+                 "evidence": rng.random() < 0.3, "quote": rng.choice([None, "", "q" * rng.randrange(1, 20)])} for t in range(1, 41)] for d in (0, 1, 2)}
+    rows = [(d, *e.values()) for d, es in docs.items() for e in es]
+    steps = spark.createDataFrame(rows, "doc_id long, t int, chapter string, note string, text string, event string, evidence boolean, quote string")
+    got = ledger.rolled_states(steps, budget, window).collect()
+    assert len(got) == len(rows)
+    for d, es in docs.items():
+        want, stop = states_by_hand(es, budget, window)
+        assert {r.t: r.state for r in got if r.doc_id == d and not r.over_budget} == want
+        assert stop is None or min(r.t for r in got if r.doc_id == d and r.over_budget) == stop
+    if budget in (300, 230, 180):
+        assert any("SUMMARY" in r.state for r in got)
+
+
 @pytest.mark.parametrize("window", [1, 3])
 def test_states(spark, window):
     steps = spark.createDataFrame([(1, t, f"n{t}", f"text {t}") for t in range(1, 7)], "doc_id long, t int, note string, text string")
