@@ -25,8 +25,6 @@ from .common import Scratch, Words, mix
 CHUNKS, WIDTH, ERRORS, BITS = 8, 5, 1, 16
 SYMBOLS = CHUNKS * WIDTH
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
-#: Members of a large group that differ in more symbols are not compared; at a Jaccard index of 0.8 that is one pair in 10^8.
-FAR = 24
 #: Members of a group whose remaining pairs are listed, members of a block of larger groups, and bytes of text in one
 #: comparison task's group.
 SMALL, BLOCK, GROUP_BYTES = 24, 200, 4_000_000
@@ -130,7 +128,6 @@ def _compare(k: int, percent: int):
 
     def rows(t: pa.Table) -> pa.Table:
         sets, _ = shingle_sets(t.column("text").combine_chunks(), k)
-        sig = signatures(sets)
         ids, comp, outside = t.column("x").to_pylist(), t.column("comp").to_pylist(), t.column("outside").to_numpy(zero_copy_only=False)
         root = {c: c for c in comp}
 
@@ -142,7 +139,7 @@ def _compare(k: int, percent: int):
         a, b = [], []
         inside = np.flatnonzero(~outside)
         for i in np.flatnonzero(outside).tolist():
-            for j in inside[(sig[inside] != sig[i]).sum(axis=1) <= FAR].tolist():
+            for j in inside.tolist():
                 if (p := find(comp[i])) != (q := find(comp[j])) and near(sets[i], sets[j], percent):
                     root[max(p, q)] = min(p, q)
                     a.append(ids[i])

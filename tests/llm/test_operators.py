@@ -202,6 +202,18 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages, url_filter.default_rules(spark).where("false")).where("verdict = 'block'").count() == 0
 
 
+def test_large_groups_verify_every_pair_still_apart():
+    """Pairs with few equal symbols too."""
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{i}" for i in range(a, a + 20)) for a in (0, 14)]
+    sig = near_dup.signatures(near_dup.shingle_sets(pa.array(texts), 1)[0])
+    assert (sig[0] != sig[1]).sum() > 24
+    t = pa.table({"text": texts, "x": [1, 2], "comp": [1, 2], "outside": [True, False]})
+    assert near_dup._compare(1, 15)(t).to_pydict() == {"a": [1], "b": [2]}
+    assert near_dup._compare(1, 18)(t).num_rows == 0
+
+
 def test_block_list_of_a_table(spark):
     listed = [("http://Casino.test",), ("ads.test/",), ("ads.test",), ("https://mixed.test/bad?x#y",), ("example.com/en/9",), (None,), ("",), ("http://",)] + [(f"h{i}.test",) for i in range(300)]
     rules = url_filter.block_list(spark.createDataFrame(listed, "url string"))
