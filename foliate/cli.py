@@ -1,4 +1,4 @@
-"""Command line: python -m foliate.cli run|list|inspect|ledger|validate|curve FOLDER ..."""
+"""Command line: python -m foliate.cli run|list|inspect|ledger|roster|curve FOLDER ..."""
 
 from __future__ import annotations
 

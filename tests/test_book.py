@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,14 @@ def test_budget_of_a_run(spark, shelf, tmp_path):
         book.run_all(spark, str(shelf), str(tmp_path / "out"), book.Settings(posthoc=True))
 
 
+def test_documented_commands_exist(spark, capsys):
+    """Each command that the module names has a parser."""
+    for name in re.search(r"foliate\.cli (\S+) FOLDER", cli.__doc__)[1].split("|"):
+        with pytest.raises(SystemExit) as stopped:
+            cli.main([name, "--help"], spark)
+        assert stopped.value.code == 0, name
+
+
 def test_given_rosters_rule(spark, shelf, tmp_path):
     books = book.ingest(spark, str(shelf))
     one = books.where("title = 'The Gate'").first().book_id
