@@ -1,322 +1,193 @@
-"""Line dedup as an exact set-similarity join.
-
-A line is its set of distinct words. Words are ordered from rare to common, by counts in a hashed table of fixed size, so
-a line of n words with a partner of similarity t shares one of its first n - ceil(t n) + 1 words with it. That prefix is
-indexed; length and position filters drop pairs that cannot reach t; the rest is verified on full sets. A line with an
-earlier partner goes.
-
-Lines of one set are one class, represented by its first line. Index entries travel as packed arrays to buckets of the hash
-range, each with a parity signature (64 bits, long lines 256): two sets differ in at least as many words as their
-signatures in bits, which drops most pairs without their texts. First every line is tried against its few likeliest partners; only lines that none
-of them matches meet all others that pass the filters. So a group of n near copies of one line costs about n comparisons
-of texts, and groups too large for a task are compared block by block.
-
-A form made of DataFrame functions alone gave the same rows but not within the limits; the README has the figures.
+"""Line dedup as an exact set-similarity join, in DataFrame functions alone.
+
+A line is its set of distinct words. Words are ordered from rare to common by counts in a hashed table of fixed size. Of two
+lines of n <= m words with similarity t or more, the longer shares one of its first m - ceil(t m) + 1 words with one of the
+first n - ceil(2t / (1 + t) n) + 1 words of the shorter; those prefixes are joined. Length, position and signature filters
+(128 parity bits: sets differ in at least as many words as their signatures in bits) work inside the join, so that little
+more than similar pairs leaves it; those are verified on full sets. A line with an earlier partner goes.
+
+Lines of one set are one class, represented by its first line. A word that over LARGE classes have in their prefixes is
+refined: similar lines also share a second word of prefixes that are one word longer, so such entries are joined by both
+words. What is still over LARGE is a group of near copies: its lines are tried against the group's first line, in ROUNDS
+rounds of which each leaves the lines found; only lines that are left meet all others of the group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, columns, mix, partitions, trim
-from .native import let
-from .substring import pack, spans, unpack
+from .common import Scratch, columns, conf
+from .native import BITS_AN_ENTRY, MAX_BLOCKS, blocked_bloom, bloom_test, let
 
 PERCENT = 80
-#: Slots of the table of word counts: 8 MB, whatever the vocabulary. Words of a slot share its rarity. It is summed in parts.
-SLOT_BITS, PART = 20, 1 << 14
-#: Texts that are split at a time.
-TEXTS = 250
-SLOTS = 1 << SLOT_BITS
-#: Lines of more words have the longer signature.
-LONG = 100
-#: Entries of a bucket, members of a group that a bucket compares itself, members of a block of larger groups, and partners
-#: that a line is tried against first.
-BUCKET_ENTRIES, LARGE, BLOCK, LIKELIEST = 2_000_000, 8192, 2048, 3
+#: Slots of the table of word counts, which comes to the driver: words of a slot share its rarity.
+SLOT_BITS = 16
+#: Low bits of a word's hash in its key; the rarity of its slot is above them.
+KEY_BITS = 48
+#: Classes that share a key beyond which it is refined, and rounds in which groups of near copies are thinned out.
+LARGE, ROUNDS = 512, 3
 NOTHING = -(1 << 62)
-_U = np.uint64
-CLASS = "c1 long, c2 long, n int, sig long, wide binary, id long, line int, prefix binary"
-PACKED = "bucket long, n long, packed binary, sizes binary"
-MEMBER = "key long, id long, line int, n int, pos int, sig long, wide binary, open boolean"
-FOUND = MEMBER + ", a_id long, a_line int"
+BLANKS = "\t\x0b\x0c\r"
+PLACE = ["id", "line"]
+ENTRY = ["tok", "id", "line", "n", "pos", "s1", "s2"]
+
+
+def words(line: Column) -> Column:
+    """Runs of anything but ASCII white space, with empty strings between blanks in a row. Lines hold no \\n."""
+    odd = reduce(Column.__or__, [F.contains(line, F.lit(b)) for b in BLANKS])
+    return F.split(F.when(odd, F.translate(line, BLANKS, " " * len(BLANKS))).otherwise(line), " ")
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """id, line (number from 0), body of each line of id, text."""
+    return docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+
+
+def _shift(way: str, value: Column | int, by: Column | int) -> Column:
+    lit = lambda x: x if isinstance(x, Column) else F.lit(x)
+    return F.call_function(way, lit(value).cast("long"), lit(by).cast("int"))
+
+
+def word_ranks(source: DataFrame) -> Column:
+    """Array by slot: how common its words are, as 500 times the logarithm of their count over all texts (under 2^15)."""
+    slot = _shift("shiftrightunsigned", F.xxhash64("w"), 64 - SLOT_BITS).cast("int").alias("slot")
+    counts = lines(source).select(F.explode(words(F.col("body"))).alias("w")).where("w <> ''").groupBy(slot).agg(F.count(F.lit(1)).alias("n"))
+    found = {r["slot"]: round(500 * math.log2(r["n"] + 1)) for r in counts.collect()}  # 2^SLOT_BITS rows at most
+    return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(1 << SLOT_BITS))), ",").cast("array<smallint>")
+
+
+def word_set(line: Column) -> Column:
+    """Hashes of the distinct words of a line."""
+    return F.array_distinct(F.array_remove(F.transform(words(line), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+
+
+def word_keys(line: Column, ranks: Column) -> Column:
+    """Sorted distinct keys, rare words first: rarity above the low bits of the hash."""
+    key = lambda h: _shift("shiftleft", F.get(ranks, _shift("shiftrightunsigned", h, 64 - SLOT_BITS).cast("int")), KEY_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
+    return F.sort_array(F.transform(word_set(line), key))
 
 
-def least_overlap(n, m, percent: int):
+def _ceil(a: Column, b: int) -> Column:
+    return F.call_function("div", a + (b - 1), F.lit(b)).cast("int")
+
+
+def probe_prefix(n: Column, percent: int) -> Column:
+    return n - _ceil(n * percent, 100) + 1
+
+
+def index_prefix(n: Column, percent: int) -> Column:
+    return n - _ceil(n * 2 * percent, 100 + percent) + 1
+
+
+def least_overlap(n: Column, m: Column, percent: int) -> Column:
     """Words that sets of n and m words must share to reach the similarity."""
-    return -(-percent * (n + m) // (100 + percent))
-
-
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> _U(64 - SLOT_BITS)).astype(np.int64)
-
-
-def word_counts(source: DataFrame) -> np.ndarray:
-    """Words in each slot, over all texts; SLOTS numbers come to the driver."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, TEXTS):
-                np.add(total, np.bincount(_slot(Words(batch.column(0).slice(at, TEXTS)).hash[0]), minlength=SLOTS), out=total)
-        parts = [(k, total[k * PART : (k + 1) * PART]) for k in range(SLOTS // PART)]
-        parts = [(k, pack(v)) for k, v in parts if v.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int64()), pa.array([v for _, v in parts], pa.binary())], names=["part", "counts"])
-
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(unpack(x.as_py(), PART, np.int64) for x in t.column("counts"))
-        return pa.table({"part": pa.array(t.column("part").to_pylist()[:1], pa.int64()), "counts": pa.array([pack(total)], pa.binary())})
-
-    summed = source.select("text").mapInArrow(count, "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary")
-    out = np.zeros(SLOTS, np.int64)
-    for r in summed.collect():
-        out[r["part"] * PART : (r["part"] + 1) * PART] = unpack(bytes(r["counts"]), PART, np.int64)
-    return out
-
-
-class Lines:
-    """The sets of the lines of many texts: for each line with words its row, number and ordered distinct keys."""
-
-    def __init__(self, texts: pa.Array, rank: np.ndarray):
-        w = Words(texts)
-        breaks = np.flatnonzero(w.data == 10)
-        line = np.searchsorted(breaks, w.starts) + w.row
-        first = np.searchsorted(breaks, w.offsets[:-1]) + np.arange(len(w.count))
-        keys = rank[_slot(w.hash[0])] << _U(63 - SLOT_BITS) | (w.hash[0] >> _U(1)) & _U((1 << 63 - SLOT_BITS) - 1)
-        order = np.lexsort((keys, line))
-        line, keys, row = line[order], keys[order], w.row[order]
-        new = np.ones(len(keys), bool)
-        new[1:] = (line[1:] != line[:-1]) | (keys[1:] != keys[:-1])
-        line, self.keys, row = line[new], keys[new], row[new]
-        change = np.ones(len(line), bool)
-        change[1:] = line[1:] != line[:-1]
-        self.start = np.flatnonzero(change)
-        self.n = np.diff(self.start, append=len(line))
-        self.row = row[self.start]
-        self.line = line[self.start] - first[self.row]
-
-
-def _binary(values: np.ndarray, counts: np.ndarray, starts: np.ndarray, width: int) -> pa.Array:
-    """For each row the bytes of counts values from starts on."""
-    take = np.repeat(starts, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    offsets = np.concatenate([[0], np.cumsum(counts * width)]).astype(np.int32)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(values[take])])
-
-
-def _flat(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """All values of a binary column, and how many each row has."""
-    offs = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
-    width = np.dtype(kind).itemsize
-    data = np.frombuffer(column.buffers()[2], np.uint8)[offs[0] : offs[-1]].copy().view(kind) if offs[-1] > offs[0] else np.zeros(0, kind)
-    return data, np.diff(offs) // width
-
-
-def _classes(rank: np.ndarray, percent: int, smallest: int):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            trim()
-            for at in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(at, TEXTS)
-                x = Lines(batch.column(1), rank)
-                if not len(x.n):
-                    continue
-                ids = batch.column(0).to_numpy()[x.row]
-                with np.errstate(over="ignore"):
-                    c1, c2 = (np.add.reduceat(mix(x.keys ^ _U(k)), x.start).view(np.int64) for k in (91, 17))
-                spread = mix(x.keys)
-                bit, word = _U(1) << (spread >> _U(58)), (spread >> _U(40)) & _U(3)
-                wide = np.stack([np.bitwise_xor.reduceat(np.where(word == k, bit, _U(0)), x.start) for k in map(_U, range(4))], axis=1)
-                sig = np.bitwise_xor.reduce(wide, axis=1).view(np.int64)
-                wide = _binary(wide[:, 1:].ravel(), np.where(x.n > LONG, 3, 0), np.arange(len(x.n)) * 3, 8)
-                kept = np.where(x.n >= smallest, x.n - -(-percent * x.n // 100) + 1, 0)
-                prefix = _binary(spread.astype(np.uint32), kept, x.start, 4)
-                # A set that several lines of the batch have is sent once, for the first of them.
-                order = np.lexsort((x.line, ids, c2, c1))
-                one = np.ones(len(order), bool)
-                one[1:] = (c1[order][1:] != c1[order][:-1]) | (c2[order][1:] != c2[order][:-1])
-                pick = order[one]
-                yield pa.RecordBatch.from_arrays([pa.array(c1[pick]), pa.array(c2[pick]), pa.array(x.n[pick].astype(np.int32)), pa.array(sig[pick]), wide.take(pa.array(pick)), pa.array(ids[pick]), pa.array(x.line[pick].astype(np.int32)), prefix.take(pa.array(pick))], names=["c1", "c2", "n", "sig", "wide", "id", "line", "prefix"])
-
-    return rows
-
-
-def _entries(buckets: int):
-    """Index entries of many classes (id, line, n, sig, wide, open, prefix), packed by bucket of their key."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key, sizes = _flat(batch.column(6), np.uint32)
-            key = key.astype(_U)
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            pos = np.arange(len(key)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            order = np.argsort(key, kind="stable")
-            own = lambda c: batch.column(c).to_numpy(zero_copy_only=False)[of][order]  # noqa: B023, E731
-            columns = [key[order], own(0), own(1), own(2) * np.where(own(5), -1, 1).astype(np.int32), pos[order].astype(np.int32), own(3)]
-            words, many = _flat(batch.column(4), _U)
-            wide = np.zeros((len(many), 3), _U)
-            wide[many > 0] = words.reshape(-1, 3)
-            wide, long_ = wide[of][order], (many > 0)[of][order]
-            out = []
-            for b, a, z in spans(columns[0], buckets, 32):
-                parts = [*(pack(c[a:z]) for c in columns), wide[a:z][long_[a:z]].tobytes()]
-                out.append((b, z - a, b"".join(parts), np.array([len(p) for p in parts], np.int64).tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "n", "packed", "sizes"])
-
-    return rows
-
-
-class Members:
-    """Index entries in order of key and place."""
-
-    def __init__(self, key, ids, line, n, pos, sig, wide, open_):
-        order = np.lexsort((line, ids, key))
-        self.key, self.ids, self.line, self.n, self.pos, self.sig, self.wide, self.open = (c[order] for c in (key, ids, line, n, pos, sig.view(_U), wide, open_))
-        self.new = np.flatnonzero(np.concatenate([[True], self.key[1:] != self.key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.size = np.diff(self.new, append=len(key))
-
-    def possible(self, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The pairs that pass the length, position and signature filters, and their signatures' distance."""
-        far = np.bitwise_count(self.sig[left] ^ self.sig[right]).astype(np.int32)
-        long_ = np.flatnonzero((self.n[left] > LONG) & (self.n[right] > LONG))
-        if len(long_):
-            rest = self.wide[left[long_]] ^ self.wide[right[long_]]
-            first = self.sig[left[long_]] ^ self.sig[right[long_]] ^ np.bitwise_xor.reduce(rest, axis=1)
-            far[long_] = np.bitwise_count(first).astype(np.int32) + np.bitwise_count(rest).sum(axis=1, dtype=np.int32)
-        n, m = self.n[left], self.n[right]
-        need = least_overlap(n, m, percent)
-        rest = 1 + np.minimum(n - self.pos[left] - 1, m - self.pos[right] - 1)
-        ok = (n + m - 2 * need >= far) & (rest >= need) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
-        ok &= (self.ids[left] != self.ids[right]) | (self.line[left] != self.line[right])
-        return left[ok], right[ok], far[ok]
-
-    def pairs(self, percent: int, most: int, left_of=None) -> tuple[np.ndarray, np.ndarray]:
-        """For each open entry the earlier entries of its group that pass, or of them the most likeliest ones."""
-        out: list[list[np.ndarray]] = [[], [], []]
-
-        def add(left: np.ndarray, right: np.ndarray) -> None:
-            for part, c in zip(out, self.possible(left, right, percent), strict=True):
-                part.append(c)
-
-        first = np.repeat(self.new, np.where(self.size <= LARGE, self.size, 0)) if left_of is None else None
-        at = np.flatnonzero(np.repeat(self.size <= LARGE, self.size))
-        if left_of is not None:
-            for right in np.flatnonzero(self.open):
-                left = left_of[: np.searchsorted(left_of, right)]
-                add(left, np.full(len(left), right))
-        else:
-            # Entries of a group are compared at growing distance; at each, only groups that are large enough are left.
-            live, start = at[self.open[at]], first[self.open[at]]
-            back = 1
-            while len(live):
-                keep = live - back >= start
-                live, start = live[keep], start[keep]
-                add(live - back, live)
-                back += 1
-        left, right, far = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in out)
-        if most and len(left):
-            order = np.lexsort((left, far, right))
-            left, right = left[order], right[order]
-            begin = np.flatnonzero(np.concatenate([[True], right[1:] != right[:-1]]))
-            place = np.arange(len(right)) - np.repeat(begin, np.diff(begin, append=len(right)))
-            left, right = left[place < most], right[place < most]
-        return left, right
-
-    def table(self, left: np.ndarray, right: np.ndarray, big: np.ndarray) -> pa.Table:
-        """Distinct pairs (open: null) and raw members."""
-        pair = np.unique(np.stack([self.ids[left], self.line[left], self.ids[right], self.line[right]], axis=1), axis=0) if len(left) else np.zeros((0, 4), np.int64)
-        none, gap = np.zeros(len(pair), np.int64), np.zeros(len(big), np.int64)
-        cat = lambda a, b, k: pa.array(np.concatenate([a, b]).astype(k.to_pandas_dtype()), k)
-        wide = pa.concat_arrays([pa.nulls(len(pair), pa.binary()), pa.array([w.tobytes() for w in self.wide[big]], pa.binary())])
-        mark = pa.concat_arrays([pa.nulls(len(pair), pa.bool_()), pa.array(self.open[big], pa.bool_())])
-        return pa.table(
-            [
-                cat(none, self.key[big].astype(np.int64), pa.int64()), cat(pair[:, 2], self.ids[big], pa.int64()), cat(pair[:, 3], self.line[big], pa.int32()), cat(none, self.n[big], pa.int32()),
-                cat(none, self.pos[big], pa.int32()), cat(none, self.sig[big].view(np.int64), pa.int64()), wide, mark, cat(pair[:, 0], gap, pa.int64()), cat(pair[:, 1], gap, pa.int32()),
-            ],
-            names=[f.split()[0] for f in FOUND.split(", ")],
-        )
-
-
-def _candidates(percent: int, most: int):
-    """Pairs of a bucket, and the members of its groups that are too large for it."""
-
-    def rows(t: pa.Table) -> pa.Table:
-        parts: list[list[np.ndarray]] = [[] for _ in range(7)]
-        for n, data, sizes in zip(t.column("n").to_pylist(), t.column("packed"), t.column("sizes"), strict=True):
-            data, at = data.as_py(), 0
-            for part, size, kind in zip(parts, np.frombuffer(sizes.as_py(), np.int64), (_U, np.int64, np.int32, np.int32, np.int32, np.int64)):
-                part.append(unpack(data[at : at + int(size)], n, kind))
-                at += int(size)
-            wide = np.zeros((n, 3), _U)
-            wide[np.abs(parts[3][-1]) > LONG] = np.frombuffer(data[at:], _U).reshape(-1, 3)
-            parts[6].append(wide)
-        key, ids, line, n, pos, sig, wide = (np.concatenate(p) for p in parts)
-        m = Members(key, ids, line, np.abs(n), pos, sig, wide, n < 0)
-        big = np.flatnonzero(np.repeat((m.size > LARGE) & (np.add.reduceat(m.open.astype(np.int64), m.new) > 0), m.size))
-        out = m.table(*m.pairs(percent, most), big)
-        trim()
-        return out
-
-    return rows
-
-
-def _blocks(percent: int, most: int):
-    """Pairs of the open members in one block of a large group with the members in another."""
-
-    def rows(t: pa.Table) -> pa.Table:
-        wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), _U).reshape(-1, 3)
-        m = Members(*(t.column(c).to_numpy() for c in ("key", "id", "line", "n", "pos", "sig")), wide, t.column("open").to_numpy(zero_copy_only=False))
-        return m.table(*m.pairs(percent, most, np.flatnonzero(~m.open)), np.zeros(0, np.int64))
-
-    return rows
-
-
-def _pick_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted lines of compressed texts."""
-    inflate = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        ids, numbers, texts = [], [], []
-        for i, data, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            own = inflate(data.as_py()).split(b"\n")
-            for k in wanted:
-                if k < len(own):  # a row that repeats an id may be shorter
-                    ids.append(i)
-                    numbers.append(k)
-                    texts.append(own[k])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.binary()).cast(pa.string())], names=["id", "line", "text"])
-
-
-def _deflate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    compress = zstandard.ZstdCompressor(level=1).compress
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([compress((x.as_py() or "").encode()) for x in batch.column(1)], pa.binary())], names=["id", "data"])
-
-
-def _similar(percent: int):
-    """Of pairs with both texts: the later places whose sets are similar."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            trim()
-            for start in range(0, whole.num_rows, 2000):
-                batch = whole.slice(start, 2000)
-                sets = []
-                for c in (2, 3):
-                    w = Words(batch.column(c))
-                    sets.append([np.unique(w.hash[0][a:z]) for a, z in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)])
-                ok = []
-                for a, b in zip(*sets, strict=True):
-                    same = len(np.intersect1d(a, b, assume_unique=True))
-                    ok.append(100 * same >= percent * (len(a) + len(b) - same))
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], names=["id", "line"])
-
-    return rows
+    return _ceil((n + m) * percent, 100 + percent)
+
+
+def _parity(keys: Column, half: int) -> Column:
+    """64 parity bits over the keys whose bit 6 is half: each flips the bit that its low 6 bits name."""
+    side = lambda x: _shift("shiftrightunsigned", x, 6).bitwiseAND(F.lit(1))
+    flip = lambda x: _shift("shiftleft", side(x) if half else F.lit(1) - side(x), x.bitwiseAND(F.lit(63)))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(flip(x)))
+
+
+def classes_of(source: DataFrame, percent: int, smallest: int) -> DataFrame:
+    """One row for each distinct set of words: its first place, size, signature and extended prefix (none if under smallest)."""
+    ranks = word_ranks(source)
+    keyed = lines(source).select(*PLACE, word_keys(F.col("body"), ranks).alias("ks")).where("size(ks) > 0").withColumn("n", F.size("ks"))
+    large = F.col("n") >= smallest
+    marked = keyed.select(
+        *PLACE, "n", F.xxhash64("ks").alias("c1"), F.xxhash64(F.lit(7), "ks").alias("c2"), *[F.when(large, _parity(F.col("ks"), k)).otherwise(0).alias(f"s{k + 1}") for k in (0, 1)],
+        F.when(large, F.slice("ks", 1, probe_prefix(F.col("n"), percent) + 1)).otherwise(F.array().cast("array<bigint>")).alias("prefix"),
+    )
+    one = marked.groupBy("c1", "c2").agg(F.min(F.struct(*PLACE)).alias("at"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "prefix")])
+    return one.select("at.*", "n", "s1", "s2", "prefix")
+
+
+def _pairs(index: DataFrame, probe: DataFrame, percent: int, shared: int) -> DataFrame:
+    """Places of later lines with those of earlier ones, from entries whose shared-th common word, at pos, made the key.
+
+    The step of the lengths' logarithm is part of the key: lines of similar length are in one step or in neighbouring ones.
+    """
+    step = lambda n: F.floor(F.log(F.col(n).cast("double")) / math.log(100 / percent + 0.01)).cast("int")
+    a = index.where(F.col("pos") < index_prefix(F.col("n"), percent) + (shared - 1)).withColumn("step", F.explode(F.array(step("n"), step("n") + 1))).withColumnsRenamed({c: f"a_{c}" for c in [*ENTRY, "step"]})
+    b = probe.withColumn("step", step("n"))
+    c, need = F.col, least_overlap(F.col("a_n"), F.col("n"), percent)
+    earlier = F.struct("a_id", "a_line") < F.struct("id", "line")
+    later = F.struct("id", "line") < F.struct("a_id", "a_line")
+    apart = F.bit_count(c("a_s1").bitwiseXOR(c("s1"))) + F.bit_count(c("a_s2").bitwiseXOR(c("s2")))
+    near = (c("a_tok") == c("tok")) & (c("a_step") == c("step")) & (c("a_n") <= c("n")) & (c("n") * percent <= c("a_n") * 100) & (apart <= c("a_n") + c("n") - need * 2)
+    near = near & (F.least(c("a_n") - c("a_pos"), c("n") - c("pos")) + (shared - 1) >= need) & (earlier | (c("a_n") < c("n")) & later)
+    found = a.join(b, near)
+    first = lambda x, y: F.when(earlier, c(x)).otherwise(c(y))
+    return found.select(first("id", "a_id").alias("id"), first("line", "a_line").alias("line"), first("a_id", "id").alias("a_id"), first("a_line", "line").alias("a_line"))
+
+
+def _level(entries: DataFrame, scratch: Scratch, name: str, percent: int, shared: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs by keys of up to LARGE entries, and the entries of other keys. One exchange by key serves all uses of entries."""
+    dealt = entries.select(*ENTRY).repartition("tok")
+    whole = F.max(F.xxhash64(*ENTRY))  # reads every column, so that this plan shares the exchange
+    hot = dealt.groupBy("tok").agg(F.count(F.lit(1)).alias("size"), whole.alias("any")).where((F.col("size") > LARGE) & F.col("any").isNotNull()).select("tok").hint("shuffle_hash")
+    pairs = _pairs(dealt.join(hot, "tok", "left_anti"), dealt, percent, shared)
+    none = {c: F.lit(None).cast(t).alias(c) for c, t in [*dealt.dtypes, ("a_id", "long"), ("a_line", "int")]}
+    rows = pairs.select(*[c if c in pairs.columns else none[c] for c in none]).unionByName(dealt.join(hot, "tok", "left_semi").select(*ENTRY, none["a_id"], none["a_line"]))
+    with conf(scratch.spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
+        found = scratch.cut(rows, name)
+    return found.where("tok IS NULL").select(*PLACE, "a_id", "a_line"), found.where("tok IS NOT NULL").select(*ENTRY)
+
+
+def _refined(hot: DataFrame, classes: DataFrame) -> DataFrame:
+    """Entries by two words: the one that made the entry, and each later one of the extended prefix."""
+    both = hot.join(classes.select(*PLACE, "prefix"), PLACE).select("*", F.posexplode("prefix").alias("at", "second")).where("at > pos")
+    return both.select(F.xxhash64("tok", "second").alias("tok"), *PLACE, "n", F.col("at").alias("pos"), "s1", "s2")
+
+
+def _sets(source: DataFrame, places: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """id, line, ws of the lines at distinct places. A Bloom filter of them spares most other lines the exchange."""
+    wanted, blocks = places.count(), 1
+    while blocks < min(MAX_BLOCKS, -(-wanted * BITS_AN_ENTRY // 64)):
+        blocks *= 2
+    key = F.struct(F.col("id"), F.col("line"))
+    bloom = scratch.cut(blocked_bloom(places.select(key.alias("key")), blocks), f"{name}-bloom")
+    maybe = lines(source).where(bloom_test(bloom, key, blocks))
+    return scratch.cut(maybe.join(places, PLACE, "left_semi").select(*PLACE, word_set(F.col("body")).alias("ws")), f"{name}-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Places of lines whose set is similar to that of their earlier partner."""
+    earlier = sets.select(F.col("id").alias("a_id"), F.col("line").alias("a_line"), F.col("ws").alias("a_ws"))
+    both = pairs.join(sets, PLACE).join(earlier, ["a_id", "a_line"])
+    same = F.size(F.array_intersect("ws", "a_ws"))
+    return both.where(same * (100 + percent) >= (F.size("ws") + F.size("a_ws")) * percent).select(*PLACE).distinct()
+
+
+def _places(*frames: DataFrame) -> DataFrame:
+    return reduce(DataFrame.union, [f.select(*p) for f in frames for p in (PLACE, ["a_id", "a_line"]) if set(p) <= set(f.columns)]).distinct()
+
+
+def _near_copies(hot: DataFrame, source: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Places of lines with an earlier partner, of groups that two words could not make small."""
+    places = scratch.cut(_places(hot), "copies")
+    sets = _sets(source, places, scratch, "copies")
+    open_, gone = places, None
+    lead = F.min(F.struct("id", "line", "n", "s1", "s2")).alias("a")
+    for k in range(ROUNDS):
+        members = hot.join(open_, PLACE, "left_semi")
+        led = members.join(members.groupBy("tok").agg(lead), "tok").select("*", *[F.col(f"a.{c}").alias(f"a_{c}") for c in ("id", "line", "n", "s1", "s2")])
+        apart = F.bit_count(F.col("a_s1").bitwiseXOR(F.col("s1"))) + F.bit_count(F.col("a_s2").bitwiseXOR(F.col("s2")))
+        able = (apart <= F.col("a_n") + F.col("n") - least_overlap(F.col("a_n"), F.col("n"), percent) * 2) & (F.struct("a_id", "a_line") < F.struct("id", "line"))
+        found = scratch.cut(_confirmed(led.where(able).select(*PLACE, "a_id", "a_line").distinct(), sets, percent), f"copies-{k}")
+        gone = found if gone is None else gone.union(found)
+        open_ = scratch.cut(open_.join(found, PLACE, "left_anti"), f"open-{k}")
+        if not found.limit(1).count():
+            break
+    rest = hot.join(open_, PLACE, "left_semi")
+    pairs = _pairs(hot, rest, percent, 2).union(_pairs(rest, hot, percent, 2)).join(open_, PLACE, "left_semi").distinct()
+    return gone.union(_confirmed(scratch.cut(pairs, "copies-rest"), sets, percent))
 
 
 def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -326,56 +197,22 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     judged on the input. Null or empty texts have no lines with words. Lines at one place of rows that repeat an id stay or
     go together.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     smallest = next(m for m in range(1, 200) if 100 * m >= percent * (m + 1))  # smaller sets are only similar to themselves
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NOTHING)).alias("id"), F.col(text_col).alias("text"))
-    counts = word_counts(source)
-    rank = np.empty(SLOTS, _U)
-    rank[np.argsort(counts, kind="stable")] = np.arange(SLOTS, dtype=_U)
-    every = source.mapInArrow(_classes(rank, percent, smallest), CLASS)
-    classes = scratch.cut(every.groupBy("c1", "c2", "n", "sig", "wide", "prefix").agg(F.min(F.struct("id", "line")).alias("at")).select("at.id", "at.line", "n", "sig", "wide", "prefix"), "classes")
-    entries = classes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0)).alias("b")).first()["b"] // 4
-    buckets = max(partitions(spark), -(-entries // BUCKET_ENTRIES))
-    deflated = source.mapInArrow(_deflate, "id long, data binary")
-
-    def candidates(flagged: DataFrame, most: int, name: str) -> DataFrame:
-        index = flagged.where("octet_length(prefix) > 0").select("id", "line", "n", "sig", "wide", "open", "prefix").mapInArrow(_entries(buckets), PACKED)
-        found = scratch.cut(index.groupBy("bucket").applyInArrow(_candidates(percent, most), FOUND), f"{name}-found")
-        large = found.where("open IS NOT NULL").drop("a_id", "a_line")
-        near = found.where("open IS NULL")
-        if large.limit(1).count():
-            near = near.union(_large_pairs(large, percent, most))
-        return scratch.cut(near.select("a_id", "a_line", "id", "line").distinct(), f"{name}-pairs")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.col("a_id").alias("id"), F.col("a_line").alias("line")).union(pairs.select("id", "line"))
-        wanted = wanted.groupBy("id").agg(F.collect_set("line").alias("lines"))
-        texts = scratch.cut(deflated.join(wanted, "id").select("id", "data", "lines").mapInArrow(_pick_lines, "id long, line int, text string").distinct(), f"{name}-texts")
-        both = pairs.join(texts, ["id", "line"]).join(texts.withColumnsRenamed({"id": "a_id", "line": "a_line", "text": "a_text"}), ["a_id", "a_line"])
-        return scratch.cut(both.select("id", "line", "text", "a_text").mapInArrow(_similar(percent), "id long, line int").distinct(), f"{name}-gone")
-
-    tried = candidates(classes.withColumn("open", F.lit(True)), LIKELIEST, "first")
-    gone = confirmed(tried, "first")
-    left = tried.select("id", "line").distinct().join(gone, ["id", "line"], "left_anti").withColumn("open", F.lit(True))
-    left = scratch.cut(left, "left")
-    if left.limit(1).count():
-        flagged = classes.join(left, ["id", "line"], "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        more = candidates(flagged, 0, "second").join(tried, ["a_id", "a_line", "id", "line"], "left_anti")
-        gone = gone.union(confirmed(more, "second"))
-    return classes.select("id", "line").join(gone.distinct(), ["id", "line"], "left_anti")
-
-
-def _large_pairs(large: DataFrame, percent: int, most: int) -> DataFrame:
-    """Groups too large for a bucket: every block of open members with every block of members. An open member is dealt once for
-    each block of members and the other way round."""
-    sizes = large.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"), F.ceil(F.count_if("open") / BLOCK).alias("open_blocks"))
-    dealt = large.join(sizes, "key").withColumn("own", F.xxhash64("id", "line"))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    fields = ["key", "id", "line", "n", "pos", "sig", "wide"]
-    inside = dealt.select(*fields, F.lit(False).alias("open"), F.pmod("own", F.col("blocks")).alias("block"), each("open_blocks").alias("open_block"))
-    outside = dealt.where("open").select(*fields, F.lit(True).alias("open"), each("blocks").alias("block"), F.pmod("own", F.col("open_blocks")).alias("open_block"))
-    return inside.union(outside).groupBy("key", "block", "open_block").applyInArrow(_blocks(percent, most), FOUND)
+    classes = scratch.cut(classes_of(source, percent, smallest), "classes")
+    entries = classes.where(F.col("n") >= smallest).select(*PLACE, "n", "s1", "s2", F.posexplode(F.slice("prefix", 1, probe_prefix(F.col("n"), percent))).alias("pos", "tok"))
+    pairs, hot = _level(entries, scratch, "one", percent, 1)
+    gone = None
+    if hot.limit(1).count():
+        more, copies = _level(_refined(hot, classes), scratch, "two", percent, 2)
+        pairs = pairs.union(more)
+        if copies.limit(1).count():
+            gone = scratch.cut(_near_copies(copies, source, scratch, percent), "copies-gone")
+    pairs = scratch.cut(pairs.distinct(), "pairs")
+    found = scratch.cut(_confirmed(pairs, _sets(source, scratch.cut(_places(pairs), "places"), scratch, "pairs"), percent), "gone")
+    gone = found if gone is None else found.union(gone)
+    return scratch.cut(classes.select(*PLACE).join(gone.distinct(), PLACE, "left_anti"), "stay")
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -386,10 +223,12 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     stay = line_duplicates(docs, id_col, text_col, percent).groupBy("id").agg(F.collect_set("line").alias("stay"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NOTHING)).alias("of"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), F.struct(*columns(docs)).alias("row"))
-    joined = rows.join(stay, F.col("of") == F.col("id"), "left")
-    kept = lambda x, i: (F.coalesce(F.array_contains("stay", i), F.lit(False))) | ~F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))
-    out = joined.select("row", let(F.split("body", "\n"), lambda ls: F.struct(F.size(ls).alias("n"), F.filter(ls, kept).alias("k"))).alias("r"))
-    new = {"n_lines": F.col("r.n").cast("long"), "n_removed": (F.col("r.n") - F.size("r.k")).cast("long"), "kept": F.array_join("r.k", "\n")}
+    joined = rows.join(stay, F.col("of") == F.col("id"), "left").withColumn("stay", F.coalesce("stay", F.array().cast("array<int>")))
+    blank = lambda x: F.btrim(x, F.lit(" " + BLANKS)) == ""
+    every = lambda ls: F.sequence(F.lit(0), F.size(ls) - 1)
+    kept = lambda ls: F.array_sort(F.array_union(F.array_intersect(every(ls), F.col("stay")), F.filter(every(ls), lambda i: blank(F.get(ls, i)))))
+    out = joined.select("row", let(F.split("body", "\n"), lambda ls: let(kept(ls), lambda at: F.struct(F.size(ls).alias("n"), F.size(at).alias("k"), F.array_join(F.transform(at, lambda i: F.get(ls, i)), "\n").alias("kept")))).alias("r"))
+    new = {"n_lines": F.col("r.n").cast("long"), "n_removed": (F.col("r.n") - F.col("r.k")).cast("long"), "kept": F.col("r.kept")}
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small
+from .native import BITS_AN_ENTRY, MAX_BLOCKS, blocked_bloom, bloom_test
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules of the query: host, path, verdict.
@@ -13,10 +14,6 @@ RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.
 #: Listed canonical URLs (host and path, no scheme): they and all below them are blocked where no rule fits. One host of the
 #: sample tables, to show the list at work; real lists come as tables (block_list).
 LISTED = ("spam-farm.example.org/",)
-#: 64-bit blocks of the filter: at least this many bits an entry, and at most so many blocks (8 MB). A list beyond that
-#: only lets more candidates through to the exact join.
-BITS_AN_ENTRY, MAX_BLOCKS = 16, 1 << 20
-PROBES = 4
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -26,24 +23,6 @@ def parts(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def _block_and_mask(key: Column, blocks: int) -> tuple[Column, Column]:
-    """One block for each key and PROBES bits in it, all from one 64-bit hash."""
-    h = F.xxhash64(key)
-    mask = F.lit(0).cast("long")
-    for i in range(PROBES):
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")))
-    return F.pmod(F.shiftrightunsigned(h, 6 * PROBES), F.lit(blocks).cast("long")).cast("int"), mask
-
-
-def blocked_bloom(keys: DataFrame, blocks: int) -> DataFrame:
-    """One row, one column: the filter over column key as an array of 64-bit blocks."""
-    block, mask = _block_and_mask(F.col("key"), blocks)
-    set_ = keys.select(block.alias("block"), mask.alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("mask"))
-    every = keys.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))
-    filled = every.join(set_, "block", "left").select("block", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
-    return filled.agg(F.transform(F.sort_array(F.collect_list(F.struct("block", "mask"))), lambda x: x["mask"]).alias("filter"))
-
-
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Judges every url. rules: host, path, verdict, rule (null: a listed URL, which yields to any rule).
 
@@ -66,8 +45,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     heads = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in facts["lens"]] or [F.lit(None).cast("string")]), lambda x: x.isNotNull())
     keys = F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.flatten(F.transform(suffixes, lambda s: F.transform(heads, lambda p: F.concat(s, p)))))
     probes = split.select("page_id", "url", "n", "host", "path", F.posexplode_outer(keys).alias("pos", "key"))
-    block, mask = _block_and_mask(F.col("key"), blocks)
-    maybe = F.get(bloom.scalar(), block).bitwiseAND(mask) == mask
+    maybe = bloom_test(bloom, F.col("key"), blocks)
     probes = probes.withColumn("key", F.when(maybe, F.col("key"))).where("key IS NOT NULL OR coalesce(pos, 0) = 0")
     judged = probes.join(broadcast_if_small(rules), F.col("key") == F.col("rule_key"), "left")
     best = F.max_by(F.struct("rule", "verdict"), F.when(F.col("verdict").isNotNull(), F.struct(F.col("rule").isNotNull(), F.col("host_len") + F.col("path_len"), F.col("host_len"))))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliate.llm import bpe, chat, decontaminate, html, language, line_dedup, near_dup, quality, substring, url_filter
+from foliate.llm import bpe, chat, decontaminate, html, language, line_dedup, native, near_dup, quality, substring, url_filter
 from foliate.llm.queries import tokenizer
 
 from . import brute
@@ -154,8 +154,11 @@ def test_lines(spark):
     assert line_dedup.remove_lines(frame(spark, rows).select("doc_id", "text").where("false")).count() == 0
 
 
-def test_lines_in_large_groups(spark):
-    """Many variants of two lines, some similar to the first of their group and some only to others."""
+@pytest.mark.parametrize("large", [4, 512])
+def test_lines_in_large_groups(spark, monkeypatch, large):
+    """Many variants of two lines, some similar to the first of their group and some only to others: keys refined, groups
+    thinned out, and neither."""
+    monkeypatch.setattr(line_dedup, "LARGE", large)
     base = [[f"{c}{i}" for i in range(20)] for c in "pq"]
     rows = []
     for i in range(90):
@@ -170,6 +173,14 @@ def test_lines_in_large_groups(spark):
     same(out, brute.lines(rows), ["doc_id", "n_lines", "n_removed", "kept"])
 
 
+def test_line_words(spark):
+    """Every kind of white space, and words that only look like it."""
+    bodies = ["a b", " a\tb\x0b\x0cc\rd ", "", "  ", "a\u00a0b \u2003c", "é  É", "a\x1fb\x85c"]
+    got = spark.createDataFrame([(b,) for b in bodies], "b string").select("b", F.filter(line_dedup.words(F.col("b")), lambda w: w != "").alias("w"), F.size(line_dedup.word_set(F.col("b"))).alias("n")).collect()
+    for r in got:
+        assert r.w == brute.WORD.findall(r.b) and r.n == len(set(r.w))
+
+
 def test_quality(spark):
     rows = [*DOCS, (60, "a b c a b c\na b c a b c\n\n\n#*|<>"), (None, "x\nx\n y\n y"), (61, "word " * 300), (62, prose(300, [f"{a}{b}{c}" for a in "abcdefgh" for b in "stuvwxyz" for c in "klmnop"]))]
     rows = [*rows, rows[0]]
@@ -227,9 +238,7 @@ def test_block_list_of_a_table(spark):
 
 def test_bloom_has_no_false_negatives(spark):
     keys = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("key"))
-    bloom = url_filter.blocked_bloom(keys, 2048)
-    block, mask = url_filter._block_and_mask(F.col("key"), 2048)
-    hit = F.get(bloom.scalar(), block).bitwiseAND(mask) == mask
+    hit = native.bloom_test(native.blocked_bloom(keys, 2048), F.col("key"), 2048)
     assert keys.where(hit).count() == 5000
     assert spark.range(5000, 10000).select(F.concat(F.lit("k"), "id").alias("key")).where(hit).count() < 500
 
@@ -348,20 +357,3 @@ def test_html_rows(spark):
     n = len(html.main_text(PAGE))
     assert got == sorted([(1, "u", n), (1, "u", n), (2, None, 0), (None, "v", 0), (3, "w", 999999)], key=repr)
     assert html.extract_pages(pages.where("false")).count() == 0
-
-
-def test_large_groups_of_entries_are_compared_by_blocks(spark):
-    """What a bucket would find in one group, blocks of it find too."""
-    rng = np.random.default_rng(9)
-    rows = [(5, i, 0, 10, int(p), int(rng.integers(0, 2**8)), bytes(24), bool(rng.random() < 0.5)) for i, p in enumerate(rng.integers(0, 3, 200))]
-    large = spark.createDataFrame(rows, line_dedup.MEMBER)
-    cols = [np.array([r[k] for r in rows]) for k in (0, 1, 2, 3, 4, 5, 7)]
-    m = line_dedup.Members(cols[0].astype(np.uint64), *cols[1:6], np.zeros((200, 3), np.uint64), cols[6])
-    left, right = m.pairs(80, 0)
-    want = {(int(m.ids[a]), int(m.ids[b])) for a, b in zip(left, right, strict=True)}
-    old, line_dedup.BLOCK = line_dedup.BLOCK, 30
-    try:
-        got = {(r.a_id, r.id) for r in line_dedup._large_pairs(large, 80, 0).collect()}
-    finally:
-        line_dedup.BLOCK = old
-    assert want and got == want
