@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, columns, conf
+from .common import Scratch, broadcast_if_small, columns, conf
 from .native import BITS_AN_ENTRY, MAX_BLOCKS, blocked_bloom, bloom_test, let
 
 PERCENT = 80
@@ -37,14 +37,15 @@ ENTRY = ["tok", "id", "line", "n", "pos", "s1", "s2"]
 
 
 def words(line: Column) -> Column:
-    """Runs of anything but ASCII white space, with empty strings between blanks in a row. Lines hold no \\n."""
-    odd = reduce(Column.__or__, [F.contains(line, F.lit(b)) for b in BLANKS])
-    return F.split(F.when(odd, F.translate(line, BLANKS, " " * len(BLANKS))).otherwise(line), " ")
+    """Runs of anything but spaces, with empty strings between spaces in a row."""
+    return F.split(line, " ")
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """id, line (number from 0), body of each line of id, text."""
-    return docs.select("id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    """id, line (number from 0), body of each line of id, text. Other ASCII white space becomes spaces."""
+    odd = reduce(Column.__or__, [F.contains("text", F.lit(b)) for b in BLANKS])
+    text = F.when(odd, F.translate("text", BLANKS, " " * len(BLANKS))).otherwise(F.col("text"))
+    return docs.select("id", F.posexplode(F.split(text, "\n")).alias("line", "body"))
 
 
 def _shift(way: str, value: Column | int, by: Column | int) -> Column:
@@ -55,7 +56,7 @@ def _shift(way: str, value: Column | int, by: Column | int) -> Column:
 def word_ranks(source: DataFrame) -> Column:
     """Array by slot: how common its words are, as 500 times the logarithm of their count over all texts (under 2^15)."""
     slot = _shift("shiftrightunsigned", F.xxhash64("w"), 64 - SLOT_BITS).cast("int").alias("slot")
-    counts = lines(source).select(F.explode(words(F.col("body"))).alias("w")).where("w <> ''").groupBy(slot).agg(F.count(F.lit(1)).alias("n"))
+    counts = lines(source).select(F.explode(words(F.col("body"))).alias("w")).groupBy(slot).agg(F.count(F.lit(1)).alias("n"))
     found = {r["slot"]: round(500 * math.log2(r["n"] + 1)) for r in counts.collect()}  # 2^SLOT_BITS rows at most
     return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(1 << SLOT_BITS))), ",").cast("array<smallint>")
 
@@ -67,7 +68,8 @@ def word_set(line: Column) -> Column:
 
 def word_keys(line: Column, ranks: Column) -> Column:
     """Sorted distinct keys, rare words first: rarity above the low bits of the hash."""
-    key = lambda h: _shift("shiftleft", F.get(ranks, _shift("shiftrightunsigned", h, 64 - SLOT_BITS).cast("int")), KEY_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
+    zero = F.lit(0).cast("smallint")  # no nulls: such arrays are sorted fast
+    key = lambda h: _shift("shiftleft", F.coalesce(F.get(ranks, _shift("shiftrightunsigned", h, 64 - SLOT_BITS).cast("int")), zero), KEY_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
     return F.sort_array(F.transform(word_set(line), key))
 
 
@@ -88,24 +90,25 @@ def least_overlap(n: Column, m: Column, percent: int) -> Column:
     return _ceil((n + m) * percent, 100 + percent)
 
 
-def _parity(keys: Column, half: int) -> Column:
-    """64 parity bits over the keys whose bit 6 is half: each flips the bit that its low 6 bits name."""
-    side = lambda x: _shift("shiftrightunsigned", x, 6).bitwiseAND(F.lit(1))
-    flip = lambda x: _shift("shiftleft", side(x) if half else F.lit(1) - side(x), x.bitwiseAND(F.lit(63)))
+def _parity(keys: Column, half: bool) -> Column:
+    """64 parity bits over the keys, or those whose lowest bit is 1: each flips the bit that its next 6 bits name."""
+    at = lambda x: _shift("shiftrightunsigned", x, 1).bitwiseAND(F.lit(63))
+    flip = lambda x: _shift("shiftleft", x.bitwiseAND(F.lit(1)) if half else 1, at(x))
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(flip(x)))
 
 
 def classes_of(source: DataFrame, percent: int, smallest: int) -> DataFrame:
     """One row for each distinct set of words: its first place, size, signature and extended prefix (none if under smallest)."""
     ranks = word_ranks(source)
-    keyed = lines(source).select(*PLACE, word_keys(F.col("body"), ranks).alias("ks")).where("size(ks) > 0").withColumn("n", F.size("ks"))
+    filled = lines(source).where(F.btrim("body", F.lit(" ")) != "")
+    keyed = filled.select(*PLACE, word_keys(F.col("body"), ranks).alias("ks")).withColumn("n", F.size("ks"))
     large = F.col("n") >= smallest
     marked = keyed.select(
-        *PLACE, "n", F.xxhash64("ks").alias("c1"), F.xxhash64(F.lit(7), "ks").alias("c2"), *[F.when(large, _parity(F.col("ks"), k)).otherwise(0).alias(f"s{k + 1}") for k in (0, 1)],
+        *PLACE, "n", F.xxhash64("ks").alias("c1"), F.xxhash64(F.lit(7), "ks").alias("c2"), *[F.when(large, _parity(F.col("ks"), half)).otherwise(0).alias(s) for s, half in (("s1", True), ("s2", False))],
         F.when(large, F.slice("ks", 1, probe_prefix(F.col("n"), percent) + 1)).otherwise(F.array().cast("array<bigint>")).alias("prefix"),
     )
     one = marked.groupBy("c1", "c2").agg(F.min(F.struct(*PLACE)).alias("at"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "prefix")])
-    return one.select("at.*", "n", "s1", "s2", "prefix")
+    return one.select("at.*", "n", "s1", F.col("s1").bitwiseXOR(F.col("s2")).alias("s2"), "prefix")
 
 
 def _pairs(index: DataFrame, probe: DataFrame, percent: int, shared: int) -> DataFrame:
@@ -127,17 +130,17 @@ def _pairs(index: DataFrame, probe: DataFrame, percent: int, shared: int) -> Dat
     return found.select(first("id", "a_id").alias("id"), first("line", "a_line").alias("line"), first("a_id", "id").alias("a_id"), first("a_line", "line").alias("a_line"))
 
 
-def _level(entries: DataFrame, scratch: Scratch, name: str, percent: int, shared: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs by keys of up to LARGE entries, and the entries of other keys. One exchange by key serves all uses of entries."""
-    dealt = entries.select(*ENTRY).repartition("tok")
-    whole = F.max(F.xxhash64(*ENTRY))  # reads every column, so that this plan shares the exchange
-    hot = dealt.groupBy("tok").agg(F.count(F.lit(1)).alias("size"), whole.alias("any")).where((F.col("size") > LARGE) & F.col("any").isNotNull()).select("tok").hint("shuffle_hash")
-    pairs = _pairs(dealt.join(hot, "tok", "left_anti"), dealt, percent, shared)
-    none = {c: F.lit(None).cast(t).alias(c) for c, t in [*dealt.dtypes, ("a_id", "long"), ("a_line", "int")]}
-    rows = pairs.select(*[c if c in pairs.columns else none[c] for c in none]).unionByName(dealt.join(hot, "tok", "left_semi").select(*ENTRY, none["a_id"], none["a_line"]))
+def _level(entries: DataFrame, scratch: Scratch, name: str, percent: int, shared: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs by keys of up to LARGE entries, and the entries of other keys, if there are any."""
+    hot = scratch.cut(entries.groupBy("tok").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE).select("tok"), f"{name}-hot")
+    keys, few = broadcast_if_small(hot), entries
+    any_ = hot.limit(1).count() > 0
+    if any_:
+        few = entries.join(keys, "tok", "left_anti")
+    dealt = few.select(*ENTRY).repartition("tok")  # the key has the step too; it need not be dealt by that
     with conf(scratch.spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
-        found = scratch.cut(rows, name)
-    return found.where("tok IS NULL").select(*PLACE, "a_id", "a_line"), found.where("tok IS NOT NULL").select(*ENTRY)
+        pairs = scratch.cut(_pairs(dealt, dealt, percent, shared), name)
+    return pairs, scratch.cut(entries.join(keys, "tok", "left_semi").select(*ENTRY), f"{name}-large") if any_ else None
 
 
 def _refined(hot: DataFrame, classes: DataFrame) -> DataFrame:
@@ -204,10 +207,10 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     entries = classes.where(F.col("n") >= smallest).select(*PLACE, "n", "s1", "s2", F.posexplode(F.slice("prefix", 1, probe_prefix(F.col("n"), percent))).alias("pos", "tok"))
     pairs, hot = _level(entries, scratch, "one", percent, 1)
     gone = None
-    if hot.limit(1).count():
+    if hot is not None:
         more, copies = _level(_refined(hot, classes), scratch, "two", percent, 2)
         pairs = pairs.union(more)
-        if copies.limit(1).count():
+        if copies is not None:
             gone = scratch.cut(_near_copies(copies, source, scratch, percent), "copies-gone")
     pairs = scratch.cut(pairs.distinct(), "pairs")
     found = scratch.cut(_confirmed(pairs, _sets(source, scratch.cut(_places(pairs), "places"), scratch, "pairs"), percent), "gone")
