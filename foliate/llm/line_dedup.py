@@ -3,13 +3,13 @@
 A line is its set of distinct words. Words are ordered from rare to common by counts in a hashed table of fixed size. Of two
 lines of n <= m words with similarity t or more, the longer shares one of its first m - ceil(t m) + 1 words with one of the
 first n - ceil(2t / (1 + t) n) + 1 words of the shorter; those prefixes are joined. Length, position and signature filters
-(128 parity bits: sets differ in at least as many words as their signatures in bits) work inside the join, so that little
-more than similar pairs leaves it; those are verified on full sets. A line with an earlier partner goes.
+(parity bits: sets differ in at least as many words as their signatures in bits) work inside the join, so that little more
+than similar pairs leaves it; those are verified on full sets. A line with an earlier partner goes.
 
-Lines of one set are one class, represented by its first line. A word that over LARGE classes have in their prefixes is
-refined: similar lines also share a second word of prefixes that are one word longer, so such entries are joined by both
-words. What is still over LARGE is a group of near copies: its lines are tried against the group's first line, in ROUNDS
-rounds of which each leaves the lines found; only lines that are left meet all others of the group.
+Lines of one set are one class, represented by its first line. Before the join, lines are tried against the first line that
+has their least or greatest word hash, which finds most near copies; only lines still open are sought earlier partners, so a
+group of n near copies gives about n pairs. A word that over LARGE classes have in their prefixes is refined: similar lines
+also share a second word of prefixes that are one word longer, so such entries are joined by both words.
 """
 
 from __future__ import annotations
@@ -28,12 +28,12 @@ PERCENT = 80
 SLOT_BITS = 16
 #: Low bits of a word's hash in its key; the rarity of its slot is above them.
 KEY_BITS = 48
-#: Classes that share a key beyond which it is refined, and rounds in which groups of near copies are thinned out.
-LARGE, ROUNDS = 512, 3
+#: Classes that share a key beyond which it is refined; words beyond which a line has 128 parity bits, not 64.
+LARGE, LONG = 1024, 96
 NOTHING = -(1 << 62)
 BLANKS = "\t\x0b\x0c\r"
 PLACE = ["id", "line"]
-ENTRY = ["tok", "id", "line", "n", "pos", "s1", "s2"]
+ENTRY = ["tok", "step", "id", "line", "n", "pos", "s1", "s2", "open"]
 
 
 def words(line: Column) -> Column:
@@ -97,100 +97,106 @@ def _parity(keys: Column, half: bool) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(flip(x)))
 
 
+def _near(percent: int) -> Column:
+    """Whether sets of n and a_n words with signatures s1, s2 and a_s1, a_s2 can be similar, by length and signature."""
+    c = F.col
+    fold = lambda x, y: F.bit_count(c(f"a_{x}").bitwiseXOR(c(y)))
+    whole = F.bit_count(c("a_s1").bitwiseXOR(c("a_s2")).bitwiseXOR(c("s1")).bitwiseXOR(c("s2")))
+    apart = F.when((c("n") > LONG) & (c("a_n") > LONG), fold("s1", "s1") + fold("s2", "s2")).otherwise(whole)
+    return (c("n") * percent <= c("a_n") * 100) & (c("a_n") * percent <= c("n") * 100) & (apart <= c("a_n") + c("n") - least_overlap(c("a_n"), c("n"), percent) * 2)
+
+
 def classes_of(source: DataFrame, percent: int, smallest: int) -> DataFrame:
-    """One row for each distinct set of words: its first place, size, signature and extended prefix (none if under smallest)."""
+    """One row for each distinct set of words: its first place, size, signature, least and greatest hash and extended prefix
+    (no prefix if under smallest)."""
     ranks = word_ranks(source)
     filled = lines(source).where(F.btrim("body", F.lit(" ")) != "")
     keyed = filled.select(*PLACE, word_keys(F.col("body"), ranks).alias("ks")).withColumn("n", F.size("ks"))
-    large = F.col("n") >= smallest
+    large, zero = F.col("n") >= smallest, F.lit(0).cast("long")
     marked = keyed.select(
-        *PLACE, "n", F.xxhash64("ks").alias("c1"), F.xxhash64(F.lit(7), "ks").alias("c2"), *[F.when(large, _parity(F.col("ks"), half)).otherwise(0).alias(s) for s, half in (("s1", True), ("s2", False))],
+        *PLACE, "n", F.xxhash64("ks").alias("c1"), F.xxhash64(F.lit(7), "ks").alias("c2"),
+        F.when(large, _parity(F.col("ks"), False)).otherwise(zero).alias("s1"), F.when(F.col("n") > LONG, _parity(F.col("ks"), True)).otherwise(zero).alias("s2"),
+        F.when(large, F.transform("ks", lambda x: x.bitwiseAND(F.lit((1 << KEY_BITS) - 1)))).alias("hs"),
         F.when(large, F.slice("ks", 1, probe_prefix(F.col("n"), percent) + 1)).otherwise(F.array().cast("array<bigint>")).alias("prefix"),
     )
-    one = marked.groupBy("c1", "c2").agg(F.min(F.struct(*PLACE)).alias("at"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "prefix")])
-    return one.select("at.*", "n", "s1", F.col("s1").bitwiseXOR(F.col("s2")).alias("s2"), "prefix")
+    one = marked.select("*", F.array_min("hs").alias("least"), F.array_max("hs").alias("most")).groupBy("c1", "c2")
+    one = one.agg(F.min(F.struct(*PLACE)).alias("at"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "least", "most", "prefix")])
+    return one.select("at.*", "n", F.col("s1").bitwiseXOR(F.col("s2")).alias("s1"), "s2", "least", "most", "prefix")
+
+
+def _first_tries(classes: DataFrame, percent: int) -> DataFrame:
+    """Each line with the first line that has its least or greatest hash, where they can be similar."""
+    rows = classes.where("least IS NOT NULL").select(*PLACE, "n", "s1", "s2", F.explode(F.array("least", "most")).alias("hash"))
+    lead = rows.groupBy("hash").agg(F.min(F.struct(*PLACE, "n", "s1", "s2")).alias("a"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    led = rows.join(lead, "hash").select("*", *[F.col(f"a.{c}").alias(f"a_{c}") for c in (*PLACE, "n", "s1", "s2")])
+    return led.where((F.struct("a_id", "a_line") < F.struct(*PLACE)) & _near(percent)).select(*PLACE, "a_id", "a_line").distinct()
 
 
 def _pairs(index: DataFrame, probe: DataFrame, percent: int, shared: int) -> DataFrame:
-    """Places of later lines with those of earlier ones, from entries whose shared-th common word, at pos, made the key.
+    """Places of later open lines with those of earlier ones, from entries whose shared-th common word, at pos, made the key.
 
     The step of the lengths' logarithm is part of the key: lines of similar length are in one step or in neighbouring ones.
     """
-    step = lambda n: F.floor(F.log(F.col(n).cast("double")) / math.log(100 / percent + 0.01)).cast("int")
-    a = index.where(F.col("pos") < index_prefix(F.col("n"), percent) + (shared - 1)).withColumn("step", F.explode(F.array(step("n"), step("n") + 1))).withColumnsRenamed({c: f"a_{c}" for c in [*ENTRY, "step"]})
-    b = probe.withColumn("step", step("n"))
-    c, need = F.col, least_overlap(F.col("a_n"), F.col("n"), percent)
-    earlier = F.struct("a_id", "a_line") < F.struct("id", "line")
-    later = F.struct("id", "line") < F.struct("a_id", "a_line")
-    apart = F.bit_count(c("a_s1").bitwiseXOR(c("s1"))) + F.bit_count(c("a_s2").bitwiseXOR(c("s2")))
-    near = (c("a_tok") == c("tok")) & (c("a_step") == c("step")) & (c("a_n") <= c("n")) & (c("n") * percent <= c("a_n") * 100) & (apart <= c("a_n") + c("n") - need * 2)
-    near = near & (F.least(c("a_n") - c("a_pos"), c("n") - c("pos")) + (shared - 1) >= need) & (earlier | (c("a_n") < c("n")) & later)
-    found = a.join(b, near)
+    c = F.col
+    steps = F.when(c("pos") < index_prefix(c("n"), percent) + (shared - 1), F.array("step", c("step") + 1)).otherwise(F.array().cast("array<int>"))
+    a = index.withColumn("step", F.explode(steps)).withColumnsRenamed({x: f"a_{x}" for x in ENTRY})
+    earlier, later = F.struct("a_id", "a_line") < F.struct(*PLACE), F.struct(*PLACE) < F.struct("a_id", "a_line")
+    fits = F.least(c("a_n") - c("a_pos"), c("n") - c("pos")) + (shared - 1) >= least_overlap(c("a_n"), c("n"), percent)
+    wanted = (earlier & c("open")) | ((c("a_n") < c("n")) & later & c("a_open"))
+    found = a.join(probe, (c("a_tok") == c("tok")) & (c("a_step") == c("step")) & (c("a_n") <= c("n")) & _near(percent) & fits & wanted)
     first = lambda x, y: F.when(earlier, c(x)).otherwise(c(y))
     return found.select(first("id", "a_id").alias("id"), first("line", "a_line").alias("line"), first("a_id", "id").alias("a_id"), first("a_line", "line").alias("a_line"))
 
 
-def _level(entries: DataFrame, scratch: Scratch, name: str, percent: int, shared: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs by keys of up to LARGE entries, and the entries of other keys, if there are any."""
-    hot = scratch.cut(entries.groupBy("tok").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE).select("tok"), f"{name}-hot")
-    keys, few = broadcast_if_small(hot), entries
-    any_ = hot.limit(1).count() > 0
+def _candidates(entries: DataFrame, classes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs by keys of up to LARGE entries, and by two words for other keys."""
+    hot = scratch.cut(entries.groupBy("tok").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE).select("tok"), "hot")
+    keys, few, any_ = broadcast_if_small(hot), entries, hot.limit(1).count() > 0
     if any_:
         few = entries.join(keys, "tok", "left_anti")
     dealt = few.select(*ENTRY).repartition("tok")  # the key has the step too; it need not be dealt by that
-    with conf(scratch.spark, {"spark.sql.requireAllClusterKeysForCoPartition": "false"}):
-        pairs = scratch.cut(_pairs(dealt, dealt, percent, shared), name)
-    return pairs, scratch.cut(entries.join(keys, "tok", "left_semi").select(*ENTRY), f"{name}-large") if any_ else None
-
-
-def _refined(hot: DataFrame, classes: DataFrame) -> DataFrame:
+    settings = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"}
+    with conf(scratch.spark, settings):  # without a filter below it, one exchange serves both sides
+        pairs = scratch.cut(_pairs(dealt, dealt, percent, 1), "pairs-one")
+    if not any_:
+        return pairs
+    large = scratch.cut(entries.join(keys, "tok", "left_semi").select(*ENTRY), "large")
+    open_ = scratch.cut(_refined(large.where("open"), classes), "refined")
+    bloom, blocks = bloom_of(open_.select(F.col("tok").alias("key")), scratch, "refined-bloom")
+    every = _refined(large, classes)
+    every = every.where(bloom_test(bloom, F.col("tok"), blocks))
+    done = every.where("NOT open")  # pairs of two open lines are found once, among the open
+    return pairs.union(scratch.cut(_pairs(done, open_, percent, 2).union(_pairs(open_, done, percent, 2)).union(_pairs(open_, open_, percent, 2)), "pairs-two"))
+
+
+def _refined(large: DataFrame, classes: DataFrame) -> DataFrame:
     """Entries by two words: the one that made the entry, and each later one of the extended prefix."""
-    both = hot.join(classes.select(*PLACE, "prefix"), PLACE).select("*", F.posexplode("prefix").alias("at", "second")).where("at > pos")
-    return both.select(F.xxhash64("tok", "second").alias("tok"), *PLACE, "n", F.col("at").alias("pos"), "s1", "s2")
+    both = large.join(classes.select(*PLACE, "prefix"), PLACE).select("*", F.posexplode("prefix").alias("at", "second")).where("at > pos")
+    return both.select(F.xxhash64("tok", "second").alias("tok"), "step", *PLACE, "n", F.col("at").alias("pos"), "s1", "s2", "open")
 
 
-def _sets(source: DataFrame, places: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """id, line, ws of the lines at distinct places. A Bloom filter of them spares most other lines the exchange."""
-    wanted, blocks = places.count(), 1
-    while blocks < min(MAX_BLOCKS, -(-wanted * BITS_AN_ENTRY // 64)):
+def bloom_of(keys: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, int]:
+    """A filter over column key, of a size by the count of keys, and its blocks."""
+    many, blocks = keys.count(), 1
+    while blocks < min(MAX_BLOCKS, -(-many * BITS_AN_ENTRY // 64)):
         blocks *= 2
-    key = F.struct(F.col("id"), F.col("line"))
-    bloom = scratch.cut(blocked_bloom(places.select(key.alias("key")), blocks), f"{name}-bloom")
-    maybe = lines(source).where(bloom_test(bloom, key, blocks))
-    return scratch.cut(maybe.join(places, PLACE, "left_semi").select(*PLACE, word_set(F.col("body")).alias("ws")), f"{name}-sets")
+    return scratch.cut(blocked_bloom(keys, blocks), name), blocks
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Places of lines whose set is similar to that of their earlier partner."""
+def _confirmed(pairs: DataFrame, source: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
+    """Places of lines whose set is similar to that of their earlier partner.
+
+    A Bloom filter of the documents and places of pairs spares most other lines the exchange.
+    """
+    places = scratch.cut(pairs.select(*PLACE).union(pairs.select("a_id", "a_line")).distinct(), f"{name}-places")
+    key = lambda line: F.xxhash64("id", line)
+    bloom, blocks = bloom_of(places.select(F.explode(F.array(key(F.lit(-1)), key(F.col("line")))).alias("key")), scratch, f"{name}-bloom")
+    maybe = lines(source.where(bloom_test(bloom, key(F.lit(-1)), blocks))).where(bloom_test(bloom, key(F.col("line")), blocks))
+    sets = scratch.cut(maybe.join(places, PLACE, "left_semi").select(*PLACE, word_set(F.col("body")).alias("ws")), f"{name}-sets")
     earlier = sets.select(F.col("id").alias("a_id"), F.col("line").alias("a_line"), F.col("ws").alias("a_ws"))
     both = pairs.join(sets, PLACE).join(earlier, ["a_id", "a_line"])
     same = F.size(F.array_intersect("ws", "a_ws"))
-    return both.where(same * (100 + percent) >= (F.size("ws") + F.size("a_ws")) * percent).select(*PLACE).distinct()
-
-
-def _places(*frames: DataFrame) -> DataFrame:
-    return reduce(DataFrame.union, [f.select(*p) for f in frames for p in (PLACE, ["a_id", "a_line"]) if set(p) <= set(f.columns)]).distinct()
-
-
-def _near_copies(hot: DataFrame, source: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Places of lines with an earlier partner, of groups that two words could not make small."""
-    places = scratch.cut(_places(hot), "copies")
-    sets = _sets(source, places, scratch, "copies")
-    open_, gone = places, None
-    lead = F.min(F.struct("id", "line", "n", "s1", "s2")).alias("a")
-    for k in range(ROUNDS):
-        members = hot.join(open_, PLACE, "left_semi")
-        led = members.join(members.groupBy("tok").agg(lead), "tok").select("*", *[F.col(f"a.{c}").alias(f"a_{c}") for c in ("id", "line", "n", "s1", "s2")])
-        apart = F.bit_count(F.col("a_s1").bitwiseXOR(F.col("s1"))) + F.bit_count(F.col("a_s2").bitwiseXOR(F.col("s2")))
-        able = (apart <= F.col("a_n") + F.col("n") - least_overlap(F.col("a_n"), F.col("n"), percent) * 2) & (F.struct("a_id", "a_line") < F.struct("id", "line"))
-        found = scratch.cut(_confirmed(led.where(able).select(*PLACE, "a_id", "a_line").distinct(), sets, percent), f"copies-{k}")
-        gone = found if gone is None else gone.union(found)
-        open_ = scratch.cut(open_.join(found, PLACE, "left_anti"), f"open-{k}")
-        if not found.limit(1).count():
-            break
-    rest = hot.join(open_, PLACE, "left_semi")
-    pairs = _pairs(hot, rest, percent, 2).union(_pairs(rest, hot, percent, 2)).join(open_, PLACE, "left_semi").distinct()
-    return gone.union(_confirmed(scratch.cut(pairs, "copies-rest"), sets, percent))
+    return scratch.cut(both.where(same * (100 + percent) >= (F.size("ws") + F.size("a_ws")) * percent).select(*PLACE).distinct(), f"{name}-gone")
 
 
 def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -204,17 +210,13 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = next(m for m in range(1, 200) if 100 * m >= percent * (m + 1))  # smaller sets are only similar to themselves
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NOTHING)).alias("id"), F.col(text_col).alias("text"))
     classes = scratch.cut(classes_of(source, percent, smallest), "classes")
-    entries = classes.where(F.col("n") >= smallest).select(*PLACE, "n", "s1", "s2", F.posexplode(F.slice("prefix", 1, probe_prefix(F.col("n"), percent))).alias("pos", "tok"))
-    pairs, hot = _level(entries, scratch, "one", percent, 1)
-    gone = None
-    if hot is not None:
-        more, copies = _level(_refined(hot, classes), scratch, "two", percent, 2)
-        pairs = pairs.union(more)
-        if copies is not None:
-            gone = scratch.cut(_near_copies(copies, source, scratch, percent), "copies-gone")
-    pairs = scratch.cut(pairs.distinct(), "pairs")
-    found = scratch.cut(_confirmed(pairs, _sets(source, scratch.cut(_places(pairs), "places"), scratch, "pairs"), percent), "gone")
-    gone = found if gone is None else found.union(gone)
+    tried = _confirmed(scratch.cut(_first_tries(classes, percent), "tries"), source, scratch, "tries", percent)
+    known = broadcast_if_small(tried.withColumn("known", F.lit(True)))
+    step = F.coalesce(F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent + 0.01)).cast("int"), F.lit(0)).alias("step")
+    marked = classes.where(F.col("n") >= smallest).join(known, PLACE, "left")
+    entries = marked.select(*PLACE, "n", "s1", "s2", step, F.col("known").isNull().alias("open"), F.posexplode(F.slice("prefix", 1, probe_prefix(F.col("n"), percent))).alias("pos", "tok"))
+    pairs = scratch.cut(_candidates(entries, classes, scratch, percent).distinct(), "pairs")
+    gone = tried.union(_confirmed(pairs, source, scratch, "pairs", percent))
     return scratch.cut(classes.select(*PLACE).join(gone.distinct(), PLACE, "left_anti"), "stay")
 
 

@@ -176,9 +176,11 @@ def test_lines_in_large_groups(spark, monkeypatch, large):
 def test_line_words(spark):
     """Every kind of white space, and words that only look like it."""
     bodies = ["a b", " a\tb\x0b\x0cc\rd ", "", "  ", "a\u00a0b \u2003c", "é  É", "a\x1fb\x85c"]
-    got = spark.createDataFrame([(b,) for b in bodies], "b string").select("b", F.filter(line_dedup.words(F.col("b")), lambda w: w != "").alias("w"), F.size(line_dedup.word_set(F.col("b"))).alias("n")).collect()
-    for r in got:
-        assert r.w == brute.WORD.findall(r.b) and r.n == len(set(r.w))
+    body = F.col("body")
+    for text in [*bodies, "\n".join(bodies)]:
+        rows = line_dedup.lines(spark.createDataFrame([(1, text)], "id long, text string")).select("line", F.filter(line_dedup.words(body), lambda w: w != "").alias("w"), F.size(line_dedup.word_set(body)).alias("n")).collect()
+        assert [r.w for r in sorted(rows, key=lambda r: r.line)] == [brute.WORD.findall(b) for b in text.split("\n")]
+        assert all(r.n == len(set(r.w)) for r in rows)
 
 
 def test_quality(spark):
