@@ -7,7 +7,7 @@ first n - ceil(2t / (1 + t) n) + 1 words of the shorter; those prefixes are join
 than similar pairs leaves it; those are verified on full sets. A line with an earlier partner goes.
 
 Lines of one set are one class, represented by its first line. Before the join, lines are tried against the first line that
-has their least or greatest word hash, which finds most near copies; only lines still open are sought earlier partners, so a
+has the least or greatest hash of their prefix, which finds most near copies; only lines still open are sought earlier partners, so a
 group of n near copies gives about n pairs. A word that over LARGE classes have in their prefixes is refined: similar lines
 also share a second word of prefixes that are one word longer, so such entries are joined by both words.
 """
@@ -107,8 +107,7 @@ def _near(percent: int) -> Column:
 
 
 def classes_of(source: DataFrame, percent: int, smallest: int) -> DataFrame:
-    """One row for each distinct set of words: its first place, size, signature, least and greatest hash and extended prefix
-    (no prefix if under smallest)."""
+    """One row for each distinct set of words: its first place, size, signature and extended prefix (none if under smallest)."""
     ranks = word_ranks(source)
     filled = lines(source).where(F.btrim("body", F.lit(" ")) != "")
     keyed = filled.select(*PLACE, word_keys(F.col("body"), ranks).alias("ks")).withColumn("n", F.size("ks"))
@@ -116,19 +115,18 @@ def classes_of(source: DataFrame, percent: int, smallest: int) -> DataFrame:
     marked = keyed.select(
         *PLACE, "n", F.xxhash64("ks").alias("c1"), F.xxhash64(F.lit(7), "ks").alias("c2"),
         F.when(large, _parity(F.col("ks"), False)).otherwise(zero).alias("s1"), F.when(F.col("n") > LONG, _parity(F.col("ks"), True)).otherwise(zero).alias("s2"),
-        F.when(large, F.transform("ks", lambda x: x.bitwiseAND(F.lit((1 << KEY_BITS) - 1)))).alias("hs"),
         F.when(large, F.slice("ks", 1, probe_prefix(F.col("n"), percent) + 1)).otherwise(F.array().cast("array<bigint>")).alias("prefix"),
     )
-    one = marked.select("*", F.array_min("hs").alias("least"), F.array_max("hs").alias("most")).groupBy("c1", "c2")
-    one = one.agg(F.min(F.struct(*PLACE)).alias("at"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "least", "most", "prefix")])
-    return one.select("at.*", "n", F.col("s1").bitwiseXOR(F.col("s2")).alias("s1"), "s2", "least", "most", "prefix")
+    one = marked.groupBy("c1", "c2").agg(F.min(F.struct(*PLACE)).alias("at"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "prefix")])
+    return one.select("at.*", "n", F.col("s1").bitwiseXOR(F.col("s2")).alias("s1"), "s2", "prefix")
 
 
 def _first_tries(classes: DataFrame, percent: int) -> DataFrame:
-    """Each line with the first line that has its least or greatest hash, where they can be similar."""
-    rows = classes.where("least IS NOT NULL").select(*PLACE, "n", "s1", "s2", F.explode(F.array("least", "most")).alias("hash"))
-    lead = rows.groupBy("hash").agg(F.min(F.struct(*PLACE, "n", "s1", "s2")).alias("a"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    led = rows.join(lead, "hash").select("*", *[F.col(f"a.{c}").alias(f"a_{c}") for c in (*PLACE, "n", "s1", "s2")])
+    """Each line with the first line whose prefix has the same least or greatest hash, where they can be similar."""
+    hashes = F.transform("prefix", lambda x: x.bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
+    rows = classes.where("size(prefix) > 0").withColumn("hashes", hashes).select(*PLACE, "n", "s1", "s2", F.explode(F.array(F.array_min("hashes"), F.array_max("hashes"))).alias("key"))
+    lead = rows.groupBy("key").agg(F.min(F.struct(*PLACE, "n", "s1", "s2")).alias("a"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    led = rows.join(lead, "key").select("*", *[F.col(f"a.{c}").alias(f"a_{c}") for c in (*PLACE, "n", "s1", "s2")])
     return led.where((F.struct("a_id", "a_line") < F.struct(*PLACE)) & _near(percent)).select(*PLACE, "a_id", "a_line").distinct()
 
 
@@ -148,19 +146,28 @@ def _pairs(index: DataFrame, probe: DataFrame, percent: int, shared: int) -> Dat
     return found.select(first("id", "a_id").alias("id"), first("line", "a_line").alias("line"), first("a_id", "id").alias("a_id"), first("a_line", "line").alias("a_line"))
 
 
+def _hot_keys(entries: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Keys of more than LARGE entries, if any. Only keys in slots of more than LARGE entries are counted one by one."""
+    slot = F.col("tok").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int").alias("slot")
+    slots = scratch.cut(entries.groupBy(slot).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE).select("slot"), "slots")  # 2^SLOT_BITS rows at most
+    if not slots.limit(1).count():
+        return None
+    keys = entries.select("tok", slot).join(F.broadcast(slots), "slot", "left_semi").groupBy("tok").agg(F.count(F.lit(1)).alias("size"))
+    keys = scratch.cut(keys.where(F.col("size") > LARGE).select("tok"), "hot")
+    return keys if keys.limit(1).count() else None
+
+
 def _candidates(entries: DataFrame, classes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Pairs by keys of up to LARGE entries, and by two words for other keys."""
-    hot = scratch.cut(entries.groupBy("tok").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE).select("tok"), "hot")
-    keys, few, any_ = broadcast_if_small(hot), entries, hot.limit(1).count() > 0
-    if any_:
-        few = entries.join(keys, "tok", "left_anti")
+    hot = _hot_keys(entries, scratch)
+    few = entries if hot is None else entries.join(broadcast_if_small(hot), "tok", "left_anti")
     dealt = few.select(*ENTRY).repartition("tok")  # the key has the step too; it need not be dealt by that
     settings = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"}
     with conf(scratch.spark, settings):  # without a filter below it, one exchange serves both sides
         pairs = scratch.cut(_pairs(dealt, dealt, percent, 1), "pairs-one")
-    if not any_:
+    if hot is None:
         return pairs
-    large = scratch.cut(entries.join(keys, "tok", "left_semi").select(*ENTRY), "large")
+    large = scratch.cut(entries.join(broadcast_if_small(hot), "tok", "left_semi").select(*ENTRY), "large")
     open_ = scratch.cut(_refined(large.where("open"), classes), "refined")
     bloom, blocks = bloom_of(open_.select(F.col("tok").alias("key")), scratch, "refined-bloom")
     every = _refined(large, classes)
