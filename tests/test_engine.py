@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliate.functions import text as T
-from foliate.operators import analytics, chunking, curves, entities, ledger, results, scoring
+from foliate.operators import analytics, chunking, curves, entities, layout, ledger, results, scoring
 from foliate.plans import questions as Q
 from foliate.scoring import answers
 from foliate.sources import readers, sinks
@@ -307,8 +307,16 @@ def test_html():
 TEXT = "Title: The Lamp\r\nAuthor: W. Me\r\n\r\n*** START OF THE PROJECT GUTENBERG EBOOK ***\r\n\r\nTHE LAMP\r\n\r\nI\r\n\r\nII\r\n\r\nIII\r\n\r\n" + "".join(f"CHAPTER {n}\r\n\r\nA NAME\r\n\r\n" + "It was _very_ late and\r\nnobody came by. " * 9 + "\r\n\r\nThen it rained.\r\n\r\n" for n in ("I", "II", "III")) + "TRANSCRIBER'S NOTES\r\n\r\nSome note.\r\n\r\n*** END OF THE PROJECT GUTENBERG EBOOK ***\r\n\r\nLicence."
 
 
-def test_text():
-    p = readers.read_text(TEXT.encode("cp1252"))
+def parsed(spark, kind, data):
+    files = spark.createDataFrame([(1, bytearray(data), kind)], "n int, content binary, kind string")
+    r = readers.parse(files, ["n"]).first()
+    assert r.error is None
+    r = r.asDict()
+    return readers.Parsed(r["title"], r["author"], r["paragraphs"], [tuple(c) for c in r["chapters"]])
+
+
+def test_text(spark):
+    p = parsed(spark, "txt", TEXT.encode("cp1252"))
     assert (p.title, p.author, len(p.paragraphs)) == ("The Lamp", "W. Me", 6)
     assert p.chapters == [("CHAPTER I · A NAME", 0), ("CHAPTER II · A NAME", 2), ("CHAPTER III · A NAME", 4)]
     assert "_" not in p.paragraphs[0] and "late and nobody" in p.paragraphs[0]
@@ -331,12 +339,28 @@ def test_epub():
     assert (p.title, p.author) == ("T", "C") and p.chapters == [("Part 0", 0), ("Part 2", 2), ("Part 1", 4)] and len(p.paragraphs) == 6
 
 
-def test_pdf_lines():
+def test_blocks_of_text(spark):
+    """Notes, subtitles beyond two, a front too long to drop, blocks without letters, nothing at all."""
+    long = "word " * 40
+    p = parsed(spark, "txt", f"THE TITLE\n\n{long}\n\nTranscriber's note: kept short\n\nlost\n\nPART ONE\n\nA NAME\n\nA SECOND NAME\n\nA THIRD NAME\n\n* * *\n\nFirst text.\n\nCHAPTER II\n\nSecond.\n\nCHAPTER III\n\nThird.".encode())
+    assert p.paragraphs == [long.strip(), "First text.", "Second.", "Third."]
+    assert p.chapters == [("THE TITLE", 0), ("PART ONE · A NAME · A SECOND NAME", 1), ("A THIRD NAME", 1), ("CHAPTER II", 2), ("CHAPTER III", 3)]
+    assert parsed(spark, "txt", b"") == readers.Parsed(None, None, [], []) and parsed(spark, "txt", b"CHAPTER I").chapters == [("CHAPTER I", 0)]
+
+
+def test_pdf_lines(spark):
     pages = [f"THE RUNNING HEAD\n  It was late when the {w} lamp on page {n} went out for the very last ti-\nme {w}.\n{n}" for n, w in enumerate("red blue green white black brown grey pink".split(), 1)]
-    p = readers.pdf_pages(pages)
-    assert len(p.paragraphs) == 8 and p.paragraphs[0].endswith("last time red.") and not p.chapters
+    pages.append("THE RUNNING HEAD\nCHAPTER II\nT HE L AMP was out, and the room was as dark as it had been on the\nfirst day.\nNobody came that night or on the night that came after that one.\n9")
+    lines = spark.createDataFrame([(1, n, k, x) for n, own in enumerate(pages) for k, x in enumerate(own.split("\n"))], "doc int, page int, line int, raw string")
+    blocks = layout.blocks_of_lines(lines, "START", "END")
+    p = layout.books_of_blocks(blocks).first()
+    assert len(p.paragraphs) == 10 and p.paragraphs[0].endswith("last time red.") and p.paragraphs[8:] == ["THE LAMP was out, and the room was as dark as it had been on the first day.", "Nobody came that night or on the night that came after that one."]
+    assert [tuple(c) for c in p.chapters] == [("CHAPTER II", 8)]
+    marked = lines.withColumn("raw", F.when((F.col("page") == 7) & (F.col("line") == 0), "x START x").when((F.col("page") == 8) & (F.col("line") == 3), "END").otherwise(F.col("raw")))
+    assert [len(r.paragraphs) for r in layout.books_of_blocks(layout.blocks_of_lines(marked, "START", "END")).collect()] == [2]
+    assert layout.books_of_blocks(layout.blocks_of_lines(lines.where("false"), "START", "END")).count() == 0
     with pytest.raises(ValueError):
-        readers.pdf_pages(["x"])
+        readers.with_text(["x"])
 
 
 def test_files(spark, tmp_path):
@@ -350,7 +374,6 @@ def test_files(spark, tmp_path):
 
 @pytest.mark.parametrize(("line", "heading"), [("CHAPTER IV", True), ("Book Two", True), ("Part the First", True), ("IV.", True), ("IV. THE BODY", True), ("THE LAST NIGHT", True), ("Part of me was sad.", False), ("I went home.", False), ("WHO IS IT?", False), ("", False)])
 def test_headings(spark, line, heading):
-    assert readers.heading_like(line) is heading
     assert bool(spark.range(1).select(T.is_heading(F.lit(line))).first()[0]) is heading
 
 
