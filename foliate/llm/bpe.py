@@ -22,6 +22,8 @@ SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Distinct words whose encodings a task keeps; the table starts anew beyond.
 CACHE_WORDS = 150_000
+#: Bytes of a word up to which the tokens of every prefix are kept.
+DEEP = 64
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -46,7 +48,10 @@ class Vocabulary:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merge[names[a], names[b]] = rank, names[a + b]
-        self.longest = max(map(len, self.ids))
+        lengths: dict[bytes, set[int]] = {}
+        for b in self.ids:
+            lengths.setdefault(b[-2:], set()).add(len(b))
+        self.lengths = {end: sorted({*found, 1}, reverse=True) for end, found in lengths.items()}  # of tokens by their last two bytes
         self.piece = self.bytes | {i: s.encode() for s, i in self.special.items()}
 
     def merged(self, data: bytes) -> list[int]:
@@ -89,24 +94,32 @@ class TrieEncoder:
 
     def learn(self, words: set[bytes]) -> None:
         """Encodes distinct words; a prefix that several share is encoded once."""
-        ids, pair, longest, before = self.v.ids, self._pair, self.v.longest, b""
+        ids, pair, lengths, before = self.v.ids, self._pair, self.v.lengths, b""
         last: list[int] = [-1]  # by depth: the last token
-        path: list[bytes] = [b""]  # by depth: the tokens, four bytes each
+        back: list[int] = [0]  # by depth: where that token begins
+        path: list[bytes] = [b""]  # by depth up to DEEP: the tokens, four bytes each
         for word in sorted(words):
             same, most = 0, min(len(word), len(before))
             while same < most and word[same] == before[same]:
                 same += 1
-            del last[same + 1 :], path[same + 1 :]
+            del last[same + 1 :], back[same + 1 :], path[same + 1 :]
             for depth in range(same + 1, len(word) + 1):
-                for start in range(max(0, depth - longest), depth):
-                    token = ids.get(word[start:depth])
+                for n in lengths.get(word[max(0, depth - 2) : depth], (1,)):
+                    start = depth - n
+                    token = ids.get(word[start:depth]) if start >= 0 else None
                     if token is not None and (pair(last[start], token) if start else self._alone(token)):
                         break
                 else:
                     raise ValueError("a byte has no token")
                 last.append(token)
-                path.append(path[start] + token.to_bytes(4, "little"))
-            self.done[word] = path[len(word)]
+                back.append(start)
+                if depth <= DEEP:
+                    path.append(path[start] + token.to_bytes(4, "little"))
+            depth, rest = len(word), []
+            while depth > DEEP:  # whole paths of every depth would be quadratic
+                rest.append(last[depth])
+                depth = back[depth]
+            self.done[word] = path[depth] + np.array(rest[::-1], "<u4").tobytes() if rest else path[depth]
             before = word
 
     def _alone(self, token: int) -> bool:

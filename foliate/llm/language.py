@@ -22,9 +22,10 @@ from .common import trim
 #: Bound of the sample a model is fitted on: about so many labelled texts a language, picked by a hash of the id.
 SAMPLE_A_LANGUAGE = 4000
 SMOOTHING = 0.5
-#: Probability of a character that no piece covers; longer words are scored in parts of so many characters.
-UNKNOWN, PART = 1e-4, 48
+#: Probability of a character that no piece covers; steps after which a forward pass is scaled anew; numbers a pass holds.
+UNKNOWN, RESCALE, BATCH = 1e-4, 32, 4_000_000
 CACHE_WORDS = 200_000
+#: Bound of the model: so many languages, those with most texts, can be learned.
 MAX_LANGUAGES = 200
 SPACE_MARK = "▁"
 LETTER = regex.compile(r"\p{L}")
@@ -46,11 +47,13 @@ def pieces(vocabulary: str) -> list[str]:
 
 
 def train(labelled: DataFrame, vocabulary: str, sample: int = SAMPLE_A_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Piece counts by language over a bounded sample of whole labelled texts. Rows without text or label teach nothing."""
+    """Piece counts by language over a bounded sample of whole labelled texts. Rows without text or label teach nothing.
+
+    Counts are of the vocabulary's own segmentation of a text, while scoring sums over all: a cheap stand-in for expected
+    counts over all segmentations.
+    """
     docs = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
-    counts = {r["l"]: r["n"] for r in docs.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = {r["l"]: r["n"] for r in docs.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()}
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((0, len(pieces(vocabulary)))), vocabulary)
@@ -90,8 +93,9 @@ class Scorer:
         chars: dict[str, int] = {}
         edges: dict[tuple[int, int], int] = {}
         ends: dict[int, int] = {}
+        self.longest = 1
         for i, piece in enumerate(pieces(model.vocabulary)):
-            node = 0
+            node, self.longest = 0, max(self.longest, len(piece))
             for c in piece:
                 node = edges.setdefault((node, chars.setdefault(c, len(chars) + 1)), len(edges) + 1)
             if piece:
@@ -112,30 +116,40 @@ class Scorer:
     def words(self, words: list[str]) -> np.ndarray:
         """Log probabilities (words x languages), summed over all segmentations."""
         out = np.zeros((len(words), self.n))
-        parts, owner = [], []
-        for i, w in enumerate(words):
-            w = SPACE_MARK + w
-            for at in range(0, len(w), PART):
-                parts.append(w[at : at + PART])
-                owner.append(i)
-        for at in range(0, len(parts), 8_000):
-            some = parts[at : at + 8_000]
-            np.add.at(out, np.array(owner[at : at + 8_000]), self._forward(some))
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        while order:  # the longest words first, as many as BATCH allows
+            each = max(len(words[order[-1]]) + 1, self.n * (self.longest + 1))
+            some = order[-max(1, BATCH // each) :]
+            del order[-len(some) :]
+            out[some] = self._forward([SPACE_MARK + words[i] for i in some])
         return out
 
-    def _forward(self, parts: list[str]) -> np.ndarray:
-        lengths = np.array([len(w) for w in parts])
+    def _forward(self, words: list[str]) -> np.ndarray:
+        """One pass over all words. Only as many steps are held as a piece is long, and scaled anew before they vanish."""
+        lengths = np.array([len(w) for w in words])
         order = np.argsort(-lengths, kind="stable")
         lengths = lengths[order]
-        longest = int(lengths[0])
-        codes = np.zeros((len(parts), longest), np.int64)
-        flat = self.chars[np.frombuffer("".join(parts[i] for i in order).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        longest, ring = int(lengths[0]), self.longest + 1
+        codes = np.zeros((len(words), longest), np.int32)
+        flat = self.chars[np.frombuffer("".join(words[i] for i in order).encode("utf-32-le", "surrogatepass"), np.uint32)]
         codes[np.arange(longest)[None, :] < lengths[:, None]] = flat
-        alpha = np.zeros((longest + 1, len(parts), self.n))
+        alpha = np.zeros((ring, len(words), self.n))
         alpha[0] = 1.0
-        for i in range(longest):
+        scale, done = np.zeros((len(words), self.n)), np.zeros((len(words), self.n))
+        before = len(words)
+        for i in range(longest + 1):
+            own = alpha[i % ring]
             m = int(np.searchsorted(-lengths, -i, side="left"))  # words longer than i
-            alpha[i + 1, :m] += alpha[i, :m] * UNKNOWN
+            if m < before:
+                done[m:before] = np.log(own[m:before]) + scale[m:before]
+                before = m
+            if not m:
+                break
+            if i % RESCALE == 0 and i:
+                top = alpha[:, :m].max(axis=0)
+                alpha[:, :m] /= top
+                scale[:m] += np.log(top)
+            alpha[(i + 1) % ring, :m] += own[:m] * UNKNOWN
             live, node, step = np.arange(m), np.zeros(m, np.int64), i
             while len(live) and step < longest:
                 c = codes[live, step]
@@ -147,9 +161,10 @@ class Scorer:
                 piece = self.end[node]
                 has = piece >= 0
                 rows = live[has]
-                alpha[step, rows] += alpha[i, rows] * self.p[:, piece[has]].T
-        result = np.empty((len(parts), self.n))
-        result[order] = np.log(alpha[lengths, np.arange(len(parts))])
+                alpha[step % ring, rows] += own[rows] * self.p[:, piece[has]].T
+            own[:] = 0  # the place of a later step
+        result = np.empty((len(words), self.n))
+        result[order] = done
         return result
 
     def texts(self, texts: list[str | None]) -> Iterator[tuple[int, float]]:

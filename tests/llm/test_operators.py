@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -261,6 +262,18 @@ def test_bpe_equals_the_library(spark):
     assert bpe.bpe_encode(frame(spark, rows).where("false"), tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+def test_bpe_of_a_very_long_word():
+    from tokenizers import Tokenizer
+
+    text = "".join(R.choices("abcdefghij", k=60_000))
+    encoder = bpe.TrieEncoder(bpe.Vocabulary(tokenizer("byte_bpe_50k.json")))
+    tracemalloc.start()
+    got = encoder.encode([text])[0]
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
+    assert np.frombuffer(got, "<u4").tolist() == Tokenizer.from_file(tokenizer("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
@@ -296,6 +309,27 @@ def test_forward_sums_all_segmentations():
         got = scorer.words([word])[0]
         assert np.allclose(got, [np.log(total(language.SPACE_MARK + word, x)) for x in (0, 1)])
 
+    def plain(word, lang):
+        """Step by step in logarithms: words of any length."""
+        logs = [0.0]
+        for i in range(1, len(word) + 1):
+            ways = [logs[i - 1] + np.log(language.UNKNOWN)]
+            ways += [logs[i - n] + log_p[lang, at[word[i - n : i]]] for n in range(1, min(i, scorer.longest) + 1) if word[i - n : i] in at]
+            logs.append(np.logaddexp.reduce(ways))
+        return logs[-1]
+
+    words = ["the" * 100, "x日" * 500, "a", "there" * 9 + "é", "z" * 47, "z" * 48, "z" * 49, "qu" * 3000]
+    got = scorer.words(words)
+    assert np.allclose(got, [[plain(language.SPACE_MARK + w, x) for x in (0, 1)] for w in words])
+
+
+def test_language_of_many_labels(spark, monkeypatch):
+    """Beyond the bound the labels with most texts are learned."""
+    monkeypatch.setattr(language, "MAX_LANGUAGES", 2)
+    rows = [(i, "the lamp and the door", ["en", "aa", "zz", "en", "aa"][i % 5]) for i in range(50)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), tokenizer("piece_bpe_32k.model"))
+    assert model.langs == ["aa", "en"]
+
 
 def test_chat(spark):
     import duckdb
