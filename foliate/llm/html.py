@@ -8,8 +8,9 @@ the <article> or <main> around a dense line, so that a heading before the surge
 from __future__ import annotations
 
 import html as _html
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pyarrow as pa
 import regex
@@ -19,6 +20,8 @@ SCHEMA = "page_id long, url string, text string"
 WINDOW = 3
 #: Share of the greatest window sum from which a window belongs to the body.
 SURGE = 0.25
+#: Nested wrappers that are opened if nothing else is left of a page.
+WRAPPERS = 8
 
 # Element names and the words in class, id or role that mark what is no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,11 +50,6 @@ class Line:
     linked: int = 0
 
 
-@dataclass
-class Page:
-    lines: list[Line] = field(default_factory=list)
-
-
 def noisy(name: str, attributes: str) -> bool:
     if not attributes or name in ("html", "body", "main", "article"):
         if name != "article" or not attributes:
@@ -72,13 +70,35 @@ def noisy(name: str, attributes: str) -> bool:
     return False
 
 
+def wrapper(name: str, attributes: str) -> bool:
+    """Whether an element that would be dropped may hold a whole page: a form, or one with other words in its class or id."""
+    words = {w.lower() for k, v in ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id") for w in PART.findall(v)}
+    return name == "form" or name not in DROP and bool(words - NOISE) and not HIDDEN.search(attributes)
+
+
 def strip(source: str) -> list[Line]:
-    """The lines that markup does not already rule out, with the elements that hold them."""
+    """The lines that markup does not already rule out, with the elements that hold them.
+
+    If none is left, the dropped wrapper with most text is opened, and so on, WRAPPERS times at most.
+    """
+    opened: set[int] = set()
+    for _ in range(WRAPPERS + 1):
+        lines, dropped = _strip(source, opened)
+        if lines or not dropped:
+            break
+        opened.add(max(dropped, key=lambda k: (dropped[k], -k)))
+    return lines
+
+
+def _strip(source: str, opened: set[int]) -> tuple[list[Line], dict[int, int]]:
+    """Lines, and characters of text in each dropped wrapper, by where it begins. Those in opened are not dropped."""
     lines: list[Line] = []
     text: list[str] = []
     linked = at = skip_depth = 0
-    skip = ""
+    skip, begin = "", -1
+    dropped: dict[int, int] = {}
     holders, holder_names, next_id = [0], [""], 1
+    inside: Counter[str] = Counter()  # names in holder_names
     mains: list[int] = [0]
     links = 0
 
@@ -99,6 +119,8 @@ def strip(source: str) -> list[Line]:
             text.append(source[at:end])
             if links:
                 linked += end - at
+        elif skip and begin in dropped:
+            dropped[begin] += len(source[at:end].strip())
         if not tag:
             break
         at = tag.end()
@@ -133,26 +155,31 @@ def strip(source: str) -> list[Line]:
             continue
         flush()
         if closing:
-            if name in HOLDERS and name in holder_names[1:]:
-                while holder_names.pop() != name:
-                    holders.pop()
-                    mains.pop()
+            while inside[name]:
+                last = holder_names.pop()
+                inside[last] -= 1
                 holders.pop()
                 mains.pop()
+                if last == name:
+                    break
             continue
         if name in VOID:
             continue
-        if name in DROP or noisy(name, tag[3]):
+        if tag.start() not in opened and (name in DROP or noisy(name, tag[3])):
+            begin = tag.start()
+            if wrapper(name, tag[3]):
+                dropped[begin] = 0
             if not own or name not in ("svg", "math"):
                 skip, skip_depth = name, 1
             continue
         if name in HOLDERS:
             holders.append(next_id)
             holder_names.append(name)
+            inside[name] += 1
             mains.append(next_id if name in MAIN else mains[-1])
             next_id += 1
     flush()
-    return lines
+    return lines, dropped
 
 
 def body(lines: list[Line], window: int = WINDOW, surge: float = SURGE) -> list[Line]:

@@ -1,4 +1,5 @@
 import random
+import time
 import tracemalloc
 import zlib
 
@@ -377,6 +378,23 @@ def test_html_body_outside_articles():
     assert out == ["T", *long, *long]
 
 
+@pytest.mark.parametrize("wrap", ["<div class='main has-sidebar'>{}</div>", "<div class='share-layout'>{}</div>", "<form action='x'>{}</form>", "<form><div id='page-with-nav'>{}</div></form>", "<div class='comments page'><p>Nice</p></div><form>{}</form>"])
+def test_html_page_in_a_wrapper(wrap):
+    """Where dropping a wrapper would leave nothing, it is opened; what is dropped inside it stays so."""
+    body = [prose(60) for _ in range(5)]
+    page = wrap.format("<nav>Home</nav>" + "".join(f"<p>{b}</p>" for b in body) + "<div class='ad'>Buy</div>")
+    assert html.main_text(f"<html><body>{page}<footer>x</footer></body></html>").split("\n") == body
+    assert html.main_text(f"<html><body>{page}<article><p>{prose(60)}</p></article></body></html>").count("\n") == 0
+    assert html.main_text("<div class='sidebar'>Side</div><aside>x</aside><div class='ad' hidden>y</div>") == ""
+
+
+def test_html_nesting_is_linear():
+    start = time.process_time()
+    html.main_text("<div></section>" * 40_000)
+    html.main_text("<div>" * 40_000 + "x" + "</div>" * 40_000)
+    assert time.process_time() - start < 10
+
+
 @pytest.mark.parametrize(("source", "text"), [
     (None, ""), ("", ""), ("   ", ""), ("plain words", "plain words"), ("<p>a</p", "a"), ("<p>a<!-- cut", "a"), ("<article><p>a &am", "a &am"), ("<article><p>a</p><script>x", "a"),
     ("<article><p class=ad>Buy<p>a<ul><li class='share'>s<li>b</ul><p>c</article>", "a\nb\nc"), ("<article><div class='ad'><div>x</div>y</div>a</article>", "a"), ("<article><div class='research-text'>a</div></article>", "a"),
