@@ -364,7 +364,8 @@ def test_pdf_lines(spark):
 
 
 def test_files(spark, tmp_path):
-    for name, data in (("a.html", HTML.encode()), ("b.txt", TEXT.encode()), ("c.epub", epub()), ("copy.epub", epub()), ("bad.epub", b"PK.."), ("skip.doc", b"x")):
+    book = epub()  # holds the time it was made
+    for name, data in (("a.html", HTML.encode()), ("b.txt", TEXT.encode()), ("c.epub", book), ("copy.epub", book), ("bad.epub", b"PK.."), ("skip.doc", b"x")):
         (tmp_path / name).write_bytes(data)
     files = readers.read_files(spark, str(tmp_path))
     rows = readers.parse(files, ["name", "kind"]).collect()
