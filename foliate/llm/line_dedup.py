@@ -30,6 +30,8 @@ SLOT_BITS = 16
 KEY_BITS = 48
 #: Classes that share a key beyond which it is refined; words beyond which a line has 128 parity bits, not 64.
 LARGE, LONG = 1024, 96
+#: Further tries of lines with such keys.
+TRIES = 12
 NOTHING = -(1 << 62)
 BLANKS = "\t\x0b\x0c\r"
 PLACE = ["id", "line"]
@@ -121,15 +123,28 @@ def classes_of(source: DataFrame, percent: int, smallest: int) -> DataFrame:
     return one.select("at.*", "n", F.col("s1").bitwiseXOR(F.col("s2")).alias("s1"), "s2", "prefix")
 
 
-def _first_tries(classes: DataFrame, percent: int) -> DataFrame:
-    """Each line with the first line whose prefix has the same least or greatest hash, where they can be similar."""
-    hashes = F.transform("prefix", lambda x: x.bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
-    rows = classes.where("size(prefix) > 0").withColumn("hashes", hashes).select(*PLACE, "n", "s1", "s2", F.explode(F.array(F.array_min("hashes"), F.array_max("hashes"))).alias("key"))
+def _tries(lines_: DataFrame, hashes: list[Column], percent: int) -> DataFrame:
+    """Each open line with the first line that has the same of one of hashes, where they can be similar."""
+    rows = lines_.select(*PLACE, "n", "s1", "s2", "open", F.explode(F.array(*hashes)).alias("key"))
     lead = rows.groupBy("key").agg(F.min(F.struct(*PLACE, "n", "s1", "s2")).alias("a"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    led = rows.join(lead, "key").select("*", *[F.col(f"a.{c}").alias(f"a_{c}") for c in (*PLACE, "n", "s1", "s2")])
+    led = rows.where("open").join(lead, "key").select("*", *[F.col(f"a.{c}").alias(f"a_{c}") for c in (*PLACE, "n", "s1", "s2")])
     return led.where((F.struct("a_id", "a_line") < F.struct(*PLACE)) & _near(percent)).select(*PLACE, "a_id", "a_line").distinct()
 
 
+def _first_tries(classes: DataFrame, percent: int) -> DataFrame:
+    """Every line by the least and greatest hash of its prefix."""
+    hashes = F.transform("prefix", lambda x: x.bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
+    rows = classes.where("size(prefix) > 0").withColumn("hashes", hashes).withColumn("open", F.lit(True))
+    return _tries(rows, [F.array_min("hashes"), F.array_max("hashes")], percent)
+
+
+def _more_tries(large: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Lines with hot keys by TRIES other least hashes of their prefix, or pairs of such."""
+    rows = large.select(*PLACE, "open").distinct().join(classes, PLACE)
+    mixed = lambda k: F.array_min(F.transform("prefix", lambda x: F.xxhash64(F.lit(k), x)))
+    return _tries(rows, [F.xxhash64(F.lit(k), mixed(2 * k), mixed(2 * k + 1)) if k % 2 else mixed(2 * k) for k in range(TRIES)], percent)
+
+
 def _pairs(index: DataFrame, probe: DataFrame, percent: int, shared: int) -> DataFrame:
     """Places of later open lines with those of earlier ones, from entries whose shared-th common word, at pos, made the key.
 
@@ -157,8 +172,8 @@ def _hot_keys(entries: DataFrame, scratch: Scratch) -> DataFrame | None:
     return keys if keys.limit(1).count() else None
 
 
-def _candidates(entries: DataFrame, classes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs by keys of up to LARGE entries, and by two words for other keys."""
+def _candidates(entries: DataFrame, classes: DataFrame, source: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs by keys of up to LARGE entries, and by two words for other keys; and lines with a partner found on the way."""
     hot = _hot_keys(entries, scratch)
     few = entries if hot is None else entries.join(broadcast_if_small(hot), "tok", "left_anti")
     dealt = few.select(*ENTRY).repartition("tok")  # the key has the step too; it need not be dealt by that
@@ -166,14 +181,16 @@ def _candidates(entries: DataFrame, classes: DataFrame, scratch: Scratch, percen
     with conf(scratch.spark, settings):  # without a filter below it, one exchange serves both sides
         pairs = scratch.cut(_pairs(dealt, dealt, percent, 1), "pairs-one")
     if hot is None:
-        return pairs
+        return pairs, None
     large = scratch.cut(entries.join(broadcast_if_small(hot), "tok", "left_semi").select(*ENTRY), "large")
+    gone = _confirmed(scratch.cut(_more_tries(large, classes, percent), "large-tries"), source, scratch, "large", percent)
+    large = large.join(gone.withColumn("gone", F.lit(True)), PLACE, "left").withColumn("open", F.col("open") & F.col("gone").isNull()).select(*ENTRY)
     open_ = scratch.cut(_refined(large.where("open"), classes), "refined")
     bloom, blocks = bloom_of(open_.select(F.col("tok").alias("key")), scratch, "refined-bloom")
     every = _refined(large, classes)
     every = every.where(bloom_test(bloom, F.col("tok"), blocks))
     done = every.where("NOT open")  # pairs of two open lines are found once, among the open
-    return pairs.union(scratch.cut(_pairs(done, open_, percent, 2).union(_pairs(open_, done, percent, 2)).union(_pairs(open_, open_, percent, 2)), "pairs-two"))
+    return pairs.union(scratch.cut(_pairs(done, open_, percent, 2).union(_pairs(open_, done, percent, 2)).union(_pairs(open_, open_, percent, 2)), "pairs-two")), gone
 
 
 def _refined(large: DataFrame, classes: DataFrame) -> DataFrame:
@@ -222,8 +239,8 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     step = F.coalesce(F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent + 0.01)).cast("int"), F.lit(0)).alias("step")
     marked = classes.where(F.col("n") >= smallest).join(known, PLACE, "left")
     entries = marked.select(*PLACE, "n", "s1", "s2", step, F.col("known").isNull().alias("open"), F.posexplode(F.slice("prefix", 1, probe_prefix(F.col("n"), percent))).alias("pos", "tok"))
-    pairs = scratch.cut(_candidates(entries, classes, scratch, percent).distinct(), "pairs")
-    gone = tried.union(_confirmed(pairs, source, scratch, "pairs", percent))
+    found, more = _candidates(entries, classes, source, scratch, percent)
+    gone = (tried if more is None else tried.union(more)).union(_confirmed(scratch.cut(found.distinct(), "pairs"), source, scratch, "pairs", percent))
     return scratch.cut(classes.select(*PLACE).join(gone.distinct(), PLACE, "left_anti"), "stay")
 
 
