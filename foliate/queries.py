@@ -160,10 +160,13 @@ def missed_names(read, spark):
     return entities.missed_names(read("documents"), KNOWN, "source")
 
 
-@query("""WITH a(canonical, name) AS (VALUES ('Ann', 'Ann'), ('Ann', 'Nan'), ('Bob', 'Bob'), ('Bob', 'nan'), ('Cy', 'Cy'))
-SELECT lower(name) AS alias, array_to_string(list_sort(list(DISTINCT canonical)), ',') AS owners FROM a GROUP BY lower(name) HAVING count(DISTINCT canonical) > 1""")
+@query("WITH " + NAMES + """, c AS (SELECT source, doc_id, w, count(*) AS n, min((p, s, i)) AS f FROM nm GROUP BY source, doc_id, w HAVING count(*) >= 3),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS ord FROM c)
+SELECT lower(w) AS alias, array_to_string(list_sort(list(DISTINCT source)), ',') AS owners FROM o WHERE ord <= 12 GROUP BY lower(w) HAVING count(DISTINCT source) > 1""")
 def duplicate_aliases(read, spark):
-    roster = entities.roster_table(spark, [{"canonical": "Ann", "aliases": ["Nan"]}, {"canonical": "Bob", "aliases": ["nan"]}, {"canonical": "Cy"}])
+    """Names in the rosters of documents of several sources."""
+    docs = read("documents")
+    roster = entities.heuristic_roster(docs).join(docs.select("doc_id", "source"), "doc_id").select(F.col("source").alias("canonical"), F.array("canonical").alias("names"))
     return entities.duplicate_aliases(roster).select("alias", F.array_join("owners", ",").alias("owners"))
 
 
@@ -406,12 +409,17 @@ def range_cover_anti(read, spark):
     return results.uncovered(c, ranges)
 
 
-@query("""WITH h(doc_id, version, roster, questions, text) AS (VALUES (1, '2', 'r', 'q', 'a'), (2, '1', 'r', 'q', 'x'), (3, '2', NULL, 'q', 'c')), e(doc_id, version, roster, questions, text) AS (VALUES (1, '2', 'r', 'q', 'a'), (2, '2', 'r', 'q', 'b'), (3, '2', 'r', 'q', 'c'))
-SELECT h.doc_id::BIGINT AS doc_id, concat_ws(',', CASE WHEN h.version IS DISTINCT FROM e.version THEN 'version' END, CASE WHEN h.roster IS DISTINCT FROM e.roster THEN 'roster' END, CASE WHEN h.questions IS DISTINCT FROM e.questions THEN 'questions' END, CASE WHEN h.text IS DISTINCT FROM e.text THEN 'text' END) AS problems FROM h JOIN e USING (doc_id)""")
+@query("""WITH e AS (SELECT doc_id, '2' AS version, source AS roster, lang AS questions, sha256(text) AS text FROM documents),
+h AS (SELECT doc_id, CASE WHEN n_chars < 500 THEN '1' ELSE '2' END AS version, nullif(source, 'src10') AS roster, CASE WHEN lang = 'de' THEN 'en' ELSE lang END AS questions, sha256(replace(text, chr(10), ' ')) AS text FROM documents)
+SELECT h.doc_id, concat_ws(',', CASE WHEN h.version IS DISTINCT FROM e.version THEN 'version' END, CASE WHEN h.roster IS DISTINCT FROM e.roster THEN 'roster' END, CASE WHEN h.questions IS DISTINCT FROM e.questions THEN 'questions' END, CASE WHEN h.text IS DISTINCT FROM e.text THEN 'text' END) AS problems FROM h JOIN e USING (doc_id)""")
 def compat_check(read, spark):
-    schema = "doc_id long, version string, roster string, questions string, text string"
-    have = spark.createDataFrame([(1, "2", "r", "q", "a"), (2, "1", "r", "q", "x"), (3, "2", None, "q", "c")], schema)
-    want = spark.createDataFrame([(1, "2", "r", "q", "a"), (2, "2", "r", "q", "b"), (3, "2", "r", "q", "c")], schema)
+    """Headers of all documents as stored by an older run (short texts under version 1, no roster for one source, lines joined) against today's."""
+    docs, c = read("documents"), F.col
+    want = docs.select("doc_id", F.lit("2").alias("version"), c("source").alias("roster"), c("lang").alias("questions"), F.sha2("text", 256).alias("text"))
+    have = docs.select(
+        "doc_id", F.when(c("n_chars") < 500, "1").otherwise("2").alias("version"), F.nullif("source", F.lit("src10")).alias("roster"),
+        F.when(c("lang") == "de", "en").otherwise(c("lang")).alias("questions"), F.sha2(F.translate("text", "\n", " "), 256).alias("text"),
+    )
     return results.compatibility(have, want, ["version", "roster", "questions", "text"]).select("doc_id", F.array_join("problems", ",").alias("problems"))
 
 

@@ -403,3 +403,16 @@ def test_curve_readings(spark):
 
 def test_highlight(spark):
     assert spark.range(1).select(analytics.highlight(F.lit("Anna Bell saw Anna, Annab"), ["Anna", "Anna Bell"])).first()[0] == "**Anna Bell** saw **Anna**, Annab"
+
+
+def test_duplicate_aliases_fold_case(spark):
+    roster = entities.roster_table(spark, [{"canonical": "Ann", "aliases": ["Nan"]}, {"canonical": "Bob", "aliases": ["nan"]}, {"canonical": "Cy"}])
+    assert [tuple(r) for r in entities.duplicate_aliases(roster).collect()] == [("nan", ["Ann", "Bob"])]
+
+
+def test_compatibility_names_each_field_that_differs(spark):
+    schema = "doc_id long, version string, roster string"
+    have = spark.createDataFrame([(1, "2", "r"), (2, "1", "r"), (3, "2", None), (4, None, None)], schema)
+    want = spark.createDataFrame([(1, "2", "r"), (2, "2", "r"), (3, "2", "r"), (4, None, "r")], schema)
+    found = results.compatibility(have, want, ["version", "roster"]).collect()
+    assert {r["doc_id"]: r["problems"] for r in found} == {1: [], 2: ["version"], 3: ["roster"], 4: ["roster"]}
