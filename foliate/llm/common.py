@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table of fixed-width columns (under 200 bytes a row) may be broadcast: 20 MB at most.
 BROADCAST_ROWS = 100_000
+#: A key with more than this share of all rows, and more rows than this, is joined by broadcast.
+HOT_SHARE, HOT_ROWS = 1 / 50_000, 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,22 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def join_totals(rows: DataFrame, totals: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """rows with the columns of totals, which has one row for each key of rows (nulls are a key) and, in n, how many rows of it
+    there are; n goes. Keys with more than HOT_SHARE of all rows, 1 / HOT_SHARE at most, are broadcast, so that no key's rows
+    meet in one task; the others are joined by shuffle."""
+    new = [c for c in totals.columns if c not in (*keys, n)]
+    facts = totals.agg(F.coalesce(F.sum(n), F.lit(0)).alias("all"), F.count(F.lit(1)).alias("keys")).first()
+    least = max(HOT_ROWS, int(facts["all"] * HOT_SHARE))
+    renamed = totals.select(*(F.col(k).alias(f"total_{k}") for k in keys), *new, n)
+    on = [F.col(k).eqNullSafe(F.col(f"total_{k}")) for k in keys]
+    out = [*(F.col(c) for c in rows.columns), *(F.col(c) for c in new)]
+    if facts["keys"] <= 1 / HOT_SHARE:
+        return rows.join(F.broadcast(renamed), on).select(*out)
+    hot = F.broadcast(renamed.where(F.col(n) > least))
+    return rows.join(hot, on).select(*out).union(rows.join(hot, on, "left_anti").join(renamed.where(F.col(n) <= least), on).select(*out))
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
