@@ -27,7 +27,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             s.add_argument("t", type=int)
     a = p.parse_args(args)
     spark = spark or SparkSession.builder.appName("foliate").getOrCreate()
-    read = lambda name: spark.read.parquet(f"{a.out}/{name}")
+    read = lambda name: book.latest(spark, a.out, name)
     if a.command == "run":
         tables = book.run_all(spark, a.path, a.out, book.Settings(target=a.target, window=a.window), limit=a.limit)
         tables["results"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("steps"), F.sum("input_tokens").alias("tokens")).show(truncate=False)

@@ -19,17 +19,18 @@ def _apart(df: DataFrame, *cols: str | Column) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*cols))))
 
 
-def entries(chunked: DataFrame, roster: list[dict]) -> DataFrame:
+def entries(chunked: DataFrame, roster: list[dict], keep: tuple[str, ...] = ()) -> DataFrame:
     """An entry a chunk, from that chunk alone: event, evidence, suspicion of each entity, key sentence. Rows are independent,
     so building a ledger is a parallel map; an anti-join with existing entries makes it resumable. chunked has sentences."""
     from .entities import names_pattern
 
     cast = [F.struct(F.lit(i).alias("ord"), F.lit(c["canonical"]).alias("canonical"), F.lit(names_pattern(c)).alias("pattern")) for i, c in enumerate(roster)]
-    return entries_by_cast(chunked.withColumn("cast", F.array(*cast)))
+    return entries_by_cast(chunked.withColumn("cast", F.array(*cast)), keep)
 
 
-def entries_by_cast(chunked: DataFrame) -> DataFrame:
-    """Entries with the entities of each book in column cast (ord, canonical, pattern ...) instead of one list for all."""
+def entries_by_cast(chunked: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Entries with the entities of each book in column cast (ord, canonical, pattern ...) instead of one list for all. keep: columns of
+    chunked that go along."""
     from ..plans.questions import COMPRESSION
 
     by = {q["id"]: q for q in COMPRESSION}
@@ -39,7 +40,7 @@ def entries_by_cast(chunked: DataFrame) -> DataFrame:
     best = lambda d: let(d, lambda x: F.struct(winner(x).alias("value"), F.array_max(F.transform(x, lambda y: y["p4"])).alias("p4")))
     level = lambda c: F.array_max(F.transform(mock_distribution(F.concat_ws("|", F.col("text"), c["canonical"]), "suspicion", by["suspicion"]["levels"]), lambda y, i: F.struct(y["p4"].alias("p4"), (-i).alias("i"))))
     out = _apart(chunked,
-        "doc_id", "t", "chapter", "sentences",
+        "doc_id", "t", *keep, "chapter", "sentences",
         best(ask("concerns", F.concat(names, more("concerns")))).alias("concerns"), best(ask("secondary", F.concat(names, more("secondary")))).alias("secondary"), best(ask("event_type", by["event_type"]["options"])).alias("event_type"),
         *[F.get(ask(q, ["yes", "no"]), 0)["p4"].alias(q) for q in ("new_evidence", "time_reference", "location_stated")],
         F.transform("cast", lambda c: F.struct(c["canonical"].alias("name"), c["ord"].alias("ord"), (1 - level(c)["i"]).alias("value"), F.rlike(F.col("text"), c["pattern"]).alias("mentioned"))).alias("suspicion"),
@@ -49,14 +50,15 @@ def entries_by_cast(chunked: DataFrame) -> DataFrame:
     return out.withColumn("key_sentence_idx", place).withColumn("key_quote", F.get("sentences", F.col("key_sentence_idx"))).drop("sentences", "key_label")
 
 
-def suspicion_line(suspicion: Column, suspects: list[str] | None = None) -> Column:
-    """Names at level 2 or more, highest first, then in roster order; null if none."""
-    seen = F.filter(suspicion, lambda s: (s["value"] >= 2) & (s["name"].isin(suspects) if suspects is not None else F.lit(True)))
+def suspicion_line(suspicion: Column, suspects: list[str] | Column | None = None) -> Column:
+    """Names at level 2 or more, highest first, then in roster order; null if none. suspects: the only names shown."""
+    shown = lambda s: F.lit(True) if suspects is None else F.array_contains(suspects, s["name"]) if isinstance(suspects, Column) else s["name"].isin(suspects)
+    seen = F.filter(suspicion, lambda s: (s["value"] >= 2) & shown(s))
     ordered = F.array_sort(F.transform(seen, lambda s: F.struct((-s["value"]).alias("v"), s["ord"].alias("o"), s["name"].alias("n"))))
     return F.when(F.size(seen) > 0, F.concat(F.lit("  suspicion: "), F.array_join(F.transform(ordered, lambda s: F.concat_ws(" ", s["n"], (-s["v"]).cast("string"))), ", ")))
 
 
-def render_entry(suspects: list[str] | None = None, posthoc: Column | None = None) -> Column:
+def render_entry(suspects: list[str] | Column | None = None, posthoc: Column | None = None) -> Column:
     """The lines of an entry. posthoc: the probability that it contradicts earlier notes, if known."""
     p = lambda c: show_probability(c / 10000.0)
     parts = [F.concat(F.lit(f"{q}="), F.col(f"{q}.value"), F.lit("("), p(F.col(f"{q}.p4")), F.lit(")")) for q in ("concerns", "secondary", "event_type")]
@@ -96,79 +98,14 @@ def compose_state(window: int = 3) -> Column:
     return F.concat_ws("\n\n", F.concat(head, F.lit(":\n"), notes), recent, F.concat(F.lit("CURRENT PASSAGE (#"), F.col("t").cast("string"), F.lit("):\n"), F.col("text")))
 
 
-def visible_posthoc(posthoc: DataFrame, t: Column, window: int) -> Column:
-    """A result stored for chunk f shows in notes from step f + window on."""
-    return t >= posthoc["t"] + window
-
-
-def rollup_rows(group: DataFrame) -> DataFrame:
-    """Rolled entries by run of one chapter: ranges, event counts (most first, then by name) and quotes of new evidence.
-
-    group: doc_id, rollup_id, t, chapter, event, evidence, quote.
-    """
-    w = Window.partitionBy("doc_id", "rollup_id").orderBy("t")
-    runs = group.withColumn("new", F.when((F.row_number().over(w) == 1) | ~F.col("chapter").eqNullSafe(F.lag("chapter").over(w)), 1).otherwise(0)).withColumn("run", F.sum("new").over(w))
-    counts = runs.where("event IS NOT NULL").groupBy("doc_id", "rollup_id", "run", "event").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.groupBy("doc_id", "rollup_id", "run").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "event"))), lambda x: F.struct(x["event"].alias("event"), (-x["m"]).alias("n"))).alias("event_counts"))
-    quotes = F.array_sort(F.collect_list(F.when(F.col("evidence") & (F.col("quote") != ""), F.struct("t", "quote"))))
-    spans = runs.groupBy("doc_id", "rollup_id", "run").agg(F.first("chapter", True).alias("chapter"), F.min("t").alias("from_t"), F.max("t").alias("to_t"), quotes.alias("quotes"))
-    return spans.join(counts, ["doc_id", "rollup_id", "run"], "left")
-
-
-ROLLUPS = "doc_id long, id int, from_t int, to_t int, triggered_at_t int"
-
-
-def plan_rollups(sizes: DataFrame, budget: int, window: int, header_tokens: int = 4, summary_tokens: int = 40) -> DataFrame:
-    """Rollups of each document: while the state at a step is over budget, the oldest un-rolled chapter (or, if that is all
-    there is, its older half, one entry at least) becomes one summary.
-
-    sizes: doc_id, t, chapter, entry_tokens, text_tokens. Token counts are additive, so a step is arithmetic on running
-    sums; the rule is sequential in a document and parallel across documents. A step that stays over budget with all
-    rolled up is reported by a rollup of id -1.
-    """
-
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        doc = pdf["doc_id"].iloc[0]
-        chapter, entry, text = pdf["chapter"].tolist(), pdf["entry_tokens"].tolist(), pdf["text_tokens"].tolist()
-        same = lambda a, b: (a is None or a != a) and (b is None or b != b) or a == b
-        out: list[tuple] = []
-        rolled = 0  # entries are rolled oldest first, so a count tells which
-        live, heads = 0, 0  # tokens of visible un-rolled entries; headers among them
-        seen = 0
-        for s in range(1, len(entry) + 1):
-            visible = max(0, s - window)
-            while seen < visible:
-                live += entry[seen]
-                heads += seen == rolled or not same(chapter[seen], chapter[seen - 1])
-                seen += 1
-            raw = sum(text[visible:s])
-            while live + heads * header_tokens + summary_tokens * sum(1 for x in out if x[1] > 0) + raw > budget:
-                if rolled >= visible:
-                    out.append((doc, -1, s, s, s))
-                    break
-                end = rolled + 1
-                while end < visible and same(chapter[end], chapter[rolled]):
-                    end += 1
-                if end == visible:
-                    end = rolled + max(1, (visible - rolled) // 2)
-                out.append((doc, sum(1 for x in out if x[1] > 0) + 1, rolled + 1, end, s))
-                rolled = end
-                live = sum(entry[rolled:visible])
-                heads = sum(i == rolled or not same(chapter[i], chapter[i - 1]) for i in range(rolled, visible))
-            if out and out[-1][1] < 0:
-                break
-        return pd.DataFrame(out, columns=["doc_id", "id", "from_t", "to_t", "triggered_at_t"])
-
-    return sizes.groupBy("doc_id").applyInPandas(plan, ROLLUPS)
-
-
 def step_rollups(steps: DataFrame, budget: int, window: int) -> DataFrame:
-    """The rollups of each document by the rule of plan_rollups, over the true length of every state, with their summaries.
+    """The rollups of each document, over the true length of every state, with their summaries: while the state at a step is over
+    budget, the oldest un-rolled chapter (or, if that is all there is, its older half, one entry at least) becomes one summary.
 
     steps: doc_id, t, chapter, note, text, event, evidence, quote. A rollup lies within one chapter. Rollups depend on
-    budget and window alone, not on where a run starts or ends. A step that stays over budget with all rolled up ends its
-    document's plan with a row of id -1 and no summary.
+    budget and window alone, not on where a run starts or ends, nor on what a run finds. The rule is sequential in a document and
+    parallel across documents; a task has lengths and quotes of its document, no texts. A step that stays over budget with all
+    rolled up ends its document's plan with a row of id -1 and no summary.
     """
 
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -217,27 +154,52 @@ def step_rollups(steps: DataFrame, budget: int, window: int) -> DataFrame:
     return sizes.groupBy("doc_id").applyInPandas(plan, f"doc_id {kind}, id int, from_t int, to_t int, triggered_at_t int, summary string")
 
 
-def rolled_states(steps: DataFrame, budget: int = 26_000, window: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+def rollups_by_document(plans: DataFrame) -> DataFrame:
+    """doc_id, rollups: what step_rollups found, in one row a document."""
+    return plans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("from_t", "to_t", "triggered_at_t", "id", "summary"))).alias("rollups"))
+
+
+def _epochs(rollups: Column) -> Column:
+    """Array of (covered, first, last): the steps over which the same notes are rolled up, and the last note that is."""
+    real = F.transform(F.filter(rollups, lambda r: r["id"] > 0), lambda r: F.struct(r["to_t"].alias("covered"), r["triggered_at_t"].alias("first")))
+    from_ = F.concat(F.array(F.struct(F.lit(0).alias("covered"), F.lit(1).alias("first"))), real)
+    last = lambda i: F.coalesce(F.get(from_, i + 1)["first"] - 1, F.lit(2**31 - 1))
+    return F.filter(F.transform(from_, lambda e, i: F.struct(e["covered"], e["first"], last(i).alias("last"))), lambda e: e["first"] <= e["last"])
+
+
+def rolled_states(steps: DataFrame, budget: int = 26_000, window: int = 3, keep: tuple[str, ...] = (), plans: DataFrame | None = None, between: tuple[int, int] | None = None) -> DataFrame:
     """doc_id, t, keep, state, over_budget. Rollups made up to a step stand for the notes they cover, other notes follow under
     a header where the chapter changes. over_budget: with all rolled up this step or an earlier one is still over budget,
-    so it can't be asked. steps as for step_rollups."""
-    row = F.array_sort(F.collect_list(F.struct("from_t", "to_t", "triggered_at_t", "id", "summary"))).alias("rollups")
-    plans = step_rollups(steps, budget, window).groupBy("doc_id").agg(row)
+    so it can't be asked. steps as for step_rollups.
+
+    Steps over which the same notes are rolled up are an epoch. Each note is dealt to the epochs in which it is live, and a step
+    gathers the notes of its epoch alone: what it gathers is bounded by the budget, not by the length of the document.
+    plans: rollups_by_document, where they are known. between: the only steps wanted; notes that none of them shows are left out.
+    """
+    if plans is None:
+        plans = rollups_by_document(step_rollups(steps, budget, window))
     title = F.concat(F.lit("== "), F.coalesce(F.when(F.col("chapter") != "", F.col("chapter")), F.lit("untitled")), F.lit(" =="))
     notes = chapter_headers(steps).select("doc_id", "t", *keep, "text", F.struct("t", title.alias("title"), F.col("header").isNotNull().alias("begins"), "note").alias("note"))
-    framed = frames(notes, window).join(plans, "doc_id", "left").withColumn("rollups", F.coalesce("rollups", F.array().cast(plans.schema["rollups"].dataType)))
+    joined = notes.join(plans, "doc_id", "left").withColumn("rollups", F.coalesce("rollups", F.array().cast(plans.schema["rollups"].dataType)))
+    lo, hi = between or (1, 2**31 - 1)
+    live = lambda e: (e["covered"] < F.col("t")) & (e["last"] >= F.col("t")) & (e["first"] <= hi) & (e["last"] >= lo)
+    dealt = _apart(joined.where(F.col("t") <= hi), "doc_id", "t", *keep, "text", "note", "rollups", F.filter(_epochs(F.col("rollups")), live).alias("epochs"))
+    dealt = dealt.select("doc_id", "t", *keep, "text", "note", "rollups", F.inline("epochs"))
+    w = Window.partitionBy("doc_id", "covered").orderBy("t")
+    recent = F.collect_list(F.struct(F.col("t").alias("k"), F.col("text").alias("x"))).over(w.rowsBetween(-(window - 1), -1)) if window > 1 else F.array().cast("array<struct<k:int,x:string>>")
+    framed = dealt.withColumns({"notes": F.collect_list("note").over(w.rowsBetween(Window.unboundedPreceding, -window)), "recent": recent})
+    framed = framed.where((F.col("t") >= F.greatest("first", F.lit(lo))) & (F.col("t") <= F.col("last")))
     active = F.filter("rollups", lambda r: (r["id"] > 0) & (r["triggered_at_t"] <= F.col("t")))
-    framed = _apart(framed, "doc_id", "t", *keep, "text", "recent", "notes", active.alias("active"), F.exists("rollups", lambda r: (r["id"] < 0) & (r["triggered_at_t"] <= F.col("t"))).alias("over_budget"))
-    covered = F.coalesce(F.array_max(F.transform("active", lambda r: r["to_t"])), F.lit(0))
-    live = let(covered, lambda c: F.filter("notes", lambda n: n["t"] > c))
-    lines = F.transform(live, lambda n, i: F.concat_ws("\n", F.when((i == 0) | n["begins"], n["title"]), n["note"]))
-    shown = _apart(framed, "doc_id", "t", *keep, "text", "recent", "over_budget", F.concat(F.transform("active", lambda r: r["summary"]), lines).alias("notes"))
+    lines = F.transform("notes", lambda n, i: F.concat_ws("\n", F.when((i == 0) | n["begins"], n["title"]), n["note"]))
+    over = F.exists("rollups", lambda r: (r["id"] < 0) & (r["triggered_at_t"] <= F.col("t")))
+    shown = _apart(framed, "doc_id", "t", *keep, "text", "recent", over.alias("over_budget"), F.concat(F.transform(active, lambda r: r["summary"]), lines).alias("notes"))
     return shown.select("doc_id", "t", *keep, compose_state(window).alias("state"), "over_budget")
 
 
-def noted(entries: DataFrame) -> DataFrame:
-    """What rolled_states needs of entries, besides texts."""
-    return entries.select("doc_id", "t", "chapter", render_entry().alias("note"), F.col("event_type.value").alias("event"), noul_value(F.col("new_evidence")).alias("evidence"), F.col("key_quote").alias("quote"))
+def noted(entries: DataFrame, keep: tuple[str, ...] = (), suspects: Column | None = None, posthoc: Column | None = None) -> DataFrame:
+    """What rolled_states needs of entries, besides texts. With suspects or posthoc (see render_entry) the notes are those of a
+    run; rollups are planned without."""
+    return entries.select("doc_id", "t", *keep, "chapter", render_entry(suspects, posthoc).alias("note"), F.col("event_type.value").alias("event"), noul_value(F.col("new_evidence")).alias("evidence"), F.col("key_quote").alias("quote"))
 
 
 def run_estimate(chunked: DataFrame, window: int = 3, characters: int = 25, budget: int = 26_000, price_per_m: float = 0.042) -> DataFrame:

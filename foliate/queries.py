@@ -234,7 +234,7 @@ def detect_kind(read, spark):
 @query()
 def html_paragraphs(read, spark):
     """Paragraphs of every page with the chapter (heading) they are under."""
-    parsed = readers.parse(read("pages").select("page_id", F.encode("html", "UTF-8").alias("content"), F.lit("html").alias("kind")), ["page_id"])
+    parsed = readers.parse(read("pages").select("page_id", F.encode("html", "UTF-8").alias("content"), F.lit("html").alias("kind")), ["page_id"], ["html"])
     title = F.element_at(F.filter("chapters", lambda c: c["paragraph_offset"] <= F.col("pos")), -1)["title"]
     rows = parsed.where(F.size("paragraphs") > 0).select("page_id", "title", "chapters", F.posexplode("paragraphs").alias("pos", "paragraph"))
     return rows.select("page_id", "title", "pos", "paragraph", F.when(F.exists("chapters", lambda c: c["paragraph_offset"] <= F.col("pos")), title).alias("chapter"))
@@ -468,9 +468,16 @@ def event_counts_by_island(read, spark):
     return analytics.islands(rows, "conv_id", "turn", "chapter").groupBy("conv_id", "island", "chapter", "role").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _entries(read) -> DataFrame:
+BUDGET = 900
+
+
+def _entries(read, keep: tuple[str, ...] = ()) -> DataFrame:
     c = chunking.with_sentences(chunked(read)).withColumn("chapter", F.concat(F.lit("part "), F.call_function("div", F.col("t") - 1, F.lit(4)).cast("string")))
-    return ledger.entries(c, ROSTER)
+    return ledger.entries(c, ROSTER, keep)
+
+
+def _noted(read) -> DataFrame:
+    return ledger.noted(_entries(read, ("text",)), ("text",))
 
 
 @query()
@@ -481,15 +488,14 @@ def entry_render(read, spark):
 
 @query()
 def rollup_plan(read, spark):
-    notes = _entries(read).select("doc_id", "t", "chapter", T.token_count(ledger.render_entry()).alias("entry_tokens"))
-    sizes = notes.join(chunked(read).select("doc_id", "t", T.token_count(F.col("text")).alias("text_tokens")), ["doc_id", "t"])
-    return ledger.plan_rollups(sizes, 1200, 3)
+    """The rollups of documents whose states go over a small budget, by the true lengths of notes and texts."""
+    return ledger.step_rollups(_noted(read), BUDGET, 3)
 
 
 @query()
 def state_at_step(read, spark):
     """The state of every step: notes before a window of three, rolled up where over budget, then full texts."""
-    return ledger.rolled_states(ledger.noted(_entries(read)).join(chunked(read).select("doc_id", "t", "text"), ["doc_id", "t"]))
+    return ledger.rolled_states(_noted(read), BUDGET, 3)
 
 
 # ---- usage and prices ----

@@ -22,22 +22,32 @@ def scratch_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _places(spark: SparkSession, path: str):
+    """The folder's path, its backup's, and their file system."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    here, backup = fs_path(path.rstrip("/")), fs_path(f"{path.rstrip('/')}.bak")
+    return here, backup, here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The Parquet table at path, or an empty one of that schema where there is none."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    """The Parquet table at path; where an upsert broke off, the version before; where there is none, an empty one of that schema."""
+    here, backup, fs = _places(spark, path)
+    for place in (here, backup):
+        if fs.exists(place):
+            return spark.read.schema(schema).parquet(place.toString())
+    return spark.createDataFrame([], schema)
 
 
 def upsert_table(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], schema: str) -> None:
-    """Replaces rows of the same keys. The new version is written beside the old and moved over it."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    beside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    upsert(read_or_empty(spark, path, schema), rows, keys).write.parquet(beside)
-    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(fs_path(path), True)
-    fs.rename(fs_path(beside), fs_path(path))
+    """Replaces rows of the same keys. The new version is written whole beside the old, which then becomes path.bak; tables that must
+    never be without a current version, or change with others, belong into a sources.store.Store."""
+    here, backup, fs = _places(spark, path)
+    beside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{uuid.uuid4().hex}")
+    upsert(read_or_empty(spark, path, schema), rows, keys).write.parquet(beside.toString())
+    if fs.exists(here):
+        fs.delete(backup, True)
+        fs.rename(here, backup)
+    fs.rename(beside, here)
 
 
 def append_cache(spark: SparkSession, path: str, rows: DataFrame) -> None:

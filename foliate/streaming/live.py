@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators.scoring import mock_distribution, winner
+from ..sources.store import Store
 
 PRICE_PER_M = 0.042
 RUNNING = "user_id long, event_id long, ts timestamp, tokens long, running_tokens long, running_cost double, warned boolean"
@@ -46,10 +51,79 @@ def windowed_cost(events: DataFrame, window: str = "1 hour", late: str = "2 hour
     return agg.select(F.col("window.start").alias("start"), "event_type", "calls", "tokens", F.round(F.col("tokens") * price / 1e6, 6).alias("cost"))
 
 
-def solve(passages: DataFrame, candidates: list[str], limit: int) -> DataFrame:
-    """Scores each arriving passage (doc_id, t, text): leader, distribution, and a warning where the text is over the limit."""
-    from ..functions.text import token_count
-    from ..operators.scoring import mock_distribution, winner
+SEEN = "text string, steps int, ended boolean"
+SOLVED = "doc_id {kind}, step int, id bigint, kind string, tokens bigint, state string"
+
+
+class Solver(StatefulProcessor):
+    """One document of a live solve: the text so far, until it is too long to ask about.
+
+    State is the text so far, which the limit bounds, and a flag that stays when the text goes: a document that has ended takes
+    nothing more, after a restart either. Of a batch only as many passages are held, in order, as the limit has room for.
+    """
+
+    def __init__(self, limit: int, overhead: int, idle_ms: int | None):
+        self.limit, self.overhead, self.idle_ms = limit, overhead, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", SEEN)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        text, steps, ended = self.seen.get() if self.seen.exists() else ("", 0, False)
+        if ended:
+            return
+        # A passage adds two characters or more, so no more than this many come to the limit.
+        last = None
+        room = max(0, 2 * self.limit - len(text) // 2) + 2
+        for r in heapq.nsmallest(room, rows, key=lambda r: (r["ms"], r["id"])):
+            steps, last = steps + 1, r["ms"]
+            longer = f"{text}\n\n{r['text'] or ''}" if steps > 1 else r["text"] or ""
+            tokens = -(-len(longer) // 4) + self.overhead
+            ended = tokens > self.limit
+            yield Row(doc_id=key[0], step=steps, id=r["id"], kind="warn" if ended else "step", tokens=tokens, state=None if ended else longer)
+            if ended:
+                break
+            text = longer
+        self.seen.update(("" if ended else text, steps, ended))
+        if self.idle_ms is not None and last is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            if not ended:
+                self.handle.registerTimer(last + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        text, steps, ended = self.seen.get()
+        if not ended:
+            self.seen.update(("", steps, True))
+            yield Row(doc_id=key[0], step=steps, id=None, kind="done", tokens=-(-len(text) // 4) + self.overhead, state=text)
+
+    def close(self) -> None:
+        pass
+
+
+def solve(passages: DataFrame, candidates: list[str], limit: int, overhead: int = 0, idle_ms: int | None = None) -> DataFrame:
+    """Live solving of a stream of passages (doc_id, at, id, text): after each, who did it by all read so far.
+
+    kind is step (leader and p4, its share), warn (the text so far, with overhead, has more tokens than limit: it isn't asked, and the
+    document has ended), or, with idle_ms, done (nothing came for so long in event time, for which passages need a watermark: the
+    answer stands). Passages of a micro-batch are taken in order of (at, id). A null text is an empty passage.
+    """
+    kind = passages.schema["doc_id"].dataType.simpleString()
+    rows = passages.select("doc_id", "at", F.unix_millis("at").alias("ms"), F.col("id").cast("long").alias("id"), "text")
+    out = rows.groupBy("doc_id").transformWithState(Solver(limit, overhead, idle_ms), SOLVED.format(kind=kind), "Append", "None" if idle_ms is None else "EventTime")
+    d = out.withColumn("d", F.when(F.col("state").isNotNull(), mock_distribution(F.col("state"), "culprit", candidates)))
+    return d.select("doc_id", "step", "id", "kind", "tokens", F.when(F.col("d").isNotNull(), winner(F.col("d"))).alias("leader"), F.array_max(F.transform("d", lambda x: x["p4"])).alias("p4"))
+
+
+def once(store: Store, name: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink in which a row of the same keys arrives once: a batch that is repeated after a failure adds nothing.
+    Each batch is one version of the store."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        there = store.read(name, batch.schema).select(*keys)
+        with store.transaction():
+            store.stage(name, batch.dropDuplicates(keys).join(there, keys, "left_anti").select(*batch.columns))
+        store.compact(name)
 
-    d = passages.withColumn("distribution", mock_distribution(F.col("text"), "culprit", candidates)).withColumn("tokens", token_count(F.col("text")))
-    return d.select("doc_id", "t", winner(F.col("distribution")).alias("leader"), "distribution", "tokens", (F.col("tokens") > limit).alias("warned"))
+    return write

@@ -55,8 +55,6 @@ def test_budget_of_a_run(spark, shelf, tmp_path):
     out = book.run_all(spark, str(shelf), str(tmp_path / "out"), book.Settings(target=40, window=1, budget=60))
     no = out["refused"].collect()
     assert no and {r.verdict for r in no} == {"budget"} and out["results"].count() == full.count() - len(no)
-    with pytest.raises(NotImplementedError):
-        book.run_all(spark, str(shelf), str(tmp_path / "out"), book.Settings(posthoc=True))
 
 
 def test_documented_commands_exist(spark, capsys):
