@@ -78,9 +78,9 @@ def is_chapter_start(text: Column) -> Column:
     return F.rlike(text, F.lit(HEADING)) | F.rlike(text, F.lit(ROMAN))
 
 
-def sentences(text: Column) -> Column:
-    """Array of (text, start, end) over the cleaned text: a terminator ends a sentence if what follows doesn't begin in lower
-    case and the terminator isn't a lone dot after an abbreviation or an initial."""
+def sentence_texts(text: Column) -> Column:
+    """The sentences of a text, cleaned: a terminator ends one if what follows doesn't begin in lower case and the terminator isn't a lone
+    dot after an abbreviation or an initial."""
 
     def split(ws: Column) -> Column:
         n = F.size(ws)
@@ -88,14 +88,18 @@ def sentences(text: Column) -> Column:
             F.sequence(F.lit(0), n - 1),
             lambda i: (i == n - 1) | (F.rlike(F.get(ws, i), F.lit(SENTENCE_END)) & ~F.rlike(F.get(ws, i + 1), F.lit(r"^\p{Ll}")) & ~F.rlike(F.get(ws, i), F.lit(ABBREVIATED))),
         )
-        return let(ends, lambda es: F.transform(es, lambda e, j: piece(ws, F.when(j == 0, 0).otherwise(F.get(es, j - 1) + 1), e)))
+        first = lambda es, j: F.when(j == 0, 0).otherwise(F.get(es, j - 1) + 1)
+        return let(ends, lambda es: F.transform(es, lambda e, j: F.array_join(F.slice(ws, first(es, j) + 1, e - first(es, j) + 1), " ")))
+
+    return let(tokens(text), lambda ws: F.when(F.size(ws) > 0, split(ws)).otherwise(F.array().cast("array<string>")))
 
-    def piece(ws: Column, first: Column, last: Column) -> Column:
-        own = F.array_join(F.slice(ws, first + 1, last - first + 1), " ")
-        start = F.when(first == 0, 0).otherwise(F.length(F.array_join(F.slice(ws, 1, F.greatest(first, F.lit(1))), " ")) + 1)
-        return F.struct(own.alias("text"), start.alias("start"), (start + F.length(own)).alias("end"))
 
-    return let(tokens(text), lambda ws: F.when(F.size(ws) > 0, split(ws)).otherwise(F.array().cast("array<struct<text:string,start:int,end:int>>")))
+def sentences(text: Column) -> Column:
+    """Array of (text, start, end) over the cleaned text: sentence_texts, with offsets by running length in one pass."""
+    kind = "array<struct<text:string,start:int,end:int>>"
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    add = lambda a, x: F.struct((a["at"] + F.length(x) + 1).alias("at"), F.array_append(a["out"], F.struct(x.alias("text"), a["at"].alias("start"), (a["at"] + F.length(x)).alias("end"))).alias("out"))
+    return F.aggregate(sentence_texts(text), begin, add, lambda a: a["out"])
 
 
 def name_words(sentence: Column) -> Column:

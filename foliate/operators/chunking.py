@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, sentences, token_count, word_count
+from ..functions.text import let, sentence_texts, token_count, word_count
 
 RANGE = "struct<t:int,para_from:int,para_to:int,word_count:int,word_to:bigint>"
 
@@ -49,7 +49,7 @@ def chunks(docs: DataFrame, target: int = 500, separator: str = "\n\\s*\n", join
 
 def with_sentences(chunked: DataFrame, separator: str = "\n") -> DataFrame:
     """Adds sentences and sentence_count: those of each paragraph in order."""
-    own = F.flatten(F.transform(F.split("text", separator), lambda p: F.transform(sentences(p), lambda s: s["text"])))
+    own = F.flatten(F.transform(F.split("text", separator), sentence_texts))
     return chunked.withColumn("sentences", own).withColumn("sentence_count", F.size("sentences"))
 
 
@@ -77,3 +77,35 @@ def prefix_overflow(docs: DataFrame, limit: int, overhead: int = 0, separator: s
         return F.struct(total.alias("sum"), (s["i"] + 1).alias("i"), F.coalesce(s["first"], F.when(total + overhead > limit, s["i"] + 1)).alias("first"))
 
     return docs.select("doc_id", F.aggregate(sizes, start, step).alias("r")).select("doc_id", F.col("r.sum").alias("total_tokens"), F.col("r.first").alias("first_overflow"))
+
+
+def prefix_estimate(docs: DataFrame, limit: int, overhead: int = 0, price_per_m: float = 0.042, separator: str = "\n") -> DataFrame:
+    """Per document, what asking after every paragraph about all text so far takes: paragraphs, average_tokens, input_tokens (a
+    paragraph at place i is sent n - i times: a sum, not a self-join), quadratic_tokens (the rule of thumb, average * n * (n + 1) / 2),
+    longest (the last prefix, with overhead), first_overflow (the first step over limit, null if none), cost. Refuse before any work
+    where first_overflow isn't null."""
+    own = F.transform(F.split(F.coalesce("text", F.lit("")), separator), token_count)
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("sum"), zero.alias("sent"), F.lit(0).alias("i"), F.lit(None).cast("int").alias("first"))
+
+    def step(s: Column, n: Column) -> Column:
+        total = s["sum"] + n
+        return F.struct(total.alias("sum"), (s["sent"] + total + overhead).alias("sent"), (s["i"] + 1).alias("i"), F.coalesce(s["first"], F.when(total + overhead > limit, s["i"] + 1)).alias("first"))
+
+    n, total = F.col("r.i"), F.col("r.sum")
+    quadratic = F.floor(total / n * n * (n + 1) / 2 + overhead * n).cast("long")
+    return docs.select("doc_id", F.aggregate(own, start, step).alias("r")).select(
+        "doc_id", n.alias("paragraphs"), F.round(total / n, 1).alias("average_tokens"), F.col("r.sent").alias("input_tokens"), quadratic.alias("quadratic_tokens"),
+        (total + overhead).alias("longest"), F.col("r.first").alias("first_overflow"), F.round(F.col("r.sent") * price_per_m / 1e6, 6).alias("cost"),
+    )
+
+
+class PrefixOverflow(ValueError):
+    """A text whose prefixes don't fit; raised before anything is asked."""
+
+
+def refuse_overflow(estimates: DataFrame) -> None:
+    """Raises PrefixOverflow that names the first step over the limit of some documents that have one."""
+    over = estimates.where("first_overflow IS NOT NULL").select("doc_id", "first_overflow", "longest").limit(5).collect()
+    if over:
+        raise PrefixOverflow("; ".join(f"{r.doc_id}: too long from step {r.first_overflow} on (the longest prefix has {r.longest} tokens)" for r in over))

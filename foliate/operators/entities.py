@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NOT_NAMES, alias_pattern, name_words, sentences
+from ..functions.text import NOT_NAMES, alias_pattern, name_words, sentence_texts
 
 
 def roster_table(spark: SparkSession, roster: list[dict]) -> DataFrame:
@@ -48,7 +48,7 @@ def candidates(roster: list[dict], which: str) -> list[str]:
 
 def name_counts(docs: DataFrame, key: str, separator: str = "\n") -> DataFrame:
     """key, word, n, first: capitalised words that begin no sentence and aren't in the list of common ones."""
-    found = F.flatten(F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), separator), lambda p: F.transform(sentences(p), lambda s: name_words(s["text"])))))
+    found = F.flatten(F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), separator), lambda p: F.transform(sentence_texts(p), name_words))))
     words = docs.select(key, F.col("doc_id").alias("_d"), F.posexplode(found).alias("at", "word")).where(~F.col("word").isin(NOT_NAMES))
     return words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_d", "at")).alias("first"))
 
@@ -77,17 +77,17 @@ def duplicate_aliases(roster: DataFrame) -> DataFrame:
 
 def over_merges(docs: DataFrame, roster: list[dict], separator: str = "\n") -> DataFrame:
     """Per document and entity with several names: sentences that use two of them, and the first such sentence."""
-    each = docs.select("doc_id", F.posexplode(F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), separator), sentences))).alias("at", "s"))
+    each = docs.select("doc_id", F.posexplode(F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), separator), sentence_texts))).alias("at", "s"))
     parts = []
     for c in roster:
         names = list(dict.fromkeys([c["canonical"], *c.get("aliases", [])]))
         if len(names) > 1:
             # Matches are cut out longest first, so a name inside a longer one doesn't count.
-            left, used = F.concat(F.lit(" "), F.col("s.text"), F.lit(" ")), F.lit(0)
+            left, used = F.concat(F.lit(" "), F.col("s"), F.lit(" ")), F.lit(0)
             for n in sorted(names, key=len, reverse=True):
                 pattern = alias_pattern([n])
                 used = used + F.rlike(left, F.lit(pattern)).cast("int")
                 left = F.regexp_replace(F.regexp_replace(left, pattern, " # "), pattern, " # ")
             parts.append(F.struct(F.lit(c["canonical"]).alias("canonical"), used.alias("used")))
-    hits = each.select("doc_id", "at", F.col("s.text").alias("sentence"), F.inline(F.array(*parts))).where("used >= 2")
+    hits = each.select("doc_id", "at", F.col("s").alias("sentence"), F.inline(F.array(*parts))).where("used >= 2")
     return hits.groupBy("doc_id", "canonical").agg(F.count(F.lit(1)).alias("n_sentences"), F.min_by("sentence", "at").alias("sample"))

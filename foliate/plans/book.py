@@ -16,7 +16,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import alias_pattern, sentences, token_count, word_count
+from ..functions.text import alias_pattern, sentence_texts, token_count, word_count
 from ..operators import chunking, curves, entities, ledger, results, scoring
 from ..operators.scoring import CallCeiling, MissingAnswer, MockScorer, Scorer, budget_guard, question_tokens
 from ..sources import readers
@@ -84,7 +84,7 @@ def chunk_books(books: DataFrame, target: int) -> DataFrame:
     own = F.slice("paras", F.col("para_from") + 1, F.col("para_to") - F.col("para_from"))
     before = F.filter("chapters", lambda x: x["paragraph_offset"] <= F.col("para_from"))
     chapter = F.when(F.size(before) > 0, F.element_at(before, -1)["title"])
-    found = F.flatten(F.transform(own, lambda x: F.transform(sentences(x), lambda s: s["text"])))
+    found = F.flatten(F.transform(own, sentence_texts))
     return c.select("doc_id", "t", "para_from", "para_to", "word_count", (F.col("word_to") - F.col("word_count")).alias("word_from"), "word_to", F.array_join(own, "\n\n").alias("text"), found.alias("sentences"), chapter.alias("chapter"))
 
 

@@ -53,6 +53,36 @@ class Spec:
     character: str | None = None
 
 
+def check(q: dict, scope: str) -> None:
+    """Raises on the first fault of one question."""
+
+    def need(ok: bool, what: str) -> None:
+        if not ok:
+            raise QuestionError(f"{q.get('id')!r}: {what}")
+
+    need(isinstance(q.get("id"), str) and bool(re.fullmatch(r"[a-z0-9]+(?:_[a-z0-9]+)*", q["id"])), "an id of small letters, digits and single _ between them is needed")
+    need(q.get("scope") == scope, f"its scope isn't {scope}")
+    need(q.get("type") in TYPES, f"its type must be one of {TYPES}")
+    need(isinstance(q.get("text"), str) and bool(q["text"].strip()), "a text is needed")
+    per = bool(q.get("per_character"))
+    need(not per or "{name}" in q["text"], "a question per character must name it as {name}")
+    need(not per or q["type"] != "choice", "a choice can't be per character")
+    if q["type"] == "score":
+        levels = q.get("levels")
+        need(isinstance(levels, list) and 2 <= len(levels) <= MAX_LEVELS and all(isinstance(x, str) for x in levels), f"2 to {MAX_LEVELS} levels are needed")
+    else:
+        need("levels" not in q, "only scores have levels")
+    if q["type"] == "choice":
+        options = q.get("options")
+        named = {"roster", "candidates", "sentences"}
+        need(options in named if isinstance(options, str) else isinstance(options, list) and bool(options), "options must be a list or roster, candidates or sentences")
+        need(scope == "history_aware" or options != "candidates", "candidates need history")
+        need(scope == "chunk_local" or options != "sentences", "sentences belong to a chunk")
+        need(not isinstance(options, list) or len(set(options)) == len(options), "an option is given twice")
+    else:
+        need("options" not in q and "extra_options" not in q, "only choices have options")
+
+
 def validate(questions: list[dict], scope: str) -> list[dict]:
     """Raises on the first fault; gives the questions back."""
     if scope not in SCOPES:
@@ -61,33 +91,10 @@ def validate(questions: list[dict], scope: str) -> list[dict]:
         raise QuestionError("a list of questions is needed")
     seen: set[str] = set()
     for q in questions:
-        def need(ok: bool, what: str, q=q) -> None:
-            if not ok:
-                raise QuestionError(f"{q.get('id')!r}: {what}")
-
-        need(isinstance(q.get("id"), str) and bool(re.fullmatch(r"[A-Za-z0-9_]+", q["id"])), "an id of letters, digits and _ is needed")
-        need(q["id"] not in seen, "the id is used twice")
+        check(q, scope)
+        if q["id"] in seen:
+            raise QuestionError(f"{q['id']!r}: the id is used twice")
         seen.add(q["id"])
-        need(q.get("scope") == scope, f"its scope isn't {scope}")
-        need(q.get("type") in TYPES, f"its type must be one of {TYPES}")
-        need(isinstance(q.get("text"), str) and bool(q["text"].strip()), "a text is needed")
-        per = bool(q.get("per_character"))
-        need(not per or "{name}" in q["text"], "a question per character must name it as {name}")
-        need(not per or q["type"] != "choice", "a choice can't be per character")
-        if q["type"] == "score":
-            levels = q.get("levels")
-            need(isinstance(levels, list) and 2 <= len(levels) <= MAX_LEVELS and all(isinstance(x, str) for x in levels), f"2 to {MAX_LEVELS} levels are needed")
-        else:
-            need("levels" not in q, "only scores have levels")
-        if q["type"] == "choice":
-            options = q.get("options")
-            named = {"roster", "candidates", "sentences"}
-            need(options in named if isinstance(options, str) else isinstance(options, list) and bool(options), "options must be a list or roster, candidates or sentences")
-            need(scope == "history_aware" or options != "candidates", "candidates need history")
-            need(scope == "chunk_local" or options != "sentences", "sentences belong to a chunk")
-            need(not isinstance(options, list) or len(set(options)) == len(options), "an option is given twice")
-        else:
-            need("options" not in q and "extra_options" not in q, "only choices have options")
     if scope == "history_aware" and not any(q["id"] == "culprit" and q["type"] == "choice" for q in questions):
         raise QuestionError("the choice 'culprit' is needed")
     return questions

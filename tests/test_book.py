@@ -42,6 +42,10 @@ def test_run_and_rerun(spark, shelf, tmp_path):
     assert third["results"].count() == n
     for command in (["list", out], ["ledger", out], ["roster", out], ["curve", out], ["inspect", out, first["books"].first().book_id, "1"]):
         assert cli.main(command, spark) == 0
+    assert cli.main(["export", out, str(tmp_path / "long")], spark) == 0
+    long = spark.read.parquet(str(tmp_path / "long"))
+    assert long.count() == third["results"].agg(F.sum(F.size("distribution"))).first()[0] and [c for c in long.columns if c.startswith("q_")][0] == "q_alibi_effect_value"
+    assert cli.main(["vacuum", out], spark) == 0 and book.latest(spark, out, "results").count() == n
 
 
 def test_budget_of_a_run(spark, shelf, tmp_path):
