@@ -18,6 +18,7 @@ from .plans.questions import COMPRESSION, INFERENCE, Spec
 from .scoring.answers import with_culprit
 from .sources import readers
 from .sources.sinks import scratch_dir
+from .sources.store import Store
 from .streaming import live
 
 TARGET = 120
@@ -655,14 +656,40 @@ def windowed_cost(read, spark):
     return live.windowed_cost(read("events"))
 
 
-@query()
-def stream_running_cost(read, spark):
-    """Running cost over a stream of the events table, read as files once and drained."""
+def _stream(read, spark) -> tuple[DataFrame, str]:
+    """The events table as a stream of its files, and a folder for what comes of it."""
     events = read("events")
     files = events.inputFiles()
     folder, name = files[0].rsplit("/", 1)
-    root = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", name if len(files) == 1 else "*.parquet").parquet(folder)
+    return stream, f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
+SUSPECTS = ["signup", "purchase", "click", "none_of_these"]
+
+
+@query(f"""WITH p AS (SELECT user_id AS doc_id, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step, event_type || ' ' || coalesce(props, '') AS text FROM events),
+s AS (SELECT *, string_agg(text, chr(10) || chr(10)) OVER (PARTITION BY doc_id ORDER BY step) AS state FROM p), k AS (SELECT *, (length(state) + 3) // 4 + 5 AS tokens FROM s),
+f AS (SELECT *, min(step) FILTER (tokens > 60) OVER (PARTITION BY doc_id) AS ends FROM k), g AS (SELECT doc_id, id, step, tokens, state FROM f WHERE tokens <= 60 AND (ends IS NULL OR step < ends)),
+{mock("g", "doc_id, step", "state", "culprit", SUSPECTS)}
+SELECT doc_id, step, id, 'step' AS kind, tokens, arg_min(option, (-p4, pos)) AS leader, max(p4) AS p4 FROM m GROUP BY doc_id, step, id, tokens
+UNION ALL SELECT doc_id, step, id, 'warn', tokens, NULL, NULL FROM f WHERE step = ends""")
+def live_solve(read, spark):
+    """Live solving of each user's events until their text is too long to ask about; the SQL is its batch twin."""
+    stream, root = _stream(read, spark)
+    text = F.concat_ws(" ", "event_type", F.coalesce("props", F.lit("")))
+    passages = stream.select(F.col("user_id").alias("doc_id"), F.col("ts").alias("at"), F.col("event_id").alias("id"), text.alias("text"))
+    store, solved = Store(spark, f"{root}/out"), live.solve(passages, SUSPECTS, 60, 5)
+    with live.keyed_state(spark):
+        sink = solved.writeStream.foreachBatch(live.once(store, "steps", ["doc_id", "step"]))
+        sink.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return store.read("steps", solved.schema)
+
+
+@query("SELECT user_id, event_id, ts, (length(coalesce(props, '')) + 3) // 4 AS tokens, (sum((length(coalesce(props, '')) + 3) // 4) OVER w)::BIGINT AS running_tokens, round((sum((length(coalesce(props, '')) + 3) // 4) OVER w) * 0.042 / 1e6, 6) AS running_cost, (sum((length(coalesce(props, '')) + 3) // 4) OVER w) > 60 AS warned FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def stream_running_cost(read, spark):
+    """Running cost over a stream of the events table, read as files once and drained."""
+    stream, root = _stream(read, spark)
     q = live.running_cost(stream, 60).writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(live.RUNNING).parquet(f"{root}/out")

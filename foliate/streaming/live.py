@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -76,8 +77,8 @@ class Solver(StatefulProcessor):
         # A passage adds two characters or more, so no more than this many come to the limit.
         last = None
         room = max(0, 2 * self.limit - len(text) // 2) + 2
-        for r in heapq.nsmallest(room, rows, key=lambda r: (r["ms"], r["id"])):
-            steps, last = steps + 1, r["ms"]
+        for r in heapq.nsmallest(room, rows, key=lambda r: (r["us"], r["id"])):
+            steps, last = steps + 1, r["us"] // 1000
             longer = f"{text}\n\n{r['text'] or ''}" if steps > 1 else r["text"] or ""
             tokens = -(-len(longer) // 4) + self.overhead
             ended = tokens > self.limit
@@ -110,12 +111,24 @@ def solve(passages: DataFrame, candidates: list[str], limit: int, overhead: int
     answer stands). Passages of a micro-batch are taken in order of (at, id). A null text is an empty passage.
     """
     kind = passages.schema["doc_id"].dataType.simpleString()
-    rows = passages.select("doc_id", "at", F.unix_millis("at").alias("ms"), F.col("id").cast("long").alias("id"), "text")
+    rows = passages.select("doc_id", "at", F.unix_micros(F.col("at").cast("timestamp")).alias("us"), F.col("id").cast("long").alias("id"), "text")
     out = rows.groupBy("doc_id").transformWithState(Solver(limit, overhead, idle_ms), SOLVED.format(kind=kind), "Append", "None" if idle_ms is None else "EventTime")
     d = out.withColumn("d", F.when(F.col("state").isNotNull(), mock_distribution(F.col("state"), "culprit", candidates)))
     return d.select("doc_id", "step", "id", "kind", "tokens", F.when(F.col("d").isNotNull(), winner(F.col("d"))).alias("leader"), F.array_max(F.transform("d", lambda x: x["p4"])).alias("p4"))
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in the store that timers and several kinds of state need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def once(store: Store, name: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink in which a row of the same keys arrives once: a batch that is repeated after a failure adds nothing.
     Each batch is one version of the store."""

@@ -52,20 +52,14 @@ class Stream:
             if stop_after_sink:
                 raise RuntimeError("lost after the rows were written")
 
-        q = solved.writeStream.foreachBatch(write).option("checkpointLocation", str(self.root / "state")).trigger(availableNow=True).start()
-        q.awaitTermination()
+        with live.keyed_state(self.spark):
+            q = solved.writeStream.foreachBatch(write).option("checkpointLocation", str(self.root / "state")).trigger(availableNow=True).start()
+            q.awaitTermination()
 
     def rows(self):
         return {(r.doc_id, r.step): (r.id, r.kind, r.tokens) for r in self.store.read("steps").where("kind <> 'done'").collect()}
 
 
-@pytest.fixture(autouse=True)
-def state_store(spark):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    yield
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-
-
 def test_a_document_ends_at_the_limit(spark, tmp_path):
     s = Stream(spark, tmp_path, 60, 5)
     rows = [*passages(8, 1), *passages(3, 2), *passages(30, 3, 21)]
