@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, show_probability, token_count
-from .scoring import mock_distribution, noul_value, winner
+from .scoring import digest, mock_distribution, noul_value, winner
 
 NO_NOTES = "(no earlier passages)"
 
@@ -36,15 +36,16 @@ def entries_by_cast(chunked: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
     by = {q["id"]: q for q in COMPRESSION}
     names = F.transform("cast", lambda c: c["canonical"])
     more = lambda q: F.array(*[F.lit(x) for x in by[q]["extra_options"]])
-    ask = lambda qid, options: mock_distribution(F.col("text"), qid, options)
+    ask = lambda qid, options: mock_distribution(F.col("_digest"), qid, options, digested=True)
     best = lambda d: let(d, lambda x: F.struct(winner(x).alias("value"), F.array_max(F.transform(x, lambda y: y["p4"])).alias("p4")))
-    level = lambda c: F.array_max(F.transform(mock_distribution(F.concat_ws("|", F.col("text"), c["canonical"]), "suspicion", by["suspicion"]["levels"]), lambda y, i: F.struct(y["p4"].alias("p4"), (-i).alias("i"))))
+    level = lambda c: F.array_max(F.transform(mock_distribution(F.concat_ws("|", F.col("_digest"), c["canonical"]), "suspicion", by["suspicion"]["levels"]), lambda y, i: F.struct(y["p4"].alias("p4"), (-i).alias("i"))))
+    chunked = _apart(chunked, *[F.col(c) for c in chunked.columns], digest(F.col("text")).alias("_digest"))
     out = _apart(chunked,
         "doc_id", "t", *keep, "chapter", "sentences",
         best(ask("concerns", F.concat(names, more("concerns")))).alias("concerns"), best(ask("secondary", F.concat(names, more("secondary")))).alias("secondary"), best(ask("event_type", by["event_type"]["options"])).alias("event_type"),
         *[F.get(ask(q, ["yes", "no"]), 0)["p4"].alias(q) for q in ("new_evidence", "time_reference", "location_stated")],
         F.transform("cast", lambda c: F.struct(c["canonical"].alias("name"), c["ord"].alias("ord"), (1 - level(c)["i"]).alias("value"), F.rlike(F.col("text"), c["pattern"]).alias("mentioned"))).alias("suspicion"),
-        F.when(F.size("sentences") > 0, winner(mock_distribution(F.col("text"), "key_sentence", F.transform(F.sequence(F.lit(1), F.greatest(F.size("sentences"), F.lit(1))), lambda i: F.concat(F.lit("s"), i))))).alias("key_label"),
+        F.when(F.size("sentences") > 0, winner(ask("key_sentence", F.transform(F.sequence(F.lit(1), F.greatest(F.size("sentences"), F.lit(1))), lambda i: F.concat(F.lit("s"), i))))).alias("key_label"),
     )
     place = F.expr("CAST(substring(key_label, 2) AS INT)") - 1
     return out.withColumn("key_sentence_idx", place).withColumn("key_quote", F.get("sentences", F.col("key_sentence_idx"))).drop("sentences", "key_label")

@@ -31,12 +31,18 @@ def shares(weights: Column) -> Column:
     return let(F.transform(weights, lambda w: F.call_function("div", w * UNIT, total)), spread)
 
 
-def mock_distribution(state: Column, qid: str | Column, options: list[str] | Column) -> Column:
-    """Array of (option, p4): ten-thousandths in the order of options, from squared hashes of state, question and option."""
+def digest(state: Column) -> Column:
+    """What the stand-in reads of a state. Where one state is asked much, make it once and pass it on as `digested`."""
+    return F.sha2(state, 256)
+
+
+def mock_distribution(state: Column, qid: str | Column, options: list[str] | Column, digested: bool = False) -> Column:
+    """Array of (option, p4): ten-thousandths in the order of options, from squared hashes of the state's digest, question and option. The
+    state is hashed once, however many options there are. digested: state is its digest already."""
     labels = F.array(*[F.lit(o) for o in options]) if isinstance(options, list) else options
     asked = F.lit(qid) if isinstance(qid, str) else qid
-    keyed = F.transform(labels, lambda o: pseudo_random(F.concat_ws("|", state, asked, o)))
-    weights = F.transform(keyed, lambda u: (u + 1) * (u + 1))
+    keyed = lambda h: F.transform(labels, lambda o: pseudo_random(F.concat_ws("|", h, asked, o)))
+    weights = let(state if digested else digest(state), lambda h: F.transform(keyed(h), lambda u: (u + 1) * (u + 1)))
     return F.arrays_zip(labels.alias("option"), let(weights, shares).alias("p4"))
 
 
@@ -108,8 +114,8 @@ class MockScorer:
     model = "hash (MOCK)"
 
     def __call__(self, asks: DataFrame) -> DataFrame:
-        pairs = F.transform("specs", lambda s: F.struct(s["id"], mock_distribution(F.col("state"), s["id"], s["options"])))
-        return asks.select("key", F.map_from_entries(pairs).cast(ANSWERS).alias("answers"))
+        pairs = F.transform("specs", lambda s: F.struct(s["id"], mock_distribution(F.col("_digest"), s["id"], s["options"], digested=True)))
+        return asks.withColumn("_digest", digest(F.col("state"))).select("key", F.map_from_entries(pairs).cast(ANSWERS).alias("answers"))
 
 
 def cache_key(model: str, provider: str, state: Column, specs: list[Spec] | Column) -> Column:

@@ -77,7 +77,7 @@ nm AS (SELECT doc_id, source, p, s, i, w FROM (SELECT doc_id, source, p, s, unne
 def mock(source: str, keys: str, state: str, qid: str, options: list[str], name: str = "m") -> str:
     """CTEs that end in one with keys, pos, option, p4."""
     values = ", ".join(f"({i}, '{o}')" for i, o in enumerate(options))
-    return f"""{name}0 AS (SELECT {source}.*, o.pos, o.option, (('0x' || substr(sha256({state} || '|{qid}|' || o.option), 1, 8))::BIGINT >> 8) + 1 AS u FROM {source}, (VALUES {values}) AS o(pos, option)),
+    return f"""{name}0 AS (SELECT {source}.*, o.pos, o.option, (('0x' || substr(sha256(sha256({state}) || '|{qid}|' || o.option), 1, 8))::BIGINT >> 8) + 1 AS u FROM {source}, (VALUES {values}) AS o(pos, option)),
 {name}1 AS (SELECT *, (u * u * 10000 // (sum(u * u) OVER (PARTITION BY {keys})))::BIGINT AS f, row_number() OVER (PARTITION BY {keys} ORDER BY u DESC, pos) AS best FROM {name}0),
 {name} AS (SELECT *, (f + CASE WHEN best = 1 THEN 10000 - sum(f) OVER (PARTITION BY {keys}) ELSE 0 END)::BIGINT AS p4 FROM {name}1)"""
 
@@ -489,11 +489,11 @@ def _notes_sql() -> str:
     flagged = ", ".join(f"CASE WHEN b_{q}.p >= 5000 THEN '{q} ' || {_probability(f'b_{q}.p')} END" for q in flags)
     joins = " ".join(f"JOIN b_{q} ON b_{q}.doc_id = ch.doc_id AND b_{q}.t = ch.t" for q in [*asked, *flags])
     return f"""{", ".join(parts)}, {", ".join(best)}, {ROSTER_SQL}, cc AS (SELECT ch.doc_id, ch.t, ch.text, ro.ord, ro.canonical FROM ch, ro),
-{mock("cc", "doc_id, t, ord", "text || '|' || canonical", "suspicion", [x.replace("'", "''") for x in BATTERY["suspicion"]["levels"]], "sp")},
+{mock("cc", "doc_id, t, ord", "sha256(text) || '|' || canonical", "suspicion", [x.replace("'", "''") for x in BATTERY["suspicion"]["levels"]], "sp")},
 lv AS (SELECT doc_id, t, ord, canonical, arg_min(pos + 1, (-p4, pos)) AS v FROM sp GROUP BY doc_id, t, ord, canonical),
 su AS (SELECT doc_id, t, '  suspicion: ' || string_agg(canonical || ' ' || v, ', ' ORDER BY v DESC, ord) AS line FROM lv WHERE v >= 2 GROUP BY doc_id, t),
 cs AS (SELECT ch.doc_id, ch.t, ch.text AS state, se.text AS quote, row_number() OVER (PARTITION BY ch.doc_id, ch.t ORDER BY se.p, se.s) AS pos FROM ch JOIN se ON se.doc_id = ch.doc_id AND se.p >= ch.para_from AND se.p < ch.para_to),
-k0 AS (SELECT *, (('0x' || substr(sha256(state || '|key_sentence|s' || pos), 1, 8))::BIGINT >> 8) + 1 AS u FROM cs),
+k0 AS (SELECT *, (('0x' || substr(sha256(sha256(state) || '|key_sentence|s' || pos), 1, 8))::BIGINT >> 8) + 1 AS u FROM cs),
 k1 AS (SELECT *, (u * u * 10000 // (sum(u * u) OVER (PARTITION BY doc_id, t)))::BIGINT AS f, row_number() OVER (PARTITION BY doc_id, t ORDER BY u DESC, pos) AS best FROM k0),
 k2 AS (SELECT *, f + CASE WHEN best = 1 THEN 10000 - sum(f) OVER (PARTITION BY doc_id, t) ELSE 0 END AS p4 FROM k1),
 kq AS (SELECT doc_id, t, arg_min(quote, (-p4, pos)) AS quote FROM k2 GROUP BY doc_id, t),
