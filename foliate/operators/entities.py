@@ -46,6 +46,14 @@ def candidates(roster: list[dict], which: str) -> list[str]:
     return names
 
 
+def candidate_table(roster: DataFrame) -> DataFrame:
+    """doc_id, which, ord, canonical: both candidate sets of many documents. A document with fewer than two suspects has no
+    suspects_only. roster: doc_id, ord, canonical, is_suspect."""
+    few = Window.partitionBy("doc_id")
+    named = roster.where("is_suspect").withColumns({"n": F.count(F.lit(1)).over(few), "ord": F.row_number().over(few.orderBy("ord")) - 1}).where("n >= 2")
+    return roster.select("doc_id", F.lit("full_cast").alias("which"), "ord", "canonical").union(named.select("doc_id", F.lit("suspects_only"), "ord", "canonical"))
+
+
 def name_counts(docs: DataFrame, key: str, separator: str = "\n") -> DataFrame:
     """key, word, n, first: capitalised words that begin no sentence and aren't in the list of common ones."""
     found = F.flatten(F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), separator), lambda p: F.transform(sentence_texts(p), name_words))))

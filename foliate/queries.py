@@ -161,10 +161,12 @@ def missed_names(read, spark):
     return entities.missed_names(read("documents"), KNOWN, "source")
 
 
-@query("""WITH a(canonical, name) AS (VALUES ('Ann', 'Ann'), ('Ann', 'Nan'), ('Bob', 'Bob'), ('Bob', 'nan'), ('Cy', 'Cy'))
-SELECT lower(name) AS alias, array_to_string(list_sort(list(DISTINCT canonical)), ',') AS owners FROM a GROUP BY lower(name) HAVING count(DISTINCT canonical) > 1""")
+@query("""WITH a AS (SELECT source AS canonical, source AS name FROM documents UNION SELECT source, upper(lang) FROM documents)
+SELECT lower(name) AS alias, array_to_string(list_sort(list(DISTINCT canonical)), ',') AS owners FROM a WHERE name IS NOT NULL AND canonical IS NOT NULL GROUP BY lower(name) HAVING count(DISTINCT canonical) > 1""")
 def duplicate_aliases(read, spark):
-    roster = entities.roster_table(spark, [{"canonical": "Ann", "aliases": ["Nan"]}, {"canonical": "Bob", "aliases": ["nan"]}, {"canonical": "Cy"}])
+    """Sources as entities, also called by their languages: names that several have."""
+    roster = read("documents").where("source IS NOT NULL").groupBy(F.col("source").alias("canonical")).agg(F.collect_set(F.upper("lang")).alias("langs"))
+    roster = roster.select("canonical", F.array_prepend("langs", F.col("canonical")).alias("names"))
     return entities.duplicate_aliases(roster).select("alias", F.array_join("owners", ",").alias("owners"))
 
 
@@ -198,10 +200,15 @@ def first_mention(read, spark):
     return entities.first_mentions(chunked(read), ROSTER)
 
 
-@query(f"WITH {ROSTER_SQL} SELECT 'full_cast' AS which, ord::BIGINT AS ord, canonical FROM ro UNION ALL SELECT 'suspects_only', row_number() OVER (ORDER BY ord) - 1, canonical FROM ro WHERE is_suspect")
+@query("""WITH e AS (SELECT source AS doc_id, lang AS canonical, max(n_chars) >= 4000 AS is_suspect FROM documents GROUP BY source, lang),
+o AS (SELECT doc_id, canonical, is_suspect, row_number() OVER (PARTITION BY doc_id ORDER BY canonical NULLS FIRST) - 1 AS ord FROM e),
+s AS (SELECT doc_id, canonical, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS ord, count(*) OVER (PARTITION BY doc_id) AS n FROM o WHERE is_suspect)
+SELECT doc_id, 'full_cast' AS which, ord, canonical FROM o UNION ALL SELECT doc_id, 'suspects_only', ord, canonical FROM s WHERE n >= 2""")
 def candidate_sets(read, spark):
-    rows = [(w, i, n) for w in ("full_cast", "suspects_only") for i, n in enumerate(entities.candidates(ROSTER, w))]
-    return spark.createDataFrame(rows, "which string, ord long, canonical string")
+    """The candidates of every source: its languages, of which those with a long document are suspects."""
+    cast = read("documents").groupBy(F.col("source").alias("doc_id"), F.col("lang").alias("canonical")).agg((F.max("n_chars") >= 4000).alias("is_suspect"))
+    ordered = cast.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("canonical")) - 1)
+    return entities.candidate_table(ordered)
 
 
 # ---- identity and sources ----
