@@ -165,6 +165,10 @@ def step_rollups(steps: DataFrame, budget: int, window: int) -> DataFrame:
     columns = ["doc_id", "id", "from_t", "to_t", "triggered_at_t", "summary"]
     length = lambda c: F.coalesce(F.length(c), F.lit(0))
     sizes = steps.select("doc_id", "t", "chapter", length("note").alias("note_length"), length("text").alias("text_length"), "event", F.when(F.col("evidence"), F.col("quote")).alias("quote"))
+    # Documents whose states can't come to the budget, with every note and header and the longest texts, have no rollups.
+    whole = Window.partitionBy("doc_id")
+    notes = F.sum(F.col("note_length") + F.greatest(length("chapter"), F.lit(8)) + 9).over(whole)
+    sizes = sizes.withColumn("_most", notes + (F.max("text_length").over(whole) + 40) * max(window, 1) + 200).where(F.col("_most") > 4 * budget).drop("_most")
     kind = steps.schema["doc_id"].dataType.simpleString()
     return sizes.groupBy("doc_id").applyInPandas(plan, f"doc_id {kind}, id int, from_t int, to_t int, triggered_at_t int, summary string")
 

@@ -570,7 +570,9 @@ def rollup_plan(read, spark):
 @query(W + STATES_SQL)
 def state_at_step(read, spark):
     """The state of every step: notes before a window of three, rolled up where over budget, then full texts."""
-    return ledger.rolled_states(_noted(read), BUDGET, WINDOW)
+    notes, path = _noted(read), f"{scratch_dir(spark)}/notes-{uuid.uuid4().hex}"
+    notes.write.parquet(path)  # plans and states both read them: the battery is asked once
+    return ledger.rolled_states(spark.read.schema(notes.schema).parquet(path), BUDGET, WINDOW)
 
 
 @query("WITH " + LINES + """, s AS (SELECT doc_id, p, sum((length(line) + 3) // 4) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM l),
