@@ -1,4 +1,4 @@
-"""Command line: python -m foliate.cli run|list|inspect|ledger|roster|curve|export|vacuum FOLDER ..."""
+"""Command line: python -m foliate.cli run|list|inspect|ledger|roster|validate|curve|export|vacuum FOLDER ..."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import curves, results
+from .operators import curves, entities, results
 from .plans import book
 from .plans.questions import INFERENCE
 from .sources.store import Store
@@ -16,7 +16,7 @@ from .sources.store import Store
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(prog="foliate")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("run", "list", "inspect", "ledger", "roster", "curve", "export", "vacuum"):
+    for name in ("run", "list", "inspect", "ledger", "roster", "validate", "curve", "export", "vacuum"):
         s = sub.add_parser(name)
         s.add_argument("out", help="folder of the tables")
         if name == "run":
@@ -46,6 +46,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         book.ledger_status(read("chunks"), read("ledger")).show(1000, truncate=False)
     elif a.command == "roster":
         read("roster").orderBy("doc_id", "ord").show(1000, truncate=False)
+    elif a.command == "validate":
+        entities.roster_warnings(read("chunks"), read("roster"), "\n\n").orderBy("doc_id", "kind", F.desc("n"), "subject").show(1000, truncate=False)
     elif a.command == "export":
         results.write_long(results.long_answers(read("results"), INFERENCE, ["run_id", "doc_id", "model", "answer"]), a.path)
     elif a.command == "vacuum":

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import NOT_NAMES, alias_pattern, name_words, sentence_texts
@@ -77,6 +77,39 @@ def missed_names(docs: DataFrame, roster: list[dict], key: str, least: int = 8,
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select(key, "word", "n", "rank")
 
 
+def pattern_of(names: Column, bounds: tuple[str, str] = (r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])")) -> Column:
+    """alias_pattern of a column of names."""
+    longest = F.array_sort(names, lambda a, b: F.length(b) - F.length(a))
+    escaped = F.transform(longest, lambda n: F.regexp_replace(n, r"([.^$*+?()\[\]{}|\\])", r"\\$1"))
+    return F.concat(F.lit(bounds[0] + "(?:"), F.array_join(escaped, "|"), F.lit(")" + bounds[1]))
+
+
+def roster_warnings(docs: DataFrame, roster: DataFrame, separator: str = "\n", least: int = 8, most: int = 15) -> DataFrame:
+    """doc_id, kind, subject, n, detail: all that may be wrong with the rosters of many documents; nothing raises.
+
+    duplicate_alias: a name (lower case) of n entities, which detail lists. over_merge: n sentences that use two names of an entity,
+    the longest match winning, and the first of them. missed_name: one of the most frequent names that are in no alias, found n times.
+    docs: doc_id, text; roster: doc_id, canonical, names. Documents without a roster have only missed names; null names are none.
+    """
+    named = roster.select("doc_id", "canonical", F.filter("names", lambda n: n.isNotNull() & (n != "")).alias("names"))
+    owned = named.select("doc_id", "canonical", F.explode("names").alias("name"))
+    owners = owned.groupBy("doc_id", F.lower("name").alias("subject")).agg(F.array_sort(F.collect_set("canonical")).alias("o")).where(F.size("o") > 1)
+    doubled = owners.select("doc_id", F.lit("duplicate_alias").alias("kind"), "subject", F.size("o").cast("long").alias("n"), F.array_join("o", ", ").alias("detail"))
+
+    whole = pattern_of(F.col("names"), (r"(?<![\p{L}\p{N}_])(?:", r")(?![\p{L}\p{N}_])"))
+    cast = named.where(F.size("names") > 1).groupBy("doc_id").agg(F.collect_list(F.struct("canonical", "names", whole.alias("pattern"))).alias("cast"))  # a few entities a document
+    each = docs.join(cast, "doc_id").select("doc_id", "cast", F.posexplode(F.flatten(F.transform(F.split(F.coalesce("text", F.lit("")), separator), sentence_texts))).alias("at", "s"))
+    maybe = F.filter("cast", lambda c: F.size(F.filter(c["names"], lambda n: F.contains("s", n))) > 1)  # spares patterns most sentences
+    hits = each.select("doc_id", "at", "s", F.explode(maybe).alias("c")).where(F.size(F.array_distinct(F.regexp_extract_all("s", F.col("c.pattern"), F.lit(0)))) > 1)
+    merged = hits.groupBy("doc_id", F.col("c.canonical").alias("subject")).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("at", "s"))["s"].alias("detail"))
+
+    known = owned.select("doc_id", F.explode(F.split("name", r"[^\p{L}\p{N}_]+")).alias("word")).distinct()
+    w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "word")
+    missed = name_counts(docs, "doc_id", separator).where(F.col("n") >= least).join(known, ["doc_id", "word"], "left_anti").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    columns = ["doc_id", "kind", "subject", "n", "detail"]
+    return doubled.union(merged.withColumn("kind", F.lit("over_merge")).select(columns)).union(missed.select("doc_id", F.lit("missed_name"), "word", "n", F.lit(None).cast("string")))
+
+
 def duplicate_aliases(roster: DataFrame) -> DataFrame:
     """alias (lower case) and owners, where there are several. roster: canonical, names."""
     owned = roster.select("canonical", F.explode("names").alias("name")).groupBy(F.lower("name").alias("alias")).agg(F.array_sort(F.collect_set("canonical")).alias("owners"))

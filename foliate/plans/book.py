@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import alias_pattern, sentence_texts, token_count, word_count
-from ..operators import chunking, curves, entities, ledger, results, scoring
+from ..operators import chunking, curves, entities, extraction, ledger, results, scoring
 from ..operators.scoring import CallCeiling, MissingAnswer, MockScorer, Scorer, budget_guard, question_tokens
 from ..sources import readers
 from ..sources.store import Store, check_steps
@@ -88,14 +88,15 @@ def chunk_books(books: DataFrame, target: int) -> DataFrame:
     return c.select("doc_id", "t", "para_from", "para_to", "word_count", (F.col("word_to") - F.col("word_count")).alias("word_from"), "word_to", F.array_join(own, "\n\n").alias("text"), found.alias("sentences"), chapter.alias("chapter"))
 
 
-def rosters(chunked: DataFrame, given: dict[str, list[dict]] | None = None) -> DataFrame:
-    """A roster row for each entity: book, ord, canonical, names, is_suspect, pattern. Given rosters rule; other books get their most
-    frequent names."""
+def rosters(chunked: DataFrame, given: dict[str, list[dict]] | None = None, found: DataFrame | None = None) -> DataFrame:
+    """A roster row for each entity: book, ord, canonical, names, is_suspect, pattern. Given rosters rule; other books get those found
+    (extraction.usable), or else their most frequent names."""
     spark, given = chunked.sparkSession, given or {}
-    docs = chunked.select("doc_id", "text").where(~F.col("doc_id").isin(list(given))) if given else chunked.select("doc_id", "text")
-    found = entities.heuristic_roster(docs, "doc_id", separator="\n\n").select("doc_id", "ord", "canonical", F.array("canonical").alias("names"), F.lit(False).alias("is_suspect"))
-    pattern = F.concat(F.lit(r"(?:^|[^\p{L}\p{N}_])"), "canonical", F.lit(r"(?:$|[^\p{L}\p{N}_])"))
-    found = found.withColumn("pattern", pattern)
+    if found is None:
+        docs = chunked.select("doc_id", "text").where(~F.col("doc_id").isin(list(given))) if given else chunked.select("doc_id", "text")
+        found = entities.heuristic_roster(docs, "doc_id", separator="\n\n").select("doc_id", "ord", "canonical", F.array("canonical").alias("names"), F.lit(False).alias("is_suspect"))
+        pattern = F.concat(F.lit(r"(?:^|[^\p{L}\p{N}_])"), "canonical", F.lit(r"(?:$|[^\p{L}\p{N}_])"))
+        found = found.withColumn("pattern", pattern)
     rows = [(b, i + 1, c["canonical"], n, bool(c.get("is_suspect")), alias_pattern(n)) for b, cast in given.items() for i, c in enumerate(cast) for n in [list(dict.fromkeys([c["canonical"], *c.get("aliases", [])]))]]
     return found.unionByName(spark.createDataFrame(rows, found.schema)) if rows else found
 
@@ -175,12 +176,12 @@ def refused(states: DataFrame) -> DataFrame:
     return states.where("verdict <> 'ok'").select("doc_id", "t", "state_tokens", "verdict")
 
 
-def run_all(spark: SparkSession, path: str, out: str, settings: Settings = Settings(), given: dict[str, list[dict]] | None = None, limit: int | None = None, scorer: Scorer | None = None, force: bool = False) -> dict[str, DataFrame]:
+def run_all(spark: SparkSession, path: str, out: str, settings: Settings = Settings(), given: dict[str, list[dict]] | None = None, limit: int | None = None, scorer: Scorer | None = None, force: bool = False, extractor: extraction.Extractor | None = None) -> dict[str, DataFrame]:
     """Ingests the files under path and brings the tables under out up to date (run_books)."""
-    return run_books(ingest(spark, path), out, settings, given, limit, scorer, force)
+    return run_books(ingest(spark, path), out, settings, given, limit, scorer, force, extractor)
 
 
-def run_books(books: DataFrame, out: str, settings: Settings = Settings(), given: dict[str, list[dict]] | None = None, limit: int | None = None, scorer: Scorer | None = None, force: bool = False) -> dict[str, DataFrame]:
+def run_books(books: DataFrame, out: str, settings: Settings = Settings(), given: dict[str, list[dict]] | None = None, limit: int | None = None, scorer: Scorer | None = None, force: bool = False, extractor: extraction.Extractor | None = None) -> dict[str, DataFrame]:
     """Brings the tables under out up to date: books, chunks, roster, ledger, rollups, results. Gives those of the books, and
     refused: steps that can't be asked (not stored; they are judged anew each time). limit counts steps on the ordered axis.
 
@@ -188,6 +189,9 @@ def run_books(books: DataFrame, out: str, settings: Settings = Settings(), given
     otherwise raises LedgerMismatch. Raises, before anything of the stage is committed: BadSteps where steps repeat or leave a gap,
     CallCeiling where a document would be compressed by more calls than it has chunks or the run asks more than max_calls, and
     MissingAnswer where a question has none.
+
+    extractor makes the rosters of books that have none given, from their whole texts; a book it fails on raises ExtractionError,
+    and what it found in other books is kept for the next run.
     """
     if not settings.mock and scorer is None:
         raise ValueError("a run that isn't a mock needs a scorer")
@@ -195,7 +199,7 @@ def run_books(books: DataFrame, out: str, settings: Settings = Settings(), given
     candidates(settings)
     books = flow.books(books)
     chunks = flow.chunks(books)
-    roster = flow.rosters(chunks, given or {})
+    roster = flow.rosters(chunks, given or {}, books, extractor)
     full = with_roster(chunks, roster)
     entries = flow.ledger(full, force)
     run, last = flow.results(full, entries, limit)
@@ -273,13 +277,21 @@ class Flow:
         self._use(stage, ids)
         return self.store.read(stage, fresh.schema).join(ids, key, "left_semi")
 
-    def rosters(self, chunks: DataFrame, given: dict[str, list[dict]]) -> DataFrame:
-        """Given rosters rule, and are read anew when they change; names found in a text stay with that text."""
+    def rosters(self, chunks: DataFrame, given: dict[str, list[dict]], books: DataFrame, extractor: extraction.Extractor | None) -> DataFrame:
+        """Given rosters rule, and are read anew when they change; names found in a text stay with that text and what found them."""
         spark = self.store.spark
         own = spark.createDataFrame([(b, hashlib.sha256(json.dumps(cast, sort_keys=True).encode()).hexdigest()) for b, cast in given.items()], "doc_id string, given string")
         ids = chunks.select("doc_id", "made_of").distinct().join(F.broadcast(own), "doc_id", "left")
-        ids = ids.select("doc_id", F.when(F.col("given").isNotNull(), _hash(F.lit("given"), F.col("given"))).otherwise(_hash(F.lit("found"), F.col("made_of"))).alias("made_of"))
-        return self._add("roster", lambda todo: rosters(chunks.drop("made_of").join(todo.select("doc_id"), "doc_id", "left_semi"), given).join(todo.select("doc_id"), "doc_id", "left_semi"), ids, steps=False)
+        ids = ids.select("doc_id", F.when(F.col("given").isNotNull(), _hash(F.lit("given"), F.col("given"))).otherwise(_hash(F.lit("found"), *([F.lit(extractor.name)] if extractor else []), F.col("made_of"))).alias("made_of"))
+
+        def make(todo: DataFrame) -> DataFrame:
+            due, found = todo.select("doc_id"), None
+            if extractor:
+                texts = extraction.book_texts(books).join(due, "doc_id", "left_semi").join(F.broadcast(own), "doc_id", "left_anti")
+                found = extraction.usable(extraction.extract(texts, extractor, self.store))
+            return rosters(chunks.drop("made_of").join(due, "doc_id", "left_semi"), given, found).join(due, "doc_id", "left_semi")
+
+        return self._add("roster", make, ids, steps=False)
 
     def ledger(self, full: DataFrame, force: bool) -> DataFrame:
         """Entries of today's chunks, one call a chunk, made once ever."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from .functions import text as T
-from .operators import analytics, chunking, curves, entities, ledger, results, scoring
+from .operators import analytics, chunking, curves, entities, extraction, ledger, results, scoring
 from .plans.questions import COMPRESSION, INFERENCE, Spec
 from .scoring.answers import with_culprit
 from .sources import readers
@@ -190,6 +190,39 @@ def over_merge(read, spark):
     return entities.over_merges(read("documents"), ROSTER)
 
 
+_WORD = r"[^\p{L}\p{N}_]"
+
+
+@query("WITH " + NAMES + f""", c AS (SELECT source, w, count(*) AS n, min((doc_id, p, s, i)) AS f FROM nm WHERE source IS NOT NULL GROUP BY source, w HAVING count(*) >= 3),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, f) AS ord FROM c) WHERE ord <= 3),
+e AS (SELECT a.source, a.w AS canonical, b.w AS alias FROM o a LEFT JOIN o b ON a.source = b.source AND b.ord = a.ord + 1),
+a AS (SELECT source, canonical, canonical AS name FROM e UNION SELECT source, canonical, alias FROM e WHERE alias IS NOT NULL),
+ss AS (SELECT source, text, row_number() OVER (PARTITION BY doc_id ORDER BY p, s) AS k FROM se),
+h AS (SELECT e.source, e.canonical, ss.k, ss.text FROM e JOIN ss ON e.source = ss.source
+  WHERE regexp_matches(' ' || text || ' ', '{_WORD}' || canonical || '{_WORD}') AND regexp_matches(' ' || text || ' ', '{_WORD}' || alias || '{_WORD}')),
+m AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) AS rank FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.source = c.source AND o.w = c.w))
+SELECT source AS doc_id, 'duplicate_alias' AS kind, lower(name) AS subject, count(DISTINCT canonical) AS n, array_to_string(list_sort(list(DISTINCT canonical)), ', ') AS detail FROM a GROUP BY source, lower(name) HAVING count(DISTINCT canonical) > 1
+UNION ALL SELECT source, 'over_merge', canonical, count(*), arg_min(text, (k, text)) FROM h GROUP BY source, canonical
+UNION ALL SELECT source, 'missed_name', w, n, NULL FROM m WHERE rank <= 15""")
+def roster_warnings(read, spark):
+    """All checks of a roster over the documents of every source: its three most frequent names, each also called by the next."""
+    docs = read("documents").where("source IS NOT NULL")
+    names = entities.heuristic_roster(docs, "source", most=3).withColumnRenamed("source", "doc_id")
+    roster = names.withColumn("alias", F.lead("canonical").over(Window.partitionBy("doc_id").orderBy("ord"))).select("doc_id", "canonical", F.array("canonical", "alias").alias("names"))
+    return entities.roster_warnings(docs.select(F.col("source").alias("doc_id"), "text"), roster, least=3)
+
+
+@query("WITH " + NAMES + """, c AS (SELECT doc_id, w, count(*) AS n, min((p, s, i)) AS f FROM nm GROUP BY doc_id, w HAVING count(*) >= 3),
+o AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) AS ord FROM c),
+d AS (SELECT doc_id, (length('Title: ' || coalesce(nullif(source, ''), 'unknown') || chr(10) || chr(10) || '<novel>' || chr(10) || coalesce(text, '') || chr(10) || '</novel>') + 3) // 4 AS tokens FROM documents)
+SELECT d.doc_id, ord, w AS canonical, CASE WHEN tokens > 1500 THEN tokens || ' tokens, of 1500 that fit' END AS error FROM d LEFT JOIN o ON d.doc_id = o.doc_id AND tokens <= 1500 AND ord <= 12""")
+def extracted_roster(read, spark):
+    """Rosters of all documents by the default extractor, of which a text over 1500 tokens is refused; one row where there are none."""
+    texts = read("documents").select("doc_id", F.col("source").alias("title"), "text")
+    store = Store(spark, f"{scratch_dir(spark)}/extracted-{uuid.uuid4().hex}")
+    return extraction.extract(texts, extraction.FrequentNames(separator="\n", context_tokens=1500), store).select("doc_id", "ord", "canonical", "error")
+
+
 @query(W + CHUNKS + f", {ROSTER_SQL} SELECT doc_id, t, canonical, regexp_matches(text, pattern) AS mentioned FROM ch, ro")
 def mentions(read, spark):
     return entities.mentions(chunked(read), ROSTER)
