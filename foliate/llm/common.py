@@ -95,6 +95,14 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these."""
+        jvm = self.spark.sparkContext._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        for at in root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(root):
+            if at.getPath().getName() not in names:
+                self.drop(at.getPath().getName())
+
 
 def trim() -> None:
     """Gives memory that a Python worker has freed back to the system, as workers live on beside a heap that needs it."""

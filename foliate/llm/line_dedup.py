@@ -8,8 +8,9 @@ than similar pairs leaves it; those are verified on full sets. A line with an ea
 
 Lines of one set are one class, represented by its first line. Before the join, lines are tried against the first line that
 has the least or greatest hash of their prefix, which finds most near copies; only lines still open are sought earlier partners, so a
-group of n near copies gives about n pairs. A word that over LARGE classes have in their prefixes is refined: similar lines
-also share a second word of prefixes that are one word longer, so such entries are joined by both words.
+group of n near copies gives about n pairs; lines of a size and word that over CROWD classes have are tried further. Prefixes are
+joined in WAVES by word, so that only a share of them is on disk at once. A word that over LARGE classes have in their prefixes is
+refined: similar lines also share a second word of prefixes that are one word longer, so such entries are joined by both words.
 """
 
 from __future__ import annotations
@@ -20,18 +21,21 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, broadcast_if_small, columns, conf
-from .native import BITS_AN_ENTRY, MAX_BLOCKS, blocked_bloom, bloom_test, let
+from .common import BROADCAST_ROWS, Scratch, broadcast_if_small, columns, conf
+from .native import bloom_of, bloom_test, let, parted
 
 PERCENT = 80
 #: Slots of the table of word counts, which comes to the driver: words of a slot share its rarity.
 SLOT_BITS = 16
 #: Low bits of a word's hash in its key; the rarity of its slot is above them.
 KEY_BITS = 48
-#: Classes that share a key beyond which it is refined; words beyond which a line has 128 parity bits, not 64.
-LARGE, LONG = 1024, 96
-#: Further tries of lines with such keys.
-TRIES = 12
+#: Classes that share a key beyond which it is refined: up to there a pair costs less than the entries of more keys do. Words beyond
+#: which a line has 128 parity bits, not 64.
+LARGE, LONG = 16384, 96
+#: Classes of one size that share a key, itself of more than COMMON, beyond which they are tried further, and the tries.
+COMMON, CROWD, TRIES = 1024, 256, 12
+#: Parts, by word, in which entries are joined.
+WAVES = 3
 NOTHING = -(1 << 62)
 BLANKS = "\t\x0b\x0c\r"
 PLACE = ["id", "line"]
@@ -43,11 +47,14 @@ def words(line: Column) -> Column:
     return F.split(line, " ")
 
 
+def _spaced(text: Column) -> Column:
+    odd = reduce(Column.__or__, [F.contains(text, F.lit(b)) for b in BLANKS])
+    return F.when(odd, F.translate(text, BLANKS, " " * len(BLANKS))).otherwise(text)
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """id, line (number from 0), body of each line of id, text. Other ASCII white space becomes spaces."""
-    odd = reduce(Column.__or__, [F.contains("text", F.lit(b)) for b in BLANKS])
-    text = F.when(odd, F.translate("text", BLANKS, " " * len(BLANKS))).otherwise(F.col("text"))
-    return docs.select("id", F.posexplode(F.split(text, "\n")).alias("line", "body"))
+    return docs.select("id", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line", "body"))
 
 
 def _shift(way: str, value: Column | int, by: Column | int) -> Column:
@@ -58,7 +65,7 @@ def _shift(way: str, value: Column | int, by: Column | int) -> Column:
 def word_ranks(source: DataFrame) -> Column:
     """Array by slot: how common its words are, as 500 times the logarithm of their count over all texts (under 2^15)."""
     slot = _shift("shiftrightunsigned", F.xxhash64("w"), 64 - SLOT_BITS).cast("int").alias("slot")
-    counts = lines(source).select(F.explode(words(F.col("body"))).alias("w")).groupBy(slot).agg(F.count(F.lit(1)).alias("n"))
+    counts = source.select(F.explode(words(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")))).alias("w")).groupBy(slot).agg(F.count(F.lit(1)).alias("n"))
     found = {r["slot"]: round(500 * math.log2(r["n"] + 1)) for r in counts.collect()}  # 2^SLOT_BITS rows at most
     return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(1 << SLOT_BITS))), ",").cast("array<smallint>")
 
@@ -138,11 +145,10 @@ def _first_tries(classes: DataFrame, percent: int) -> DataFrame:
     return _tries(rows, [F.array_min("hashes"), F.array_max("hashes")], percent)
 
 
-def _more_tries(large: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Lines with hot keys by TRIES other least hashes of their prefix, or pairs of such."""
-    rows = large.select(*PLACE, "open").distinct().join(classes, PLACE)
+def _more_tries(lines_: DataFrame, percent: int) -> DataFrame:
+    """Lines of crowds by TRIES other least hashes of their prefix, or pairs of such."""
     mixed = lambda k: F.array_min(F.transform("prefix", lambda x: F.xxhash64(F.lit(k), x)))
-    return _tries(rows, [F.xxhash64(F.lit(k), mixed(2 * k), mixed(2 * k + 1)) if k % 2 else mixed(2 * k) for k in range(TRIES)], percent)
+    return _tries(lines_, [F.xxhash64(F.lit(k), mixed(2 * k), mixed(2 * k + 1)) if k % 2 else mixed(2 * k) for k in range(TRIES)], percent)
 
 
 def _pairs(index: DataFrame, probe: DataFrame, percent: int, shared: int) -> DataFrame:
@@ -161,50 +167,67 @@ def _pairs(index: DataFrame, probe: DataFrame, percent: int, shared: int) -> Dat
     return found.select(first("id", "a_id").alias("id"), first("line", "a_line").alias("line"), first("a_id", "id").alias("a_id"), first("a_line", "line").alias("a_line"))
 
 
-def _hot_keys(entries: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """Keys of more than LARGE entries, if any. Only keys in slots of more than LARGE entries are counted one by one."""
+def _entries(classes: DataFrame, known: DataFrame, scratch: Scratch, name: str, percent: int, smallest: int) -> DataFrame:
+    """Prefixes by word, with the whole prefix. Lines that are known to go are not open."""
+    few = broadcast_if_small(known.withColumn("known", F.lit(True)))
+    open_ = F.col("known").isNull().alias("open")
+    filled = classes.where(F.col("n") >= smallest)
+    if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        marked = filled.join(few, PLACE, "left").select(*classes.columns, open_)
+    else:
+        maybe, rest = parted(filled, PLACE, known, scratch, f"{name}-known")
+        marked = maybe.join(few, PLACE, "left").select(*classes.columns, open_).union(rest.select(*classes.columns, F.lit(True)))
+    step = F.coalesce(F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent + 0.01)).cast("int"), F.lit(0)).alias("step")
+    return marked.select(*PLACE, "n", "s1", "s2", step, "open", "prefix", F.posexplode(F.slice("prefix", 1, probe_prefix(F.col("n"), percent))).alias("pos", "tok"))
+
+
+def _hot_keys(entries: DataFrame, least: int, scratch: Scratch, name: str) -> DataFrame | None:
+    """Keys of more than least entries, if any. Only keys in slots of more than least entries are counted one by one."""
     slot = F.col("tok").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int").alias("slot")
-    slots = scratch.cut(entries.groupBy(slot).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGE).select("slot"), "slots")  # 2^SLOT_BITS rows at most
+    slots = scratch.cut(entries.groupBy(slot).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > least).select("slot"), f"{name}-slots")  # 2^SLOT_BITS rows at most
     if not slots.limit(1).count():
         return None
     keys = entries.select("tok", slot).join(F.broadcast(slots), "slot", "left_semi").groupBy("tok").agg(F.count(F.lit(1)).alias("size"))
-    keys = scratch.cut(keys.where(F.col("size") > LARGE).select("tok"), "hot")
+    keys = scratch.cut(keys.where(F.col("size") > least), name)
     return keys if keys.limit(1).count() else None
 
 
-def _candidates(entries: DataFrame, classes: DataFrame, source: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs by keys of up to LARGE entries, and by two words for other keys; and lines with a partner found on the way."""
-    hot = _hot_keys(entries, scratch)
-    few = entries if hot is None else entries.join(broadcast_if_small(hot), "tok", "left_anti")
-    dealt = few.select(*ENTRY).repartition("tok")  # the key has the step too; it need not be dealt by that
-    settings = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"}
-    with conf(scratch.spark, settings):  # without a filter below it, one exchange serves both sides
-        pairs = scratch.cut(_pairs(dealt, dealt, percent, 1), "pairs-one")
+def _crowds(entries: DataFrame, hot: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """Lines of one size and word with more than CROWD classes, if any: a word is common over all sizes, near copies are of a size."""
+    own = entries.join(broadcast_if_small(hot.select("tok")), "tok", "left_semi")
+    crowds = scratch.cut(own.groupBy("tok", "n").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CROWD).select("tok", "n"), "crowds")
+    if not crowds.limit(1).count():
+        return None
+    return own.join(broadcast_if_small(crowds), ["tok", "n"], "left_semi").select(*PLACE, "n", "s1", "s2", "open", "prefix").dropDuplicates(PLACE)
+
+
+def _candidates(entries: DataFrame, hot: DataFrame | None, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs by keys of up to LARGE entries, and by two words for other keys."""
     if hot is None:
-        return pairs, None
-    large = scratch.cut(entries.join(broadcast_if_small(hot), "tok", "left_semi").select(*ENTRY), "large")
-    gone = _confirmed(scratch.cut(_more_tries(large, classes, percent), "large-tries"), source, scratch, "large", percent)
-    large = large.join(gone.withColumn("gone", F.lit(True)), PLACE, "left").withColumn("open", F.col("open") & F.col("gone").isNull()).select(*ENTRY)
-    open_ = scratch.cut(_refined(large.where("open"), classes), "refined")
-    bloom, blocks = bloom_of(open_.select(F.col("tok").alias("key")), scratch, "refined-bloom")
-    every = _refined(large, classes)
-    every = every.where(bloom_test(bloom, F.col("tok"), blocks))
-    done = every.where("NOT open")  # pairs of two open lines are found once, among the open
-    return pairs.union(scratch.cut(_pairs(done, open_, percent, 2).union(_pairs(open_, done, percent, 2)).union(_pairs(open_, open_, percent, 2)), "pairs-two")), gone
-
-
-def _refined(large: DataFrame, classes: DataFrame) -> DataFrame:
-    """Entries by two words: the one that made the entry, and each later one of the extended prefix."""
-    both = large.join(classes.select(*PLACE, "prefix"), PLACE).select("*", F.posexplode("prefix").alias("at", "second")).where("at > pos")
-    return both.select(F.xxhash64("tok", "second").alias("tok"), "step", *PLACE, "n", F.col("at").alias("pos"), "s1", "s2", "open")
+        return _waves(entries, scratch, "one", percent, 1)
+    hot = broadcast_if_small(hot.select("tok"))
+    one = _waves(entries.join(hot, "tok", "left_anti"), scratch, "one", percent, 1)
+    refined = _refined(entries.join(hot, "tok", "left_semi"))
+    bloom, blocks = bloom_of(refined.where("open").select(F.col("tok").alias("key")), scratch, "refined-bloom")
+    return one.union(_waves(refined.where(bloom_test(bloom, F.col("tok"), blocks)), scratch, "two", percent, 2))
+
+
+def _waves(entries: DataFrame, scratch: Scratch, name: str, percent: int, shared: int) -> DataFrame:
+    """Pairs of entries, in WAVES by key: the exchange of one is gone before the next is made."""
+    settings = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"}
+    parts = []
+    for k in range(WAVES):
+        own = F.pmod(_shift("shiftright", F.col("tok"), 20), F.lit(WAVES).cast("long")) == k
+        dealt = entries.where(own).select(*ENTRY).repartition("tok")  # the key has the step too; it need not be dealt by that
+        with conf(scratch.spark, settings):  # without a filter below it, one exchange serves both sides
+            parts.append(scratch.cut(_pairs(dealt, dealt, percent, shared), f"pairs-{name}-{k}"))
+    return reduce(DataFrame.union, parts)
 
 
-def bloom_of(keys: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, int]:
-    """A filter over column key, of a size by the count of keys, and its blocks."""
-    many, blocks = keys.count(), 1
-    while blocks < min(MAX_BLOCKS, -(-many * BITS_AN_ENTRY // 64)):
-        blocks *= 2
-    return scratch.cut(blocked_bloom(keys, blocks), name), blocks
+def _refined(large: DataFrame) -> DataFrame:
+    """Entries by two words: the one that made the entry, and each later one of the extended prefix."""
+    both = large.select("*", F.posexplode("prefix").alias("at", "second")).where("at > pos")
+    return both.select(F.xxhash64("tok", "second").alias("tok"), "step", *PLACE, "n", F.col("at").alias("pos"), "s1", "s2", "open")
 
 
 def _confirmed(pairs: DataFrame, source: DataFrame, scratch: Scratch, name: str, percent: int) -> DataFrame:
@@ -220,7 +243,10 @@ def _confirmed(pairs: DataFrame, source: DataFrame, scratch: Scratch, name: str,
     earlier = sets.select(F.col("id").alias("a_id"), F.col("line").alias("a_line"), F.col("ws").alias("a_ws"))
     both = pairs.join(sets, PLACE).join(earlier, ["a_id", "a_line"])
     same = F.size(F.array_intersect("ws", "a_ws"))
-    return scratch.cut(both.where(same * (100 + percent) >= (F.size("ws") + F.size("a_ws")) * percent).select(*PLACE).distinct(), f"{name}-gone")
+    gone = scratch.cut(both.where(same * (100 + percent) >= (F.size("ws") + F.size("a_ws")) * percent).select(*PLACE).distinct(), f"{name}-gone")
+    for own in ("places", "bloom", "sets"):
+        scratch.drop(f"{name}-{own}")
+    return gone
 
 
 def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -235,13 +261,18 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NOTHING)).alias("id"), F.col(text_col).alias("text"))
     classes = scratch.cut(classes_of(source, percent, smallest), "classes")
     tried = _confirmed(scratch.cut(_first_tries(classes, percent), "tries"), source, scratch, "tries", percent)
-    known = broadcast_if_small(tried.withColumn("known", F.lit(True)))
-    step = F.coalesce(F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent + 0.01)).cast("int"), F.lit(0)).alias("step")
-    marked = classes.where(F.col("n") >= smallest).join(known, PLACE, "left")
-    entries = marked.select(*PLACE, "n", "s1", "s2", step, F.col("known").isNull().alias("open"), F.posexplode(F.slice("prefix", 1, probe_prefix(F.col("n"), percent))).alias("pos", "tok"))
-    found, more = _candidates(entries, classes, source, scratch, percent)
-    gone = (tried if more is None else tried.union(more)).union(_confirmed(scratch.cut(found.distinct(), "pairs"), source, scratch, "pairs", percent))
-    return scratch.cut(classes.select(*PLACE).join(gone.distinct(), PLACE, "left_anti"), "stay")
+    entries = _entries(classes, tried, scratch, "tried", percent, smallest)
+    hot, known = _hot_keys(entries, min(COMMON, LARGE), scratch, "common"), tried
+    crowd = None if hot is None else _crowds(entries, hot, scratch)
+    if crowd is not None:
+        known = scratch.cut(tried.union(_confirmed(scratch.cut(_more_tries(scratch.cut(crowd, "crowd"), percent), "more-tries"), source, scratch, "more", percent)).distinct(), "known")
+        entries = _entries(classes, known, scratch, "more", percent, smallest)
+    hot = hot and hot.where(F.col("size") > LARGE)
+    found = _candidates(entries, hot if hot and hot.limit(1).count() else None, scratch, percent)
+    gone = known.union(_confirmed(scratch.cut(found.distinct(), "pairs"), source, scratch, "pairs", percent))
+    stay = scratch.cut(classes.select(*PLACE).join(gone.distinct(), PLACE, "left_anti"), "stay")
+    scratch.keep("stay")
+    return stay
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -250,13 +281,21 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Lines without words always stay. Null text counts as empty: one line without words. All columns of the input stay, but
     those named like the three new ones give way.
     """
-    stay = line_duplicates(docs, id_col, text_col, percent).groupBy("id").agg(F.collect_set("line").alias("stay"))
+    scratch, places = Scratch(docs.sparkSession), line_duplicates(docs, id_col, text_col, percent)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NOTHING)).alias("of"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), F.struct(*columns(docs)).alias("row"))
-    joined = rows.join(stay, F.col("of") == F.col("id"), "left").withColumn("stay", F.coalesce("stay", F.array().cast("array<int>")))
     blank = lambda x: F.btrim(x, F.lit(" " + BLANKS)) == ""
+    filled = F.size(F.filter(F.split("body", "\n"), lambda x: ~blank(x)))
+    counts = rows.groupBy("of").agg(F.count(F.lit(1)).alias("rows"), F.max(filled).alias("n")).join(places.groupBy(F.col("id").alias("of")).agg(F.count(F.lit(1)).alias("k")), "of", "left")
+    touched = scratch.cut(counts.where((F.col("rows") > 1) | (F.col("n") != F.coalesce("k", F.lit(0)))).select("of"), "touched")
+    # Texts that lose no line are not shuffled.
+    maybe, whole = parted(rows, ["of"], touched, scratch, "touched-bloom")
+    stay = touched.join(places, F.col("of") == F.col("id"), "left").groupBy(F.col("of").alias("id")).agg(F.collect_set("line").alias("stay"))
+    same = whole.select("row", F.size(F.split("body", "\n")).alias("n"), F.col("body").alias("kept")).select("row", F.struct("n", F.col("n").alias("k"), "kept").alias("r"))
+    joined = maybe.join(stay, F.col("of") == F.col("id"), "left").withColumn("loses", F.col("id").isNotNull()).withColumn("stay", F.coalesce("stay", F.array().cast("array<int>")))
     every = lambda ls: F.sequence(F.lit(0), F.size(ls) - 1)
-    kept = lambda ls: F.array_sort(F.array_union(F.array_intersect(every(ls), F.col("stay")), F.filter(every(ls), lambda i: blank(F.get(ls, i)))))
+    kept = lambda ls: F.array_sort(F.array_union(F.array_intersect(every(ls), F.col("stay")), F.filter(every(ls), lambda i: ~F.col("loses") | blank(F.get(ls, i)))))
     out = joined.select("row", let(F.split("body", "\n"), lambda ls: let(kept(ls), lambda at: F.struct(F.size(ls).alias("n"), F.size(at).alias("k"), F.array_join(F.transform(at, lambda i: F.get(ls, i)), "\n").alias("kept")))).alias("r"))
+    out = out.union(same)
     new = {"n_lines": F.col("r.n").cast("long"), "n_removed": (F.col("r.n") - F.col("r.k")).cast("long"), "kept": F.col("r.kept")}
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in new], *[v.alias(k) for k, v in new.items()])
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: 64-bit blocks of the filter: at least this many bits an entry, and at most so many blocks (8 MB). A list beyond that
 #: only lets more candidates through to the exact join.
 BITS_AN_ENTRY, MAX_BLOCKS = 16, 1 << 20
@@ -51,3 +53,19 @@ def bloom_test(bloom: DataFrame, key: Column, blocks: int) -> Column:
     """False only for keys that are not in the filter."""
     block, mask = _block_and_mask(key, blocks)
     return F.get(bloom.scalar(), block).bitwiseAND(mask) == mask
+
+
+def bloom_of(keys: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, int]:
+    """A filter over column key, of a size by the count of keys, and its blocks."""
+    many, blocks = keys.count(), 1
+    while blocks < min(MAX_BLOCKS, -(-many * BITS_AN_ENTRY // 64)):
+        blocks *= 2
+    return scratch.cut(blocked_bloom(keys, blocks), name), blocks
+
+
+def parted(rows: DataFrame, on: list[str], keys: DataFrame, scratch: Scratch, name: str, key: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows that may have one of keys in columns on (of keys: key, if named otherwise; nulls are a key), and rows that surely have none. A join with few keys is made
+    of the first alone, so that the second, most of a large table, stay where they are."""
+    bloom, blocks = bloom_of(keys.select(F.xxhash64(*(key or on)).alias("key")), scratch, name)
+    maybe = bloom_test(bloom, F.xxhash64(*on), blocks)
+    return rows.where(maybe), rows.where(~maybe)
