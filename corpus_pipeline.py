@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliate.llm import bpe, decontaminate, language, line_dedup, near_dup
 from foliate.llm.common import Scratch, columns, table
+from foliate.llm.native import parted
 from foliate.llm.queries import HELD_OUT, tokenizer
 
 #: Least share of the probability that the predicted language must have.
@@ -18,6 +19,14 @@ def _row(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.struct(*columns(docs)).alias("row"))
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents whose id is not one of gone (column of). Only texts that may be among them are shuffled."""
+    scratch = Scratch(docs.sparkSession)
+    gone = scratch.cut(gone, "gone")
+    maybe, rest = parted(_row(docs), ["doc_id"], gone, scratch, "gone-bloom", ["of"])
+    return maybe.join(gone, F.col("doc_id").eqNullSafe(F.col("of")), "left_anti").union(rest).select("row.*")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language can be told. Null text, or text without a letter, goes."""
     model = language.train(docs.where(f"NOT ({HELD_OUT})"), tokenizer("piece_bpe_32k.model"))
@@ -37,15 +46,14 @@ def line_dedup_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group; rows that repeat its id stay with it."""
-    found = near_dup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("of")).distinct()
-    rows = _row(docs)
-    return rows.join(found, F.col("doc_id").eqNullSafe(F.col("of")), "left_semi").select("row.*")
+    found = near_dup.near_duplicates(docs).groupBy(F.col("doc_id").alias("of")).agg(F.bool_or("kept").alias("kept"))
+    return _without(docs, found.where("NOT kept").select("of"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a passage of the benchmark."""
     bad = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("of"))
-    return _row(docs).join(bad, F.col("doc_id").eqNullSafe(F.col("of")), "left_anti").select("row.*")
+    return _without(docs, bad)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,6 +175,34 @@ def test_lines_in_large_groups(spark, monkeypatch, large):
     same(out, brute.lines(rows), ["doc_id", "n_lines", "n_removed", "kept"])
 
 
+def test_lines_in_crowds(spark, monkeypatch):
+    """Near copies of one size, tried further before they are joined."""
+    monkeypatch.setattr(line_dedup, "COMMON", 8)
+    monkeypatch.setattr(line_dedup, "CROWD", 4)
+    base = [f"p{i}" for i in range(20)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for _ in range(R.randint(0, 5)):
+            own[R.randrange(20)] = f"z{R.randrange(400)}"
+        rows.append((i, " ".join(own)))
+    out = line_dedup.remove_lines(frame(spark, rows).select("doc_id", "text"))
+    same(out, brute.lines(rows), ["doc_id", "n_lines", "n_removed", "kept"])
+
+
+def test_texts_that_lose_nothing_are_not_shuffled(spark):
+    from foliate.llm.common import Scratch
+
+    rows = frame(spark, [*((i, f"a{i} b{i} c{i}\n d{i} e{i}") for i in range(50)), (50, "a1 b1 c1\nnew"), (None, "x")]).select("doc_id", "text")
+    gone = spark.createDataFrame([(50,), (None,)], "doc_id long")
+    for keys, want in ((gone, {50, None}), (gone.where("false"), set())):
+        maybe, rest = native.parted(rows, ["doc_id"], keys, Scratch(spark), "t")
+        there, left = [{r.doc_id for r in x.collect()} for x in (maybe, rest)]
+        assert want <= there and len(there) < 10 and there | left == {*range(51), None} and not there & left
+    for out in (line_dedup.remove_lines(rows), decontaminate.decontaminate(rows, frame(spark, [(1, "new")]).select(F.col("doc_id").alias("item_id"), "text"))):
+        assert "Union" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_line_words(spark):
     """Every kind of white space, and words that only look like it."""
     bodies = ["a b", " a\tb\x0b\x0cc\rd ", "", "  ", "a\u00a0b \u2003c", "é  É", "a\x1fb\x85c"]
