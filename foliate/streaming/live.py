@@ -5,9 +5,10 @@ from __future__ import annotations
 import heapq
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from decimal import Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -24,6 +25,13 @@ def event_frames(rows: DataFrame, event: str, payload: list[str]) -> DataFrame:
     return rows.select(F.concat(F.lit(f"event: {event}\ndata: "), F.to_json(F.struct(*payload)), F.lit("\n\n")).alias("frame"))
 
 
+def cost_of(tokens: Column, price: float = PRICE_PER_M) -> Column:
+    """The cost of tokens, to six places, halves upwards. The price is taken as the decimal that it is written as, or halves would go
+    either way."""
+    over, under = Decimal(str(price)).as_integer_ratio()
+    return F.floor(tokens * over / float(under) / 1e6 * 1e6 + 0.5) / 1e6
+
+
 def running_cost(events: DataFrame, limit: int = 10**9, price: float = PRICE_PER_M) -> DataFrame:
     """Running tokens and cost of each user over a stream of events, kept as state. warned marks what is past the limit.
 
@@ -35,10 +43,11 @@ def running_cost(events: DataFrame, limit: int = 10**9, price: float = PRICE_PER
         got = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         run = got["tokens"].cumsum() + total
         state.update((int(run.iloc[-1]),))
-        yield pd.DataFrame({"user_id": key[0], "event_id": got["event_id"], "ts": got["ts"], "tokens": got["tokens"], "running_tokens": run, "running_cost": (run * price / 1e6).round(6), "warned": run > limit})
+        yield pd.DataFrame({"user_id": key[0], "event_id": got["event_id"], "ts": got["ts"], "tokens": got["tokens"], "running_tokens": run, "warned": run > limit})
 
     priced = events.select("user_id", "event_id", "ts", tokens_of(events).alias("tokens"))
-    return priced.groupBy("user_id").applyInPandasWithState(step, RUNNING, "total long", "append", GroupStateTimeout.NoTimeout)
+    out = priced.groupBy("user_id").applyInPandasWithState(step, RUNNING.replace("running_cost double, ", ""), "total long", "append", GroupStateTimeout.NoTimeout)
+    return out.withColumn("running_cost", cost_of(F.col("running_tokens"), price)).select("user_id", "event_id", "ts", "tokens", "running_tokens", "running_cost", "warned")
 
 
 def tokens_of(events: DataFrame):
@@ -49,7 +58,7 @@ def windowed_cost(events: DataFrame, window: str = "1 hour", late: str = "2 hour
     """Calls, tokens and cost of each window and event type; a watermark closes windows and drops what is later than late."""
     priced = events.withColumn("tokens", tokens_of(events)).withWatermark("ts", late)
     agg = priced.groupBy(F.window("ts", window), "event_type").agg(F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"))
-    return agg.select(F.col("window.start").alias("start"), "event_type", "calls", "tokens", F.round(F.col("tokens") * price / 1e6, 6).alias("cost"))
+    return agg.select(F.col("window.start").alias("start"), "event_type", "calls", "tokens", cost_of(F.col("tokens"), price).alias("cost"))
 
 
 SEEN = "text string, steps int, ended boolean"

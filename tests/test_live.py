@@ -118,3 +118,10 @@ def test_null_passages_and_ties(spark, tmp_path):
     s.run()
     assert {(d, n): v for (d, n), v in s.rows().items()} == {(1, 1): (1, "step", 0), (1, 2): (2, "step", 3), (None, 1): (1, "step", 1)}
     assert s.store.read("steps").where(F.col("p4").isNotNull()).count() == 3
+
+
+def test_costs_round_as_their_sql(spark):
+    """Halves of a millionth, where binary prices and half-even rounding go astray."""
+    duckdb = pytest.importorskip("duckdb")
+    want = [r[0] for r in duckdb.sql("SELECT round(i::BIGINT * 0.042 / 1e6, 6) FROM range(1, 100000) t(i) ORDER BY i").fetchall()]
+    assert [r[0] for r in spark.range(1, 100000, 1, 1).select(live.cost_of(F.col("id"))).collect()] == want
