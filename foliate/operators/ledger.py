@@ -19,16 +19,17 @@ def _apart(df: DataFrame, *cols: str | Column) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*cols))))
 
 
-def entries(chunked: DataFrame, roster: list[dict], keep: tuple[str, ...] = ()) -> DataFrame:
+def entries(chunked: DataFrame, roster: list[dict], keep: tuple[str, ...] = (), mentions: bool = True) -> DataFrame:
     """An entry a chunk, from that chunk alone: event, evidence, suspicion of each entity, key sentence. Rows are independent,
-    so building a ledger is a parallel map; an anti-join with existing entries makes it resumable. chunked has sentences."""
+    so building a ledger is a parallel map; an anti-join with existing entries makes it resumable. chunked has sentences.
+    mentions: whether suspicion says if an entity is named, which notes do not show."""
     from .entities import names_pattern
 
     cast = [F.struct(F.lit(i).alias("ord"), F.lit(c["canonical"]).alias("canonical"), F.lit(names_pattern(c)).alias("pattern")) for i, c in enumerate(roster)]
-    return entries_by_cast(chunked.withColumn("cast", F.array(*cast)), keep)
+    return entries_by_cast(chunked.withColumn("cast", F.array(*cast)), keep, mentions)
 
 
-def entries_by_cast(chunked: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def entries_by_cast(chunked: DataFrame, keep: tuple[str, ...] = (), mentions: bool = True) -> DataFrame:
     """Entries with the entities of each book in column cast (ord, canonical, pattern ...) instead of one list for all. keep: columns of
     chunked that go along."""
     from ..plans.questions import COMPRESSION
@@ -39,12 +40,13 @@ def entries_by_cast(chunked: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
     ask = lambda qid, options: mock_distribution(F.col("_digest"), qid, options, digested=True)
     best = lambda d: let(d, lambda x: F.struct(winner(x).alias("value"), F.array_max(F.transform(x, lambda y: y["p4"])).alias("p4")))
     level = lambda c: F.array_max(F.transform(mock_distribution(F.concat_ws("|", F.col("_digest"), c["canonical"]), "suspicion", by["suspicion"]["levels"]), lambda y, i: F.struct(y["p4"].alias("p4"), (-i).alias("i"))))
+    named = lambda c: [F.rlike(F.col("text"), c["pattern"]).alias("mentioned")] if mentions else []
     chunked = _apart(chunked, *[F.col(c) for c in chunked.columns], digest(F.col("text")).alias("_digest"))
     out = _apart(chunked,
         "doc_id", "t", *keep, "chapter", "sentences",
         best(ask("concerns", F.concat(names, more("concerns")))).alias("concerns"), best(ask("secondary", F.concat(names, more("secondary")))).alias("secondary"), best(ask("event_type", by["event_type"]["options"])).alias("event_type"),
         *[F.get(ask(q, ["yes", "no"]), 0)["p4"].alias(q) for q in ("new_evidence", "time_reference", "location_stated")],
-        F.transform("cast", lambda c: F.struct(c["canonical"].alias("name"), c["ord"].alias("ord"), (1 - level(c)["i"]).alias("value"), F.rlike(F.col("text"), c["pattern"]).alias("mentioned"))).alias("suspicion"),
+        F.transform("cast", lambda c: F.struct(c["canonical"].alias("name"), c["ord"].alias("ord"), (1 - level(c)["i"]).alias("value"), *named(c))).alias("suspicion"),
         F.when(F.size("sentences") > 0, winner(ask("key_sentence", F.transform(F.sequence(F.lit(1), F.greatest(F.size("sentences"), F.lit(1))), lambda i: F.concat(F.lit("s"), i))))).alias("key_label"),
     )
     place = F.expr("CAST(substring(key_label, 2) AS INT)") - 1

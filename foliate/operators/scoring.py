@@ -21,14 +21,14 @@ UNIT = 10_000
 
 def shares(weights: Column) -> Column:
     """Weights as ten-thousandths that sum to UNIT; what rounding leaves goes to the greatest, the first among equals."""
-    total = F.aggregate(weights, F.lit(0).cast("long"), lambda a, w: a + w)
+    add = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
 
     def spread(floor: Column) -> Column:
-        rest = F.lit(UNIT) - F.aggregate(floor, F.lit(0).cast("long"), lambda a, x: a + x)
-        best = F.array_position(weights, F.array_max(weights)) - 1
-        return F.transform(floor, lambda x, i: x + F.when(i == best, rest).otherwise(F.lit(0).cast("long")))
+        # What all elements need is made once, outside of the function over elements.
+        best = F.struct((F.array_position(weights, F.array_max(weights)) - 1).alias("at"), (F.lit(UNIT) - add(floor)).alias("rest"))
+        return let(best, lambda b: F.transform(floor, lambda x, i: x + F.when(i == b["at"], b["rest"]).otherwise(F.lit(0).cast("long"))))
 
-    return let(F.transform(weights, lambda w: F.call_function("div", w * UNIT, total)), spread)
+    return let(let(add(weights), lambda total: F.transform(weights, lambda w: F.call_function("div", w * UNIT, total))), spread)
 
 
 def digest(state: Column) -> Column:

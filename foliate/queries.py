@@ -581,7 +581,7 @@ FROM no JOIN cv ON cv.doc_id = no.doc_id AND cv.t = no.t LEFT JOIN ln ON ln.doc_
 
 def _entries(read, keep: tuple[str, ...] = ()) -> DataFrame:
     c = chunking.with_sentences(chunked(read)).withColumn("chapter", F.concat(F.lit("part "), F.call_function("div", F.col("t") - 1, F.lit(4)).cast("string")))
-    return ledger.entries(c, ROSTER, keep)
+    return ledger.entries(c, ROSTER, keep, mentions=False)
 
 
 def _noted(read) -> DataFrame:
