@@ -26,6 +26,8 @@ QUOTES_FROM, QUOTES_TO = "‘’“”–—", "''\"\"--"
 
 CLOSERS = "[\"'”’)\\]]*"
 SENTENCE_END = rf"[.!?]{CLOSERS}$"
+#: What a word that ends a sentence may end in: a terminator, a closer, or a line end that $ looks past. Spares other words the pattern.
+LAST = ".!?\"'”’)]\u0085\u2028\u2029"
 ABBREVIATED = rf"(?:^|[^A-Za-z])(?:(?i:{'|'.join(ABBREVIATIONS)})|[A-Z])\.{CLOSERS}$"
 SPACES = r"[ \t\n\x0B\f\r ]+"
 
@@ -86,7 +88,7 @@ def sentence_texts(text: Column) -> Column:
         n = F.size(ws)
         ends = F.filter(
             F.sequence(F.lit(0), n - 1),
-            lambda i: (i == n - 1) | (F.rlike(F.get(ws, i), F.lit(SENTENCE_END)) & ~F.rlike(F.get(ws, i + 1), F.lit(r"^\p{Ll}")) & ~F.rlike(F.get(ws, i), F.lit(ABBREVIATED))),
+            lambda i: (i == n - 1) | (F.contains(F.lit(LAST), F.substring(F.get(ws, i), -1, 1)) & F.rlike(F.get(ws, i), F.lit(SENTENCE_END)) & ~F.rlike(F.get(ws, i + 1), F.lit(r"^\p{Ll}")) & ~F.rlike(F.get(ws, i), F.lit(ABBREVIATED))),
         )
         first = lambda es, j: F.when(j == 0, 0).otherwise(F.get(es, j - 1) + 1)
         return let(ends, lambda es: F.transform(es, lambda e, j: F.array_join(F.slice(ws, first(es, j) + 1, e - first(es, j) + 1), " ")))
@@ -118,9 +120,9 @@ def alias_pattern(names: list[str]) -> str:
 
 def show_probability(p: Column) -> Column:
     """Two decimals without the leading zero, ? for null, 1.0 from 1 on."""
-    return F.when(p.isNull(), "?").when(p >= 1, "1.0").otherwise(F.regexp_replace(F.call_function("format_number", p, F.lit("0.00")), "^0+", ""))
+    return F.when(p.isNull(), "?").when(p >= 1, "1.0").otherwise(F.ltrim(F.call_function("format_number", p, F.lit("0.00")), F.lit("0")))
 
 
 def pseudo_random(key: Column) -> Column:
     """24 bits of a hash of key, the same in any engine with SHA-256."""
-    return F.shiftright(F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long"), 8)
+    return F.conv(F.substring(F.sha2(key, 256), 1, 6), 16, 10).cast("long")

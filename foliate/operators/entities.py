@@ -129,6 +129,10 @@ def over_merges(docs: DataFrame, roster: list[dict], separator: str = "\n") -> D
                 pattern = alias_pattern([n])
                 used = used + F.rlike(left, F.lit(pattern)).cast("int")
                 left = F.regexp_replace(F.regexp_replace(left, pattern, " # "), pattern, " # ")
+            # A name is found nowhere else than in the sentence, so few need the patterns. One with the mark, or a space at its end, might be.
+            if all(n == n.strip() and "#" not in n for n in names):
+                some = sum((F.contains("s", F.lit(n)).cast("int") for n in names), F.lit(0)) >= 2
+                used = F.when(some, used).otherwise(0)
             parts.append(F.struct(F.lit(c["canonical"]).alias("canonical"), used.alias("used")))
-    hits = each.select("doc_id", "at", F.col("s").alias("sentence"), F.inline(F.array(*parts))).where("used >= 2")
+    hits = each.select("doc_id", "at", F.col("s").alias("sentence"), F.explode(F.filter(F.array(*parts), lambda x: x["used"] >= 2)["canonical"]).alias("canonical"))
     return hits.groupBy("doc_id", "canonical").agg(F.count(F.lit(1)).alias("n_sentences"), F.min_by("sentence", "at").alias("sample"))
