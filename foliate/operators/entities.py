@@ -63,8 +63,13 @@ def name_counts(docs: DataFrame, key: str, separator: str = "\n") -> DataFrame:
 
 def heuristic_roster(docs: DataFrame, key: str = "doc_id", most: int = 12, least: int = 3, separator: str = "\n") -> DataFrame:
     """The most frequent names of each key; among equals the one that comes first."""
+    return most_frequent(name_counts(docs, key, separator), key, most, least)
+
+
+def most_frequent(counts: DataFrame, key: str, most: int, least: int) -> DataFrame:
+    """heuristic_roster of name_counts."""
     w = Window.partitionBy(key).orderBy(F.desc("n"), "first")
-    return name_counts(docs, key, separator).where(F.col("n") >= least).withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= most).select(key, "ord", F.col("word").alias("canonical"), "n")
+    return counts.where(F.col("n") >= least).withColumn("ord", F.row_number().over(w)).where(F.col("ord") <= most).select(key, "ord", F.col("word").alias("canonical"), "n")
 
 
 def missed_names(docs: DataFrame, roster: list[dict], key: str, least: int = 8, most: int = 15) -> DataFrame:
@@ -84,12 +89,13 @@ def pattern_of(names: Column, bounds: tuple[str, str] = (r"(?:^|[^\p{L}\p{N}_])"
     return F.concat(F.lit(bounds[0] + "(?:"), F.array_join(escaped, "|"), F.lit(")" + bounds[1]))
 
 
-def roster_warnings(docs: DataFrame, roster: DataFrame, separator: str = "\n", least: int = 8, most: int = 15) -> DataFrame:
+def roster_warnings(docs: DataFrame, roster: DataFrame, separator: str = "\n", least: int = 8, most: int = 15, counts: DataFrame | None = None) -> DataFrame:
     """doc_id, kind, subject, n, detail: all that may be wrong with the rosters of many documents; nothing raises.
 
     duplicate_alias: a name (lower case) of n entities, which detail lists. over_merge: n sentences that use two names of an entity,
     the longest match winning, and the first of them. missed_name: one of the most frequent names that are in no alias, found n times.
     docs: doc_id, text; roster: doc_id, canonical, names. Documents without a roster have only missed names; null names are none.
+    counts: doc_id, word, n of name_counts, where they are known.
     """
     named = roster.select("doc_id", "canonical", F.filter("names", lambda n: n.isNotNull() & (n != "")).alias("names"))
     owned = named.select("doc_id", "canonical", F.explode("names").alias("name"))
@@ -105,7 +111,7 @@ def roster_warnings(docs: DataFrame, roster: DataFrame, separator: str = "\n", l
 
     known = owned.select("doc_id", F.explode(F.split("name", r"[^\p{L}\p{N}_]+")).alias("word")).distinct()
     w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "word")
-    missed = name_counts(docs, "doc_id", separator).where(F.col("n") >= least).join(known, ["doc_id", "word"], "left_anti").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
+    missed = (name_counts(docs, "doc_id", separator) if counts is None else counts).where(F.col("n") >= least).join(known, ["doc_id", "word"], "left_anti").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
     columns = ["doc_id", "kind", "subject", "n", "detail"]
     return doubled.union(merged.withColumn("kind", F.lit("over_merge")).select(columns)).union(missed.select("doc_id", F.lit("missed_name"), "word", "n", F.lit(None).cast("string")))
 

@@ -207,9 +207,12 @@ UNION ALL SELECT source, 'missed_name', w, n, NULL FROM m WHERE rank <= 15""")
 def roster_warnings(read, spark):
     """All checks of a roster over the documents of every source: its three most frequent names, each also called by the next."""
     docs = read("documents").where("source IS NOT NULL")
-    names = entities.heuristic_roster(docs, "source", most=3).withColumnRenamed("source", "doc_id")
+    counts, path = entities.name_counts(docs, "source").where("n >= 3").withColumnRenamed("source", "doc_id"), f"{scratch_dir(spark)}/names-{uuid.uuid4().hex}"
+    counts.write.parquet(path)  # rosters and missed names both read them: texts are split for names once
+    counts = spark.read.schema(counts.schema).parquet(path)
+    names = entities.most_frequent(counts, "doc_id", 3, 3)
     roster = names.withColumn("alias", F.lead("canonical").over(Window.partitionBy("doc_id").orderBy("ord"))).select("doc_id", "canonical", F.array("canonical", "alias").alias("names"))
-    return entities.roster_warnings(docs.select(F.col("source").alias("doc_id"), "text"), roster, least=3)
+    return entities.roster_warnings(docs.select(F.col("source").alias("doc_id"), "text"), roster, least=3, counts=counts)
 
 
 @query("WITH " + NAMES + """, c AS (SELECT doc_id, w, count(*) AS n, min((p, s, i)) AS f FROM nm GROUP BY doc_id, w HAVING count(*) >= 3),

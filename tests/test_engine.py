@@ -425,3 +425,36 @@ def test_compatibility_names_each_field_that_differs(spark):
     want = spark.createDataFrame([(1, "2", "r"), (2, "2", "r"), (3, "2", "r"), (4, None, "r")], schema)
     found = results.compatibility(have, want, ["version", "roster"]).collect()
     assert {r["doc_id"]: r["problems"] for r in found} == {1: [], 2: ["version"], 3: ["roster"], 4: ["roster"]}
+
+
+def test_over_merges_spare_most_sentences_the_patterns(spark):
+    docs = spark.createDataFrame([(1, "I saw Ann Lee and Ann. I saw Ann Lee.\nBo and C# met. Bob was out."), (2, "Bo, and Ann.")], "doc_id long, text string")
+    cast = [{"canonical": "Ann", "aliases": ["Ann Lee"]}, {"canonical": "Bo", "aliases": ["C#"]}]
+    out = entities.over_merges(docs, cast)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "Ann", 1, "I saw Ann Lee and Ann."), (1, "Bo", 1, "Bo and C# met.")]
+    assert "contains" in entities.over_merges(docs, cast[:1])._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_shares_of_many_options_take_linear_time(spark):
+    import time
+
+    from foliate.operators import scoring
+
+    began = time.perf_counter()
+    xs = scoring.shares(F.transform(F.sequence(F.lit(1), F.lit(20000) + F.col("id").cast("int")), lambda i: i.cast("long")))
+    got = spark.range(1).select(xs.alias("x")).first().x
+    assert len(got) == 20000 and sum(got) == 10_000 and time.perf_counter() - began < 10
+
+
+def test_warnings_from_counts_that_are_known(spark):
+    docs = spark.createDataFrame([(1, "We met Ann. We met Ann. We met Cyr.\nSo Ann left. We saw Cyr, and Cyr.")], "doc_id long, text string")
+    roster = spark.createDataFrame([(1, "Ann", ["Ann"])], "doc_id long, canonical string, names array<string>")
+    known = entities.name_counts(docs, "doc_id")
+    want = [tuple(r) for r in entities.roster_warnings(docs, roster, least=3).collect()]
+    assert [tuple(r) for r in entities.roster_warnings(docs, roster, least=3, counts=known).collect()] == want == [(1, "missed_name", "Cyr", 3, None)]
+
+
+def test_line_ends_within_words_still_end_sentences(spark):
+    text = spark.createDataFrame([("It ended.\u0085 Then more.  And (so!) Bo. \"Yes.\" No",)], "t string")
+    ends = text.select(T.sentence_texts(F.col("t"))).first()[0]
+    assert ends == ["It ended.\u0085", "Then more. ", "And (so!)", "Bo.", "\"Yes.\"", "No"]
