@@ -35,7 +35,7 @@ LARGE, LONG = 16384, 96
 #: Classes of one size that share a key, itself of more than COMMON, beyond which they are tried further, and the tries.
 COMMON, CROWD, TRIES = 1024, 256, 12
 #: Parts, by word, in which entries are joined.
-WAVES = 3
+WAVES = 2
 NOTHING = -(1 << 62)
 BLANKS = "\t\x0b\x0c\r"
 PLACE = ["id", "line"]
@@ -54,7 +54,7 @@ def _spaced(text: Column) -> Column:
 
 def lines(docs: DataFrame) -> DataFrame:
     """id, line (number from 0), body of each line of id, text. Other ASCII white space becomes spaces."""
-    return docs.select("id", F.posexplode(F.split(_spaced(F.col("text")), "\n")).alias("line", "body"))
+    return docs.select("id", _spaced(F.col("text")).alias("text")).select("id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
 
 
 def _shift(way: str, value: Column | int, by: Column | int) -> Column:
@@ -63,11 +63,14 @@ def _shift(way: str, value: Column | int, by: Column | int) -> Column:
 
 
 def word_ranks(source: DataFrame) -> Column:
-    """Array by slot: how common its words are, as 500 times the logarithm of their count over all texts (under 2^15)."""
+    """Array by slot: how common its words are, as 500 times the logarithm of their count over all texts (under 2^15), above the
+    low bits, where it is exclusive-ored with the slot."""
     slot = _shift("shiftrightunsigned", F.xxhash64("w"), 64 - SLOT_BITS).cast("int").alias("slot")
-    counts = source.select(F.explode(words(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")))).alias("w")).groupBy(slot).agg(F.count(F.lit(1)).alias("n"))
+    spaced = source.select(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")).alias("text"))
+    counts = spaced.select(F.explode(words(F.col("text"))).alias("w")).groupBy(slot).agg(F.count(F.lit(1)).alias("n"))
     found = {r["slot"]: round(500 * math.log2(r["n"] + 1)) for r in counts.collect()}  # 2^SLOT_BITS rows at most
-    return F.split(F.lit(",".join(str(found.get(k, 0)) for k in range(1 << SLOT_BITS))), ",").cast("array<smallint>")
+    high = [found.get(k, 0) ^ k for k in range(1 << SLOT_BITS)]
+    return F.split(F.lit(",".join(str((x - (x >> 15 << 16)) << KEY_BITS) for x in high)), ",").cast("array<bigint>")
 
 
 def word_set(line: Column) -> Column:
@@ -76,10 +79,11 @@ def word_set(line: Column) -> Column:
 
 
 def word_keys(line: Column, ranks: Column) -> Column:
-    """Sorted distinct keys, rare words first: rarity above the low bits of the hash."""
-    zero = F.lit(0).cast("smallint")  # no nulls: such arrays are sorted fast
-    key = lambda h: _shift("shiftleft", F.coalesce(F.get(ranks, _shift("shiftrightunsigned", h, 64 - SLOT_BITS).cast("int")), zero), KEY_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
-    return F.sort_array(F.transform(word_set(line), key))
+    """Sorted distinct keys, rare words first: rarity above the low bits of the hash, as ranks puts it in place of the slot."""
+    zero = F.lit(0).cast("long")  # no nulls: such arrays are sorted fast
+    slot = lambda w: _shift("shiftrightunsigned", F.xxhash64(w), 64 - SLOT_BITS).cast("int")
+    key = lambda w: F.xxhash64(w).bitwiseXOR(F.coalesce(F.get(ranks, slot(w)), zero))
+    return F.sort_array(F.array_distinct(F.array_remove(F.transform(words(line), key), key(F.lit("")))))
 
 
 def _ceil(a: Column, b: int) -> Column:
@@ -94,15 +98,24 @@ def index_prefix(n: Column, percent: int) -> Column:
     return n - _ceil(n * 2 * percent, 100 + percent) + 1
 
 
-def least_overlap(n: Column, m: Column, percent: int) -> Column:
-    """Words that sets of n and m words must share to reach the similarity."""
-    return _ceil((n + m) * percent, 100 + percent)
+def _times(value: Column, by: int) -> Column:
+    return value * F.lit(by).cast("long")
+
+
+def enough(shared: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of n and m words that share so many reach the similarity; products alone, as it is asked of every pair of entries."""
+    return _times(shared, 100 + percent) >= _times(n + m, percent)
+
+
+def not_too_far(apart: Column, n: Column, m: Column, percent: int) -> Column:
+    """The same of sets that differ in so many words: of n + m less those, half are shared."""
+    return _times(apart, 100 + percent) <= _times(n + m, 100 - percent)
 
 
 def _parity(keys: Column, half: bool) -> Column:
-    """64 parity bits over the keys, or those whose lowest bit is 1: each flips the bit that its next 6 bits name."""
-    at = lambda x: _shift("shiftrightunsigned", x, 1).bitwiseAND(F.lit(63))
-    flip = lambda x: _shift("shiftleft", x.bitwiseAND(F.lit(1)) if half else 1, at(x))
+    """64 parity bits over the keys, or those whose seventh bit is 1: each flips the bit that its lowest 6 bits name."""
+    one = lambda x: _shift("shiftrightunsigned", x, 6).bitwiseAND(F.lit(1)) if half else 1
+    flip = lambda x: _shift("shiftleft", one(x), x.bitwiseAND(F.lit(63)))
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(flip(x)))
 
 
@@ -112,13 +125,25 @@ def _near(percent: int) -> Column:
     fold = lambda x, y: F.bit_count(c(f"a_{x}").bitwiseXOR(c(y)))
     whole = F.bit_count(c("a_s1").bitwiseXOR(c("a_s2")).bitwiseXOR(c("s1")).bitwiseXOR(c("s2")))
     apart = F.when((c("n") > LONG) & (c("a_n") > LONG), fold("s1", "s1") + fold("s2", "s2")).otherwise(whole)
-    return (c("n") * percent <= c("a_n") * 100) & (c("a_n") * percent <= c("n") * 100) & (apart <= c("a_n") + c("n") - least_overlap(c("a_n"), c("n"), percent) * 2)
+    return (c("n") * percent <= c("a_n") * 100) & (c("a_n") * percent <= c("n") * 100) & not_too_far(apart, c("a_n"), c("n"), percent)
+
+
+def _place_number(line: Column | int) -> Column:
+    """id and line as one number in the order of places."""
+    line = line if isinstance(line, Column) else F.lit(line)
+    return F.col("id").cast("decimal(19)") * F.lit(1 << 31).cast("decimal(10)") + line
+
+
+def first_places(marked: DataFrame, keys: list[str]) -> DataFrame:
+    """The first place of each group. It is the least of one number: with least structs, Spark would sort all rows by their keys."""
+    one = marked.groupBy(*keys).agg(F.min("id").alias("id"), F.min(_place_number(F.col("line"))).alias("at"))
+    return one.select("id", (F.col("at") - _place_number(0)).cast("int").alias("line"), *keys)
 
 
 def classes_of(source: DataFrame, percent: int, smallest: int) -> DataFrame:
     """One row for each distinct set of words: its first place, size, signature and extended prefix (none if under smallest)."""
     ranks = word_ranks(source)
-    filled = lines(source).where(F.btrim("body", F.lit(" ")) != "")
+    filled = lines(source).where(F.ltrim("body", F.lit(" ")) != "")
     keyed = filled.select(*PLACE, word_keys(F.col("body"), ranks).alias("ks")).withColumn("n", F.size("ks"))
     large, zero = F.col("n") >= smallest, F.lit(0).cast("long")
     marked = keyed.select(
@@ -126,8 +151,8 @@ def classes_of(source: DataFrame, percent: int, smallest: int) -> DataFrame:
         F.when(large, _parity(F.col("ks"), False)).otherwise(zero).alias("s1"), F.when(F.col("n") > LONG, _parity(F.col("ks"), True)).otherwise(zero).alias("s2"),
         F.when(large, F.slice("ks", 1, probe_prefix(F.col("n"), percent) + 1)).otherwise(F.array().cast("array<bigint>")).alias("prefix"),
     )
-    one = marked.groupBy("c1", "c2").agg(F.min(F.struct(*PLACE)).alias("at"), *[F.first(c).alias(c) for c in ("n", "s1", "s2", "prefix")])
-    return one.select("at.*", "n", F.col("s1").bitwiseXOR(F.col("s2")).alias("s1"), "s2", "prefix")
+    one = first_places(marked, ["c1", "c2", "n", "s1", "s2", "prefix"])  # what else a class has follows from its words
+    return one.select(*PLACE, "n", F.col("s1").bitwiseXOR(F.col("s2")).alias("s1"), "s2", "prefix")
 
 
 def _tries(lines_: DataFrame, hashes: list[Column], percent: int) -> DataFrame:
@@ -160,9 +185,9 @@ def _pairs(index: DataFrame, probe: DataFrame, percent: int, shared: int) -> Dat
     steps = F.when(c("pos") < index_prefix(c("n"), percent) + (shared - 1), F.array("step", c("step") + 1)).otherwise(F.array().cast("array<int>"))
     a = index.withColumn("step", F.explode(steps)).withColumnsRenamed({x: f"a_{x}" for x in ENTRY})
     earlier, later = F.struct("a_id", "a_line") < F.struct(*PLACE), F.struct(*PLACE) < F.struct("a_id", "a_line")
-    fits = F.least(c("a_n") - c("a_pos"), c("n") - c("pos")) + (shared - 1) >= least_overlap(c("a_n"), c("n"), percent)
+    fits = enough(F.least(c("a_n") - c("a_pos"), c("n") - c("pos")) + (shared - 1), c("a_n"), c("n"), percent)
     wanted = (earlier & c("open")) | ((c("a_n") < c("n")) & later & c("a_open"))
-    found = a.join(probe, (c("a_tok") == c("tok")) & (c("a_step") == c("step")) & (c("a_n") <= c("n")) & _near(percent) & fits & wanted)
+    found = a.join(probe, (c("a_tok") == c("tok")) & (c("a_step") == c("step")) & (c("a_n") <= c("n")) & fits & _near(percent) & wanted)
     first = lambda x, y: F.when(earlier, c(x)).otherwise(c(y))
     return found.select(first("id", "a_id").alias("id"), first("line", "a_line").alias("line"), first("a_id", "id").alias("a_id"), first("a_line", "line").alias("a_line"))
 
@@ -283,9 +308,9 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     scratch, places = Scratch(docs.sparkSession), line_duplicates(docs, id_col, text_col, percent)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NOTHING)).alias("of"), F.coalesce(F.col(text_col), F.lit("")).alias("body"), F.struct(*columns(docs)).alias("row"))
-    blank = lambda x: F.btrim(x, F.lit(" " + BLANKS)) == ""
-    filled = F.size(F.filter(F.split("body", "\n"), lambda x: ~blank(x)))
-    counts = rows.groupBy("of").agg(F.count(F.lit(1)).alias("rows"), F.max(filled).alias("n")).join(places.groupBy(F.col("id").alias("of")).agg(F.count(F.lit(1)).alias("k")), "of", "left")
+    blank = lambda x: F.ltrim(x, F.lit(" " + BLANKS)) == ""
+    each = rows.select("of", F.posexplode(F.split("body", "\n")).alias("line", "body"))
+    counts = each.groupBy("of").agg(F.count_if(F.col("line") == 0).alias("rows"), F.count_if(~blank(F.col("body"))).alias("n")).join(places.groupBy(F.col("id").alias("of")).agg(F.count(F.lit(1)).alias("k")), "of", "left")
     touched = scratch.cut(counts.where((F.col("rows") > 1) | (F.col("n") != F.coalesce("k", F.lit(0)))).select("of"), "touched")
     # Texts that lose no line are not shuffled.
     maybe, whole = parted(rows, ["of"], touched, scratch, "touched-bloom")

@@ -190,6 +190,26 @@ def test_lines_in_crowds(spark, monkeypatch):
     same(out, brute.lines(rows), ["doc_id", "n_lines", "n_removed", "kept"])
 
 
+def test_classes_are_hashed_not_sorted(spark):
+    """First places of any ids, and of lines of one id; rows are not sorted for them."""
+    rows = [(i, n, k) for k in "ab" for i in (-(1 << 63), -5, 0, 7, (1 << 63) - 1) for n in (0, 3, (1 << 31) - 1)]
+    for least in range(0, len(rows) // 2, 4):
+        own = [r for r in rows if r[0] >= rows[least][0] and r[:2] >= rows[least][:2]]
+        found = line_dedup.first_places(spark.createDataFrame(own[::-1], "id long, line int, key string").withColumn("key", F.array("key")), ["key"])
+        assert {(r.id, r.line, r.key[0]) for r in found.collect()} == {(*rows[least][:2], k) for k in "ab"}
+    classes = line_dedup.classes_of(frame(spark, [(1, "a b c d e f")]).select(F.col("doc_id").alias("id"), "text"), 80, 4)
+    assert "SortAggregate" not in classes._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_enough(spark):
+    """Products say what rounded quotients say, for sizes whose products exceed an int too."""
+    got = spark.range(1, 60).select(F.col("id").cast("int").alias("n")).crossJoin(spark.range(1, 60).select(F.col("id").cast("int").alias("m"))).crossJoin(spark.range(60).select(F.col("id").cast("int").alias("k")))
+    got = got.where("k <= least(n, m)").select("n", "m", "k", line_dedup.enough(F.col("k"), F.col("n"), F.col("m"), 80).alias("a"), line_dedup.not_too_far(F.col("n") + F.col("m") - F.col("k") * 2, F.col("n"), F.col("m"), 80).alias("b"))
+    assert got.where("a != b OR a != (100 * k >= 80 * (n + m - k))").count() == 0
+    big = spark.createDataFrame([(1 << 29, 1 << 29)], "n int, m int")
+    assert big.select(line_dedup.enough(F.col("n"), F.col("n"), F.col("m"), 80)).first()[0]
+
+
 def test_texts_that_lose_nothing_are_not_shuffled(spark):
     from foliate.llm.common import Scratch
 
