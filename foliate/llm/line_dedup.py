@@ -7,7 +7,7 @@ first n - ceil(2t / (1 + t) n) + 1 words of the shorter; those prefixes are join
 than similar pairs leaves it; those are verified on full sets. A line with an earlier partner goes.
 
 Lines of one set are one class, represented by its first line. Before the join, lines are tried against the first line that
-has the least or greatest hash of their prefix, which finds most near copies; only lines still open are sought earlier partners, so a
+has the least or greatest hash of their prefix, if over GROUP lines have it, which finds most near copies of large groups; only lines still open are sought earlier partners, so a
 group of n near copies gives about n pairs; lines of a size and word that over CROWD classes have are tried further. Prefixes are
 joined in WAVES by word, so that only a share of them is on disk at once. A word that over LARGE classes have in their prefixes is
 refined: similar lines also share a second word of prefixes that are one word longer, so such entries are joined by both words.
@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, Scratch, broadcast_if_small, columns, conf
+from .common import BROADCAST_ROWS, Scratch, broadcast_if_small, columns, conf, partitions
 from .native import bloom_of, bloom_test, let, parted
 
 PERCENT = 80
@@ -34,6 +34,10 @@ KEY_BITS = 48
 LARGE, LONG = 16384, 96
 #: Classes of one size that share a key, itself of more than COMMON, beyond which they are tried further, and the tries.
 COMMON, CROWD, TRIES = 1024, 256, 12
+#: Lines that share the least or greatest hash of their prefix beyond which they are tried: fewer give few pairs.
+GROUP = 4
+#: Entries of a partition, about, that are joined by hash.
+HASHED = 250_000
 #: Parts, by word, in which entries are joined.
 WAVES = 2
 NOTHING = -(1 << 62)
@@ -81,9 +85,10 @@ def word_set(line: Column) -> Column:
 def word_keys(line: Column, ranks: Column) -> Column:
     """Sorted distinct keys, rare words first: rarity above the low bits of the hash, as ranks puts it in place of the slot."""
     zero = F.lit(0).cast("long")  # no nulls: such arrays are sorted fast
-    slot = lambda w: _shift("shiftrightunsigned", F.xxhash64(w), 64 - SLOT_BITS).cast("int")
-    key = lambda w: F.xxhash64(w).bitwiseXOR(F.coalesce(F.get(ranks, slot(w)), zero))
-    return F.sort_array(F.array_distinct(F.array_remove(F.transform(words(line), key), key(F.lit("")))))
+    slot = lambda h: _shift("shiftrightunsigned", h, 64 - SLOT_BITS).cast("int")
+    key = lambda h: h.bitwiseXOR(F.coalesce(F.get(ranks, slot(h)), zero))
+    hashes = F.transform(words(line), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.array_remove(F.transform(hashes, key), key(F.xxhash64(F.lit(""))))))
 
 
 def _ceil(a: Column, b: int) -> Column:
@@ -152,22 +157,36 @@ def classes_of(source: DataFrame, percent: int, smallest: int) -> DataFrame:
         F.when(large, F.slice("ks", 1, probe_prefix(F.col("n"), percent) + 1)).otherwise(F.array().cast("array<bigint>")).alias("prefix"),
     )
     one = first_places(marked, ["c1", "c2", "n", "s1", "s2", "prefix"])  # what else a class has follows from its words
-    return one.select(*PLACE, "n", F.col("s1").bitwiseXOR(F.col("s2")).alias("s1"), "s2", "prefix")
+    hashes = F.transform("prefix", lambda x: x.bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
+    mixed = one.select(*PLACE, "n", F.col("s1").bitwiseXOR(F.col("s2")).alias("s1"), "s2", "prefix", hashes.alias("hashes"))
+    return mixed.select(*PLACE, "n", "s1", "s2", F.array_min("hashes").alias("least"), F.array_max("hashes").alias("greatest"), "prefix")
+
+
+def _before(x: str, y: str) -> Column:
+    """Whether one place is earlier than another, by prefixes of their columns; cheaper in a join than structs are."""
+    c = F.col
+    return (c(f"{x}id") < c(f"{y}id")) | ((c(f"{x}id") == c(f"{y}id")) & (c(f"{x}line") < c(f"{y}line")))
 
 
-def _tries(lines_: DataFrame, hashes: list[Column], percent: int) -> DataFrame:
-    """Each open line with the first line that has the same of one of hashes, where they can be similar."""
-    rows = lines_.select(*PLACE, "n", "s1", "s2", "open", F.explode(F.array(*hashes)).alias("key"))
+def _tries(lines_: DataFrame, hashes: list[Column | str], percent: int) -> DataFrame:
+    """Each open line with the first line that has the same of one of hashes (null: none), where they can be similar."""
+    rows = lines_.select(*PLACE, "n", "s1", "s2", "open", F.explode(F.array(*hashes)).alias("key")).where("key IS NOT NULL")
     lead = rows.groupBy("key").agg(F.min(F.struct(*PLACE, "n", "s1", "s2")).alias("a"), F.count(F.lit(1)).alias("many")).where("many > 1")
     led = rows.where("open").join(lead, "key").select("*", *[F.col(f"a.{c}").alias(f"a_{c}") for c in (*PLACE, "n", "s1", "s2")])
-    return led.where((F.struct("a_id", "a_line") < F.struct(*PLACE)) & _near(percent)).select(*PLACE, "a_id", "a_line").distinct()
+    return led.where(_before("a_", "") & _near(percent)).select(*PLACE, "a_id", "a_line").distinct()
 
 
-def _first_tries(classes: DataFrame, percent: int) -> DataFrame:
-    """Every line by the least and greatest hash of its prefix."""
-    hashes = F.transform("prefix", lambda x: x.bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
-    rows = classes.where("size(prefix) > 0").withColumn("hashes", hashes).withColumn("open", F.lit(True))
-    return _tries(rows, [F.array_min("hashes"), F.array_max("hashes")], percent)
+def _first_tries(classes: DataFrame, scratch: Scratch, percent: int) -> DataFrame | None:
+    """Lines by the least and greatest hash of their prefix, of those hashes that more than GROUP lines have; none if there are none."""
+    both = ["least", "greatest"]
+    shared = classes.where("least IS NOT NULL").select(F.explode(F.array(*both)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("many"))
+    shared = scratch.cut(shared.where(F.col("many") > GROUP).select("key"), "groups")
+    if not shared.limit(1).count():
+        return None
+    bloom, blocks = bloom_of(shared, scratch, "groups-bloom")
+    own = lambda x: F.when(bloom_test(bloom, F.col(x), blocks), F.col(x))
+    rows = classes.where("least IS NOT NULL").select(*PLACE, "n", "s1", "s2", F.lit(True).alias("open"), *[own(x).alias(x) for x in both])
+    return _tries(rows.where("least IS NOT NULL OR greatest IS NOT NULL"), both, percent)
 
 
 def _more_tries(lines_: DataFrame, percent: int) -> DataFrame:
@@ -176,15 +195,17 @@ def _more_tries(lines_: DataFrame, percent: int) -> DataFrame:
     return _tries(lines_, [F.xxhash64(F.lit(k), mixed(2 * k), mixed(2 * k + 1)) if k % 2 else mixed(2 * k) for k in range(TRIES)], percent)
 
 
-def _pairs(index: DataFrame, probe: DataFrame, percent: int, shared: int) -> DataFrame:
+def _pairs(index: DataFrame, probe: DataFrame, percent: int, shared: int, hashed: bool = False) -> DataFrame:
     """Places of later open lines with those of earlier ones, from entries whose shared-th common word, at pos, made the key.
+    hashed: a partition's entries fit in memory.
 
     The step of the lengths' logarithm is part of the key: lines of similar length are in one step or in neighbouring ones.
     """
     c = F.col
     steps = F.when(c("pos") < index_prefix(c("n"), percent) + (shared - 1), F.array("step", c("step") + 1)).otherwise(F.array().cast("array<int>"))
     a = index.withColumn("step", F.explode(steps)).withColumnsRenamed({x: f"a_{x}" for x in ENTRY})
-    earlier, later = F.struct("a_id", "a_line") < F.struct(*PLACE), F.struct(*PLACE) < F.struct("a_id", "a_line")
+    earlier, later = _before("a_", ""), _before("", "a_")
+    a = a.hint("shuffle_hash") if hashed else a
     fits = enough(F.least(c("a_n") - c("a_pos"), c("n") - c("pos")) + (shared - 1), c("a_n"), c("n"), percent)
     wanted = (earlier & c("open")) | ((c("a_n") < c("n")) & later & c("a_open"))
     found = a.join(probe, (c("a_tok") == c("tok")) & (c("a_step") == c("step")) & (c("a_n") <= c("n")) & fits & _near(percent) & wanted)
@@ -206,15 +227,17 @@ def _entries(classes: DataFrame, known: DataFrame, scratch: Scratch, name: str,
     return marked.select(*PLACE, "n", "s1", "s2", step, "open", "prefix", F.posexplode(F.slice("prefix", 1, probe_prefix(F.col("n"), percent))).alias("pos", "tok"))
 
 
-def _hot_keys(entries: DataFrame, least: int, scratch: Scratch, name: str) -> DataFrame | None:
-    """Keys of more than least entries, if any. Only keys in slots of more than least entries are counted one by one."""
+def _hot_keys(entries: DataFrame, least: int, scratch: Scratch, name: str) -> tuple[DataFrame | None, int]:
+    """Keys of more than least entries, if any, and how many entries there are. Only keys in slots of more than least entries are counted one by one."""
     slot = F.col("tok").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int").alias("slot")
-    slots = scratch.cut(entries.groupBy(slot).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > least).select("slot"), f"{name}-slots")  # 2^SLOT_BITS rows at most
+    slots = scratch.cut(entries.groupBy(slot).agg(F.count(F.lit(1)).alias("size")), f"{name}-slots")  # 2^SLOT_BITS rows at most
+    many = slots.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    slots = slots.where(F.col("size") > least).select("slot")
     if not slots.limit(1).count():
-        return None
+        return None, many
     keys = entries.select("tok", slot).join(F.broadcast(slots), "slot", "left_semi").groupBy("tok").agg(F.count(F.lit(1)).alias("size"))
     keys = scratch.cut(keys.where(F.col("size") > least), name)
-    return keys if keys.limit(1).count() else None
+    return keys if keys.limit(1).count() else None, many
 
 
 def _crowds(entries: DataFrame, hot: DataFrame, scratch: Scratch) -> DataFrame | None:
@@ -226,26 +249,28 @@ def _crowds(entries: DataFrame, hot: DataFrame, scratch: Scratch) -> DataFrame |
     return own.join(broadcast_if_small(crowds), ["tok", "n"], "left_semi").select(*PLACE, "n", "s1", "s2", "open", "prefix").dropDuplicates(PLACE)
 
 
-def _candidates(entries: DataFrame, hot: DataFrame | None, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs by keys of up to LARGE entries, and by two words for other keys."""
+def _candidates(entries: DataFrame, many: int, hot: DataFrame | None, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs by keys of up to LARGE entries, of many in all, and by two words for other keys."""
     if hot is None:
-        return _waves(entries, scratch, "one", percent, 1)
+        return _waves(entries, scratch, "one", percent, 1, many)
     hot = broadcast_if_small(hot.select("tok"))
-    one = _waves(entries.join(hot, "tok", "left_anti"), scratch, "one", percent, 1)
+    one = _waves(entries.join(hot, "tok", "left_anti"), scratch, "one", percent, 1, many)
     refined = _refined(entries.join(hot, "tok", "left_semi"))
     bloom, blocks = bloom_of(refined.where("open").select(F.col("tok").alias("key")), scratch, "refined-bloom")
     return one.union(_waves(refined.where(bloom_test(bloom, F.col("tok"), blocks)), scratch, "two", percent, 2))
 
 
-def _waves(entries: DataFrame, scratch: Scratch, name: str, percent: int, shared: int) -> DataFrame:
-    """Pairs of entries, in WAVES by key: the exchange of one is gone before the next is made."""
+def _waves(entries: DataFrame, scratch: Scratch, name: str, percent: int, shared: int, many: int | None = None) -> DataFrame:
+    """Pairs of entries, in WAVES by key: the exchange of one is gone before the next is made. If it is known how many entries there are, partitions
+    are small enough to be hashed; otherwise they are sorted."""
     settings = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.optimizer.excludedRules": "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"}
     parts = []
     for k in range(WAVES):
         own = F.pmod(_shift("shiftright", F.col("tok"), 20), F.lit(WAVES).cast("long")) == k
-        dealt = entries.where(own).select(*ENTRY).repartition("tok")  # the key has the step too; it need not be dealt by that
+        parts_ = [] if many is None else [max(partitions(scratch.spark), -(-many // (WAVES * HASHED)))]
+        dealt = entries.where(own).select(*ENTRY).repartition(*parts_, "tok")  # the key has the step too; it need not be dealt by that
         with conf(scratch.spark, settings):  # without a filter below it, one exchange serves both sides
-            parts.append(scratch.cut(_pairs(dealt, dealt, percent, shared), f"pairs-{name}-{k}"))
+            parts.append(scratch.cut(_pairs(dealt, dealt, percent, shared, many is not None), f"pairs-{name}-{k}"))
     return reduce(DataFrame.union, parts)
 
 
@@ -285,15 +310,16 @@ def line_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = next(m for m in range(1, 200) if 100 * m >= percent * (m + 1))  # smaller sets are only similar to themselves
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NOTHING)).alias("id"), F.col(text_col).alias("text"))
     classes = scratch.cut(classes_of(source, percent, smallest), "classes")
-    tried = _confirmed(scratch.cut(_first_tries(classes, percent), "tries"), source, scratch, "tries", percent)
+    tries, none = _first_tries(classes, scratch, percent), scratch.spark.createDataFrame([], classes.select(*PLACE).schema)
+    tried = none if tries is None else _confirmed(scratch.cut(tries, "tries"), source, scratch, "tries", percent)
     entries = _entries(classes, tried, scratch, "tried", percent, smallest)
-    hot, known = _hot_keys(entries, min(COMMON, LARGE), scratch, "common"), tried
+    (hot, many), known = _hot_keys(entries, min(COMMON, LARGE), scratch, "common"), tried
     crowd = None if hot is None else _crowds(entries, hot, scratch)
     if crowd is not None:
         known = scratch.cut(tried.union(_confirmed(scratch.cut(_more_tries(scratch.cut(crowd, "crowd"), percent), "more-tries"), source, scratch, "more", percent)).distinct(), "known")
         entries = _entries(classes, known, scratch, "more", percent, smallest)
     hot = hot and hot.where(F.col("size") > LARGE)
-    found = _candidates(entries, hot if hot and hot.limit(1).count() else None, scratch, percent)
+    found = _candidates(entries, many, hot if hot and hot.limit(1).count() else None, scratch, percent)
     gone = known.union(_confirmed(scratch.cut(found.distinct(), "pairs"), source, scratch, "pairs", percent))
     stay = scratch.cut(classes.select(*PLACE).join(gone.distinct(), PLACE, "left_anti"), "stay")
     scratch.keep("stay")

@@ -201,6 +201,24 @@ def test_classes_are_hashed_not_sorted(spark):
     assert "SortAggregate" not in classes._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lines_of_small_groups_are_not_tried(spark, monkeypatch):
+    """Only hashes that more than GROUP lines have lead to tries, and entries whose number is known are joined by hash."""
+    w = [f"w{k}" for k in range(40)]
+    rows = [(g * 100 + k, " ".join(f"{g}{x}" for x in [*w[:20], w[20 + k]])) for g, many in ((1, 3), (2, 9)) for k in range(many)]
+    docs = frame(spark, rows).select("doc_id", "text")
+    source = docs.select(F.col("doc_id").alias("id"), "text")
+    classes, scratch = line_dedup.classes_of(source, 80, 4), line_dedup.Scratch(spark)
+    tried = line_dedup._first_tries(classes, scratch, 80)
+    assert {r.id // 100 for r in tried.collect()} == {2}
+    assert line_dedup._first_tries(classes.where("id < 200"), scratch, 80) is None
+    entries = line_dedup._entries(classes, source.select("id", F.lit(0).alias("line")).where("false"), scratch, "t", 80, 4)
+    assert line_dedup._hot_keys(entries, 10**6, scratch, "t") == (None, entries.count())
+    plan = line_dedup._pairs(entries, entries, 80, 1, True)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(line_dedup, "HASHED", 10)
+    same(line_dedup.remove_lines(docs), brute.lines(rows), ["doc_id", "n_lines", "n_removed", "kept"])
+
+
 def test_lines_enough(spark):
     """Products say what rounded quotients say, for sizes whose products exceed an int too."""
     got = spark.range(1, 60).select(F.col("id").cast("int").alias("n")).crossJoin(spark.range(1, 60).select(F.col("id").cast("int").alias("m"))).crossJoin(spark.range(60).select(F.col("id").cast("int").alias("k")))
