@@ -215,14 +215,14 @@ def _pairs(index: DataFrame, probe: DataFrame, percent: int, shared: int, hashed
 
 def _entries(classes: DataFrame, known: DataFrame, scratch: Scratch, name: str, percent: int, smallest: int) -> DataFrame:
     """Prefixes by word, with the whole prefix. Lines that are known to go are not open."""
-    few = broadcast_if_small(known.withColumn("known", F.lit(True)))
+    marks = known.withColumn("known", F.lit(True))
     open_ = F.col("known").isNull().alias("open")
     filled = classes.where(F.col("n") >= smallest)
     if known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        marked = filled.join(few, PLACE, "left").select(*classes.columns, open_)
+        marked = filled.join(F.broadcast(marks), PLACE, "left").select(*classes.columns, open_)
     else:
         maybe, rest = parted(filled, PLACE, known, scratch, f"{name}-known")
-        marked = maybe.join(few, PLACE, "left").select(*classes.columns, open_).union(rest.select(*classes.columns, F.lit(True)))
+        marked = maybe.join(marks, PLACE, "left").select(*classes.columns, open_).union(rest.select(*classes.columns, F.lit(True)))
     step = F.coalesce(F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent + 0.01)).cast("int"), F.lit(0)).alias("step")
     return marked.select(*PLACE, "n", "s1", "s2", step, "open", "prefix", F.posexplode(F.slice("prefix", 1, probe_prefix(F.col("n"), percent))).alias("pos", "tok"))
 
@@ -231,10 +231,10 @@ def _hot_keys(entries: DataFrame, least: int, scratch: Scratch, name: str) -> tu
     """Keys of more than least entries, if any, and how many entries there are. Only keys in slots of more than least entries are counted one by one."""
     slot = F.col("tok").bitwiseAND(F.lit((1 << SLOT_BITS) - 1)).cast("int").alias("slot")
     slots = scratch.cut(entries.groupBy(slot).agg(F.count(F.lit(1)).alias("size")), f"{name}-slots")  # 2^SLOT_BITS rows at most
-    many = slots.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    slots = slots.where(F.col("size") > least).select("slot")
-    if not slots.limit(1).count():
+    many, most = slots.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+    if most <= least:
         return None, many
+    slots = slots.where(F.col("size") > least).select("slot")
     keys = entries.select("tok", slot).join(F.broadcast(slots), "slot", "left_semi").groupBy("tok").agg(F.count(F.lit(1)).alias("size"))
     keys = scratch.cut(keys.where(F.col("size") > least), name)
     return keys if keys.limit(1).count() else None, many
